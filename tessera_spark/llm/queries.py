@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, toxicity
+from . import chat, jaccard, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_chat_format": chat.op8_chat_format,
 }
 
