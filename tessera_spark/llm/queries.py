@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, line_dedup, mixing, quality, toxicity
+from . import chat, decontam, jaccard, line_dedup, mixing, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_token_counts": tokens.op9_token_counts,
 }
 
 SQL = {
