@@ -34,6 +34,10 @@ def shingle_hashes(ws: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def hashed(rows: DataFrame, k: int) -> DataFrame:
+    return rows.withColumn("ws", norm_words(F.col("t"))).withColumn("hs", shingle_hashes(F.col("ws"), k)).drop("t", "ws")
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -83,13 +87,14 @@ def contaminated(
     weights = common.materialize(at_item.groupBy("h").agg(F.log1p(n_items / F.countDistinct("item")).alias("idf")), "weights")
     known = _bounded(at_item)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
-    places = base.select("id", "row", F.posexplode(shingle_hashes(norm_words(F.col("t")), shingle)).alias("p", "h"))
+    # Steps of their own, and outer generators, keep Catalyst from repeating the splits.
+    places = hashed(base, shingle).select("id", "row", F.posexplode_outer("hs").alias("p", "h"))
     anchors = places.join(known, "h").select("id", "row", "size", (F.col("p") - F.col("q")).alias("start")).distinct()
     anchors = common.materialize(anchors, "anchors")
 
     keys = anchors.select("row").distinct()
     found = base.join(_bounded(keys), "row").dropDuplicates(["row"])
-    laid = anchors.join(found.select("row", shingle_hashes(norm_words(F.col("t")), shingle).alias("hs")), "row")
+    laid = anchors.join(hashed(found, shingle).select("row", "hs"), "row")
     n = F.col("size") - shingle + 1  # shingles of a window
     start = F.greatest(F.lit(0), F.least(F.col("start"), F.size("hs") - n))
     laid = laid.select("id", "row", "size", start.alias("start"), F.slice("hs", start + 1, n).alias("win")).distinct()

@@ -170,7 +170,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p:
     table = spark.createDataFrame([(g, w) for g, w in weights.items()], "g string, w array<double>")  # at most max_features rows
     k = len(families)
     has = lambda c: F.lit(False) if not CUES else F.expr(" or ".join(f"contains(lower({c}), '{x}')" for x in CUES))
-    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t")).select("id", F.posexplode(F.split("t", "\n")).alias("line", "x")).where(has("x"))
+    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t")).select("id", F.posexplode_outer(F.split("t", "\n")).alias("line", "x")).where(has("x"))
     paragraphs = lines.select("id", "line", F.xxhash64("x").alias("h"), _column_words(F.col("x")).alias("ws"))
     bigrams = F.transform(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.size("ws")).alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"]))
     exploded = paragraphs.select("id", "line", "h", "ws", F.explode_outer(F.array_union("ws", bigrams)).alias("g"))

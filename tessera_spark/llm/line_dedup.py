@@ -58,30 +58,27 @@ def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
 
 
 def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
-    """(key, role, delta, at, len) of each of rows (h, x, salt, role, delta), exploded.
+    """(h, salt, key, role, delta, at, len) of each lookup of each of rows (h, x, salt, role, delta).
 
-    At first every line indexes itself and probes all lengths; later a row keeps its role and its difference in length.
+    At first every line indexes itself and probes all lengths; later a row keeps its role and its difference in length. The
+    lookups (difference in length, segment, shift) are a constant array that each row explodes.
     """
     k1 = tau + 1
-    n = F.length("x")
-
-    def segment(i: int, length: Column) -> tuple[Column, Column]:
-        base, over = F.floor(length / k1).cast("int"), k1 - length % k1
-        return i * base + F.greatest(F.lit(0), i - over), base + F.when(F.lit(i) >= over, 1).otherwise(0)
-
-    found = []
-    for delta in range(k1):
-        for i in range(k1):
-            at, size = segment(i, n - delta)
-            for o in range(max(-i, delta - (tau - i)), min(i, delta + tau - i) + 1):
-                own = delta == 0 and o == 0
-                role = F.lit(BOTH if own else PROBE) if first else F.when(F.lit(own) & (F.col("role").bitwiseAND(INDEX) != 0), INDEX).otherwise(0).bitwiseOR(
-                    F.when((F.col("role").bitwiseAND(PROBE) != 0) & (F.col("delta") == delta), PROBE).otherwise(0)
-                )
-                ok = (at + o >= 0) & (at + o + size <= n) & (role != 0)
-                key = F.xxhash64("salt", F.lit(i), n - delta, F.substring("x", at + o + 1, size))
-                found.append(F.when(ok, F.struct(key.alias("key"), role.cast("int").alias("role"), F.lit(delta).alias("delta"), (at + o).alias("at"), size.alias("len"))))
-    return rows.select("h", "salt", F.explode(F.array_compact(F.array(*found))).alias("c")).select("h", "salt", "c.*")
+    spots = [(d, i, o) for d in range(k1) for i in range(k1) for o in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)]
+    # As an outer generator: an inner one would infer a filter on its input.
+    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in spots])
+    r = rows.select("h", "salt", "x", "role", "delta", F.length("x").alias("n")).select("h", "salt", "x", "role", "delta", "n", F.explode_outer(table).alias("s"))
+    r = r.select("h", "salt", "x", "role", "delta", "n", "s.d", "s.i", "s.o", (F.col("n") - F.col("s.d")).alias("m"))
+    base, over = F.floor(F.col("m") / k1).cast("int"), k1 - F.col("m") % k1
+    r = r.withColumn("len", base + F.when(F.col("i") >= over, 1).otherwise(0)).withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - over) + F.col("o"))
+    own = (F.col("d") == 0) & (F.col("o") == 0)
+    if first:
+        role = F.when(own, BOTH).otherwise(PROBE)
+    else:
+        indexes, probes = own & (F.col("role").bitwiseAND(INDEX) != 0), (F.col("d") == F.col("delta")) & (F.col("role").bitwiseAND(PROBE) != 0)
+        role = F.when(indexes, INDEX).otherwise(0) + F.when(probes, PROBE).otherwise(0)
+    key = F.xxhash64("salt", "i", "m", F.substring("x", F.col("at") + 1, F.col("len")))
+    return r.where("m >= 0 and at >= 0 and at + len <= n").select("h", "salt", key.alias("key"), role.alias("role"), F.col("d").alias("delta"), "at", "len").where("role <> 0")
 
 
 def _shared(cells: DataFrame) -> DataFrame:
@@ -130,7 +127,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select([c for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")])
     rk = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(text_col))
     occ = (
-        docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "x"))
+        docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "x"))
         .where(F.length("x") >= min_chars)
         .select("rk", F.struct("last", "id", "rk", "pos").alias("o"), "pos", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("h2"))
     )

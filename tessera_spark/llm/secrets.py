@@ -118,7 +118,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     ws = F.col("ws")
     base = docs.select(F.col(id_col).alias("id"), (F.col(path_col) if path_col else F.lit("")).alias("path"), common.words(F.col(text_col)).alias("ws"))
     at = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (F.length(F.get(ws, i)) >= MIN_CHARS) & F.get(ws, i).rlike("[0-9]") & F.get(ws, i).rlike(CANDIDATE_RE))
-    hits = base.where(F.size(ws) > 0).withColumn("at", at).where(F.size("at") > 0).select("id", "path", "ws", F.explode("at").alias("word"))
+    # No filters on computed columns before the generator: Catalyst would push them down with a split inside each lambda.
+    at = F.when(F.size(ws) > 0, at)
+    hits = base.withColumn("at", at).select("id", "path", "ws", F.explode_outer("at").alias("word")).where("word is not null")
     word = F.get(ws, F.col("word"))
     value = F.regexp_extract(word, CANDIDATE_RE, 0)
     inside = F.substring(word, F.lit(1), F.instr(word, value) - 1)
