@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera_spark.llm import common, mixing, toxicity
+from tessera_spark.llm import common, decontam, jaccard, line_dedup, mixing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, common.read_table(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8; the document with the smallest id stays."""
+    return jaccard.one_of_each(docs, shingle=5, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.drop_contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the times it takes each."""
     return mixing.mix_sources(docs, keep=docs.columns).where("copies > 0")
 
 
-STAGES = [("toxicity", drop_toxic), ("mixing", mix)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+]
 
 #: The stages learn, join by similarity and solve a knapsack, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
