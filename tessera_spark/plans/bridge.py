@@ -1,5 +1,12 @@
-"""The driver's star-schema tables seen as a corpus, and the queries over it."""
+"""All queries of the engine over the driver's tables, by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import audit_queries, graph_queries, lookup_queries, pattern_queries, rule_queries
+from .registry import QUERIES, SQL
+
+#: Imported for their registrations.
+MODULES = (lookup_queries, graph_queries, audit_queries, pattern_queries, rule_queries)
+FLAGSHIP = "two_hop_impact"
+
+__all__ = ["FLAGSHIP", "MODULES", "QUERIES", "SQL"]
