@@ -131,5 +131,6 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that repeat a benchmark item."""
-    hits = common.materialize(contaminated(docs, benchmark, **options).select(F.col("row").alias("_row")).distinct(), "leaks")
-    return docs.join(_bounded(hits), F.xxhash64("doc_id", "text") == F.col("_row"), "left_anti")
+    hits = common.materialize(contaminated(docs, benchmark, **options).select(F.col("row").alias("leak")).distinct(), "leaks")
+    hits = _bounded(hits)
+    return docs.join(hits, F.xxhash64(docs["doc_id"], docs["text"]) == hits["leak"], "left_anti")

@@ -35,14 +35,19 @@ def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
         eq = F.lit(0)
         for d in band:
             eq = eq.bitwiseOR(F.when(F.get(s["a"], s["j"] + d) == c, 1 << (d + tau)).otherwise(0))
-        new: list[Column] = []
-        for e in range(tau + 1):
-            x = s[f"e{e}"].bitwiseAND(eq)
+
+        def update(e: int, q: Column, new: list[Column]) -> Column:
+            """All states from e on, each bound to a variable before the next reads it."""
+            if e > tau:
+                return F.struct((s["j"] + 1).alias("j"), s["a"].alias("a"), *[x.alias(f"e{i}") for i, x in enumerate(new)])
+            x = s[f"e{e}"].bitwiseAND(q)
             if e:
                 p = s[f"e{e - 1}"]
-                x = x.bitwiseOR(p).bitwiseOR(F.shiftright(p, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
-            new.append(x.bitwiseAND((1 << (2 * tau + 1)) - 1))
-        return F.struct((s["j"] + 1).alias("j"), s["a"].alias("a"), *[x.alias(f"e{i}") for i, x in enumerate(new)])
+                x = x.bitwiseOR(p).bitwiseOR(F.shiftright(p, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND((1 << (2 * tau + 1)) - 1)
+            return F.transform(F.array(x), lambda v: update(e + 1, q, [*new, v]))[0]
+
+        # No diagonal left: the distance is above tau, whatever follows.
+        return F.when(s[f"e{tau}"] == 0, s).otherwise(F.transform(F.array(eq), lambda q: update(0, q, []))[0])
 
     start = [sum(1 << (tau + d) for d in range(e + 1)) for e in range(tau + 1)]
     zero = F.struct(F.lit(0).alias("j"), ca.alias("a"), *[F.lit(x).alias(f"e{i}") for i, x in enumerate(start)])
@@ -65,6 +70,8 @@ def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
     """
     k1 = tau + 1
     spots = [(d, i, o) for d in range(k1) for i in range(k1) for o in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)]
+    if first:  # of two lines of one length, the other one finds a shift to the left as a shift to the right
+        spots = [(d, i, o) for d, i, o in spots if d or o >= 0]
     # As an outer generator: an inner one would infer a filter on its input.
     table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in spots])
     r = rows.select("h", "salt", "x", "role", "delta", F.length("x").alias("n")).select("h", "salt", "x", "role", "delta", "n", F.explode_outer(table).alias("s"))
@@ -113,40 +120,41 @@ def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     wanted = common.materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
     texts = common.materialize(lines.join(_bounded(wanted), "h").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
-    return both.where((F.col("xa") != F.col("xb")) & edit_distance_within(F.col("xa"), F.col("xb"), tau).isNotNull()).select("a", "b").distinct()
+    return common.materialize(both.where((F.col("xa") != F.col("xb")) & edit_distance_within(F.col("xa"), F.col("xb"), tau).isNotNull()).select("a", "b").distinct(), "near")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 40) -> DataFrame:
     """docs with the cleaned text in place of the text, plus n_lines, n_equal and n_near (lines dropped of each kind).
 
     Only lines of min_chars characters or more take part, so that short lines and paragraph breaks stay. Order: by id (null
-    last), then by a hash of the text, then by line number. Rows that repeat both id and text are one document and come out
-    once. Null texts stay null, with no lines; empty tables give no rows. Other columns keep their names, clashes with the three
+    last), then by a hash of the text, then by line number. Rows that repeat both id and text are one document and get one
+    result. Null texts stay null, with no lines; empty tables give no rows. Other columns keep their names, clashes with the three
     counts apart.
     """
-    docs = docs.select([c for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")])
+    names = [c for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")]
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name can clash
+    id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     rk = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(text_col))
-    occ = (
-        docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "x"))
-        .where(F.length("x") >= min_chars)
-        .select("rk", F.struct("last", "id", "rk", "pos").alias("o"), "pos", "x", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("h2"))
-    )
-    classes = common.materialize(occ.groupBy("h", "h2").agg(F.min("o").alias("o"), F.min("o") != F.max("o"), F.count("*").alias("m")).toDF("h", "h2", "o", "many", "m"), "classes")
-    near = near_pairs(occ.select("h", "x"), tau)
+    long = docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "x")).where(F.length("x") >= min_chars)
+    h = F.xxhash64("x").alias("h")
+    occ = common.materialize(long.select("rk", F.struct("last", "id", "rk", "pos").alias("o"), "pos", h, F.xxhash64(F.lit(1), "x").alias("h2")), "occurrences")
+    classes = occ.groupBy("h", "h2").agg(F.min("o").alias("o"), (F.min("o") != F.max("o")).alias("many"))
+    classes = common.materialize(classes, "classes")
+    near = near_pairs(long.select(h, "x"), tau)
     # The later line of a near pair goes.
     ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).union(near.select(F.col("b"), F.col("a")))
     firsts = classes.select("h", "h2", "o")
     later = ends.join(firsts, "h").join(firsts.select(F.col("h").alias("other"), F.col("o").alias("o2")), "other").where("o2 < o").select("h", "h2").distinct().withColumn("near", F.lit(True))
     going = classes.join(later, ["h", "h2"], "left").where("many or near").select("h", "h2", F.col("o").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    dropped = occ.drop("x").join(going, ["h", "h2"]).where("near or o <> first").select("rk", "pos", (F.col("o") != F.col("first")).alias("equal")).distinct()
+    dropped = occ.join(going, ["h", "h2"]).where("near or o <> first").select("rk", "pos", (F.col("o") != F.col("first")).alias("equal")).distinct()
     of_doc = dropped.groupBy("rk").agg(F.collect_list("pos").alias("_gone"), F.count_if("equal").alias("_eq"), F.count_if(~F.col("equal")).alias("_nr"))
-    rows = docs.withColumn("_rk", rk)
-    out = rows.dropDuplicates(["_rk"]).join(of_doc, F.col("_rk") == F.col("rk"), "left")
+    of_doc = common.materialize(of_doc, "of-doc")
+    out = docs.withColumn("_rk", rk).join(_bounded(of_doc), F.col("_rk") == F.col("rk"), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_ls"), i)), "\n"))
     out = out.withColumn("_ls", F.when(F.col("_gone").isNotNull(), lines))
-    keep = [cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    keep = [(cleaned if f"c{i}" == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(*keep, n_lines.alias("n_lines"), F.coalesce("_eq", F.lit(0)).cast("long").alias("n_equal"), F.coalesce("_nr", F.lit(0)).cast("long").alias("n_near"))
 

@@ -19,6 +19,7 @@ from . import common
 
 #: A (source, length) group is dealt to this many tasks; their order by hash is still that of the whole group.
 SALTS = 256
+OUTPUT = ("size", "source_size", "target", "copies", "taken")
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
@@ -130,10 +131,11 @@ def mix_sources(
     Returns the columns `keep` (by default the id) plus size (words), source_size, target (words wanted of the source),
     copies (0 to max_repeat) and taken (= size * copies). Sources: null is a source of its own and comes last. Null or empty
     texts have size 0 and are taken as often as the whole source is. Repeated rows and ids count row by row, ties by hash are
-    broken by id. An empty table gives no rows. Other columns pass through only if named in `keep`, under their own names.
+    broken by id. An empty table gives no rows. Other columns pass through only if named in `keep`, under their own names,
+    unless those are the names of the results.
     Every sum of words taken stays at or below its target, by less than one word wherever the lengths allow it.
     """
-    keep = list(keep or [id_col])
+    keep = [c for c in keep or [id_col] if c not in OUTPUT]
     slim = common.materialize(_prepared(docs, {"id": F.col(id_col)}, id_col, text_col, source_col, seed), "mix")
     by_salt = slim.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n"), F.first("_src").alias("_src"))
     hist = common.materialize(by_salt, "mix-hist")
