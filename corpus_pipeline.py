@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,28 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, keep=docs.columns).where("copies > 0")
 
 
+_scratch = common.Scratch()
+
+
+def _stage(f):
+    """f, after the scratch tables of the stage before have been deleted: its result has been written and reread by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.release(spark)
+        with _scratch:
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+#: Each takes (spark, docs, sf_dir); its result must be written before the next one is called.
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("jaccard_join", drop_near_copies),
-    ("decontamination", drop_leaks),
-    ("mixing", mix),
+    ("toxicity", _stage(drop_toxic)),
+    ("line_dedup", _stage(drop_repeated_lines)),
+    ("jaccard_join", _stage(drop_near_copies)),
+    ("decontamination", _stage(drop_leaks)),
+    ("mixing", _stage(mix)),
 ]
 
 #: The stages learn, join by similarity and solve a knapsack, which SQL cannot express; tests hold them against brute force.

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +32,75 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_live: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared scratch folder and read it back.
 
     Cuts lineage in a form every executor can reread after a loss, and keeps Spark from recomputing df for each consumer.
-    The folder goes when the driver's JVM ends.
+    The folder goes with discard() or release(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, jpath = _file(spark, path)
+    fs.deleteOnExit(jpath)
+    _live.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, and let Spark drop the shuffle files behind them."""
+    spark = tables[0].sparkSession
+    for path in (t._scratch for t in tables):
+        fs, jpath = _file(spark, path)
+        fs.delete(jpath, True)
+        if path in _live:
+            _live.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects what refers to them
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside: texts can be long, and two workers share an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+class Scratch:
+    """The tables materialized inside `with`; release() deletes them, once what was built on them has been written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._from = len(_live)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.paths += _live[self._from :]
+
+    def release(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            if path in _live:
+                fs, jpath = _file(spark, path)
+                fs.delete(jpath, True)
+                _live.remove(path)
+        self.paths = []
 
 
 def trimmed(text: Column) -> Column:

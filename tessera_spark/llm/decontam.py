@@ -119,7 +119,8 @@ def contaminated(
     own = F.aggregate("win", F.lit(0.0), lambda a, h: a + F.coalesce(F.element_at("ws", h), top))
     shared = F.aggregate(distinct, F.lit(0.0), lambda a, h: a + F.coalesce(F.least(F.size(F.filter("win", lambda x: x == h)), F.element_at("counts", h)) * F.element_at("ws", h), F.lit(0.0)))
     scored = here.select("id", "row", "item", "start", own.alias("own"), shared.alias("shared"), "total")
-    scored = scored.withColumn("similarity", F.round(F.col("shared") / (F.col("own") + F.col("total") - F.col("shared")), 6)).where(F.col("similarity") >= similarity)
+    ratio = F.col("shared") / (F.col("own") + F.col("total") - F.col("shared"))
+    scored = scored.where(ratio >= similarity - 1e-9).withColumn("similarity", F.round(ratio, 6))
     best = scored.groupBy("id", "row", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("m"))
     return best.select(F.col("id").alias(id_col), "row", F.col("item").alias(item_col), F.col("m.similarity").alias("similarity"), (-F.col("m.back")).cast("int").alias("start"))
 

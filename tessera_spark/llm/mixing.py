@@ -47,13 +47,15 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
         rest -= n * int(lengths[i])
     if rest <= 0:
         return taken
-    # Give back a little so that the dynamic programme has room to reach the sum exactly.
-    for i in order[::-1]:
-        if lengths[i] and taken[i] and rest + lengths[i] <= window:
-            taken[i] -= 1
-            rest += int(lengths[i])
-            if rest >= window // 2:
-                break
+    # Give back a document of each length in turn, so that the dynamic programme has room to reach the sum exactly.
+    for _ in range(64):
+        back = [i for i in order[::-1] if lengths[i] and taken[i]]
+        for i in back:
+            if rest < window // 2 and rest + lengths[i] <= window:
+                taken[i] -= 1
+                rest += int(lengths[i])
+        if not back or rest >= window // 2:
+            break
     reach, by = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64)
     reach[0] = True
     items: list[tuple[int, int]] = []

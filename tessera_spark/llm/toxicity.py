@@ -59,12 +59,12 @@ def features(text: str | None, p: Params) -> np.ndarray:
     return np.unique(np.concatenate([grams(data, s, p.bits) for s in p.sizes]))
 
 
-def train(texts: list[str | None], labels: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, float]:
-    """(weight of each hashed feature, intercept). Features whose log-count ratio is below z standard errors weigh nothing."""
+def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rate: float | None = None) -> tuple[np.ndarray, float]:
+    """(weight of each hashed feature, intercept). rate is the share of label 1 among all labels, by default the sample's. Features whose log-count ratio is below z standard errors weigh nothing."""
     labels = np.asarray(labels, np.float64)
     if len(labels) == 0 or labels.min() == labels.max():
-        rate = (labels.sum() + p.smooth) / (len(labels) + 2 * p.smooth)
-        return np.zeros(1 << p.bits, np.float32), float(np.log(rate / (1 - rate)))
+        only = (labels.sum() + p.smooth) / (len(labels) + 2 * p.smooth)
+        return np.zeros(1 << p.bits, np.float32), float(np.log(only / (1 - only)))
     counts = np.zeros((2, 1 << p.bits), np.int32)
     for t, y in zip(texts, labels, strict=True):
         counts[int(y)][features(t, p)] += 1
@@ -79,12 +79,14 @@ def train(texts: list[str | None], labels: np.ndarray, p: Params = Params()) ->
     of = np.repeat(np.arange(len(rows)), lens)
     ids, cols = np.unique(cols, return_inverse=True)
     x = ratio[ids][cols]
-    balance = np.where(labels == 1, len(labels) / (2 * n1), len(labels) / (2 * n0))
+    # Half way between the labels' own share and even classes: rare classes are found without flooding the other.
+    rate = (n1 / len(labels) if rate is None else rate) / 2 + 0.25
+    weight = np.where(labels == 1, rate * len(labels) / n1, (1 - rate) * len(labels) / n0)
     w, b = np.zeros(len(ids)), 0.0
     g2, gb2 = np.full(len(ids), 1e-8), 1e-8
     for _ in range(p.rounds):  # AdaGrad on the whole sample
         z = np.bincount(of, weights=x * w[cols], minlength=len(rows)) + b
-        err = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
+        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
         g = np.bincount(cols, weights=x * err[of], minlength=len(ids)) + p.l2 * w / len(labels)
         gb = err.sum()
         g2 += g * g
@@ -107,22 +109,24 @@ def score_one(text: str | None, weight: np.ndarray, b: float, p: Params) -> floa
     return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list:
-    """Of each class the max_per_class documents with the smallest hash of their id; rows without label, id or text don't teach."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, float | None]:
+    """(rows, share of label 1 over all labels): of each class the max_per_class documents with the smallest hash of their id; rows without label, id or text don't teach."""
     y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").dropDuplicates(["_id"])
     h = F.xxhash64(F.lit(p.seed), "_id")
+    rate = y.agg(F.avg("_y").alias("rate")).first()["rate"]
     chosen = None
     for k in (0, 1):
         part = y.where(F.col("_y") == k).orderBy(h, "_id").limit(p.max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
     # At most 2 * max_per_class ids, so the broadcast has a bound.
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").collect()
+    return texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").collect(), rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **cols: str) -> tuple[np.ndarray, float]:
-    rows = sorted(labelled_sample(docs, labels, p, **cols), key=lambda r: (r["_id"], r["_t"]))
-    return train([r["_t"] for r in rows], np.array([r["_y"] for r in rows]), p)
+    rows, rate = labelled_sample(docs, labels, p, **cols)
+    rows = sorted(rows, key=lambda r: (r["_id"], r["_t"]))
+    return train([r["_t"] for r in rows], np.array([r["_y"] for r in rows]), p, rate)
 
 
 def scorer(model: tuple[np.ndarray, float], p: Params = Params()):

@@ -1,0 +1,435 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessera_spark.llm import chat, common, decontam, jaccard, licences, line_dedup, mixing, quality, secrets, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, source string, rk string, size long, _gone string"
+
+
+def make(spark, rows):
+    """Rows (id, text, source) with extra columns whose names clash with internal ones."""
+    return spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, and repeated rows."""
+    long = " ".join(f"w{i % 997} the" for i in range(20_000))
+    return make(spark, [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (None, "some words here", "b"), (4, long, "b"), (5, "same text twice over", "c"), (5, "same text twice over", "c"), (6, "same text twice over", None)])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make(spark, [])
+
+
+# -- mixing ------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 30)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.floats(0, 1))
+def test_fit_budget_is_a_bounded_subset_and_best_possible(pairs, share):
+    lengths, counts = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    budget = int(share * (lengths * counts).sum())
+    taken = mixing.fit_budget(lengths, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    reachable = {0}
+    for n, c in pairs:
+        reachable = {r + n * k for r in reachable for k in range(c + 1) if r + n * k <= budget}
+    got = int((taken * lengths).sum())
+    assert got <= budget and budget - got <= max(budget - max(reachable), 3)
+
+
+def test_mixing_targets_and_bounds(spark):
+    rng = random.Random(1)
+    docs = make(spark, [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "b", "b", "b", None])) for i in range(600)])
+    out = mixing.mix_sources(docs).toPandas()
+    again = mixing.mix_sources(docs.repartition(7)).toPandas()
+    assert out.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
+    assert len(out) == 600 and (out["taken"] <= 3 * out["size"]).all()
+    sizes = docs.groupBy("source").agg(F.sum(common.n_words(F.col("text"))).alias("s")).toPandas()
+    total = sizes["s"].sum()
+    order = sorted(sizes["source"].tolist(), key=lambda x: (x is None, x or ""))
+    weight = dict(zip(order, (5, 2, 1), strict=False))
+    size = dict(zip(sizes["source"], sizes["s"], strict=True))
+    target, rest, open_ = {}, float(total), set(order)
+    while open_:  # the excess reshared by weight until none is above
+        level = rest / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 3 * size[s]}
+        if not over:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            rest -= target[s]
+        open_ -= over
+    by = docs.select("doc_id", "source").toPandas().merge(out, on="doc_id")
+    for s in order:
+        mine = by[by["source"].isna() if s is None else by["source"] == s]
+        assert mine["target"].iloc[0] == pytest.approx(target[s])
+        assert abs(mine["taken"].sum() - target[s]) <= 1
+        assert mine["source_size"].iloc[0] == size[s]
+
+
+def test_mixing_odd(odd, empty):
+    assert mixing.mix_sources(odd).count() == 8
+    kept = mixing.mix_sources(odd, keep=odd.columns)
+    assert kept.count() == 8 and kept.columns.count("size") == 1
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# -- quality -----------------------------------------------------------------------------------------------------------
+
+
+def brute_quality(text):
+    ws = common_words(text)
+    at = {}
+    for i in range(len(ws) - 2):
+        at.setdefault(tuple(ws[i : i + 3]), []).append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if common_words(x)]
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def common_words(text):
+    for c in common.SPACE_CHARS:
+        text = (text or "").replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
+def test_quality_counts(spark, odd, empty):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice(["a ", "b ", "c ", "é#", "\n", "\t", "|", "a b c "]) for _ in range(rng.randint(0, 60))), "s") for i in range(200)]
+    for docs in (make(spark, rows), odd):
+        for r in quality.quality(docs).collect():
+            q = r["q"]
+            assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == brute_quality(r["text"])
+            assert q["base_failed"] == (q["n_words"] < 50 or 100 * q["n_repeat_words"] > 50 * q["n_words"])
+    assert quality.quality(empty).count() == 0
+
+
+def test_quality_lines(spark):
+    rng = random.Random(8)
+    prose = "\n".join(" ".join(f"w{rng.randrange(900)}" for _ in range(9)) + "." for i in range(10))
+    menu = " | ".join(f"item{i}" for i in range(80))
+    shout = " ".join(f"WORD{i}!!" for i in range(80))
+    got = {r["doc_id"]: r["q"] for r in quality.quality(make(spark, [(1, prose, "a"), (2, menu, "a"), (3, shout, "a"), (4, prose + "\nPlease accept cookies to go on.", "a")])).collect()}
+    assert [got[i]["kept"] for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert got[4]["clean_text"] == prose
+
+
+# -- toxicity ----------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_scores_every_text(spark, odd, empty):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        ws = [word() for _ in range(rng.randint(5, 60))]
+        if toxic:
+            ws[rng.randrange(len(ws))] = rng.choice(["vilething", "nastyword"])
+        rows.append((i, " ".join(ws), "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, y = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs.where("doc_id < 400"), y)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs.where("doc_id >= 400"), model).collect()}
+    right = [(got[i] >= 0.5) == (i % 4 == 0) for i in range(400, 600)]
+    assert sum(right) >= 190
+    scored = toxicity.score_documents(odd, model)
+    assert scored.where("score between 0 and 1").count() == 8 and scored.columns == [*odd.columns, "score"]
+    assert toxicity.reject_toxic(docs, y).columns == docs.columns
+    assert toxicity.reject_toxic(empty, y.limit(0)).count() == 0
+
+
+def test_toxicity_blocks_agree(monkeypatch):
+    w = np.zeros(1 << 20, np.float32)
+    p = toxicity.Params()
+    text = "some text with words in it " * 50
+    w[toxicity.features(text, p)[::7]] = 0.25
+    whole = toxicity.score_one(text, w, -1.0, p)
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    assert toxicity.score_one(text, w, -1.0, p) == pytest.approx(whole)
+
+
+# -- line dedup --------------------------------------------------------------------------------------------------------
+
+
+def distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        cur = [i]
+        for j, e in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (c != e)))
+        prev = cur
+    return prev[-1]
+
+
+def edited(rng, text, n):
+    out = list(text)
+    for _ in range(n):
+        k, i = rng.randrange(3), rng.randrange(len(out))
+        if k == 0:
+            out.insert(i, rng.choice("xyzé"))
+        elif k == 1:
+            del out[i]
+        else:
+            out[i] = rng.choice("xyzé")
+    return "".join(out)
+
+
+def test_edit_distance(spark):
+    rng = random.Random(4)
+    rows = [(a := "".join(rng.choice("abé") for _ in range(rng.randint(1, 12))), edited(rng, a, rng.randint(0, 4)) if len(a) > 4 else "") for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for tau in (1, 2, 3):
+        for r in df.select("a", "b", line_dedup.edit_distance_within(F.col("a"), F.col("b"), tau).alias("d")).collect():
+            d = distance(r["a"], r["b"])
+            assert r["d"] == (d if d <= tau else None)
+
+
+def brute_lines(rows, tau=2, least=40):
+    """doc -> lines kept: a line goes if one before it is equal or within tau edits."""
+    seen, out = [], {}
+    for i, text, *_ in sorted(rows):
+        kept = []
+        for x in text.split("\n"):
+            if len(x) >= least:
+                gone = any(x == s or (abs(len(x) - len(s)) <= tau and distance(x, s) <= tau) for s in seen)
+                seen.append(x)
+                if gone:
+                    continue
+            kept.append(x)
+        out[i] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("leaf", [100, 1])
+def test_line_dedup_is_exact(spark, leaf, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAF", leaf)  # 1: every shared cell recurs
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(38, 52))) for _ in range(12)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 3)) if rng.random() < 0.8 else "short line" for _ in range(rng.randint(1, 5))), "s") for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(make(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_odd(odd, empty):
+    out = line_dedup.dedup_lines(odd)
+    assert out.count() == 8 and out.where("text is null").count() == 1
+    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.drop_lines(odd).columns == odd.columns
+
+
+# -- Jaccard join ------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, k, percent):
+    sets = {}
+    for i, text, *_ in rows:
+        ws = "".join(c.lower() if c.isascii() else c for c in text or "").replace("\n", " ").split()
+        sets[i] = frozenset(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)) if len(ws) >= k else (frozenset([tuple(ws)]) if ws else frozenset())
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "percent", "leaf"), [(3, 90, 128), (3, 90, 1), (5, 80, 128), (2, 50, 2)])
+def test_jaccard_is_exact(spark, k, percent, leaf, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 8, 20, 60, 150]))]
+        for _ in range(rng.choice([1, 4, 25])):
+            ws = list(base)
+            for _ in range(rng.randint(0, max(1, len(ws) // 12))):
+                j = rng.randrange(len(ws))
+                ws[j : j + rng.randint(0, 2)] = [f"v{rng.randrange(9)}"] * rng.randint(0, 2)
+                ws = ws or ["v"]
+            rows.append((len(rows), " ".join(ws), "s"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(make(spark, rows), shingle=k, percent=percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_jaccard_deficient_sets_share_a_key():
+    rings = jaccard.Rings(80)
+    rng = np.random.default_rng(1)
+    for n in (3, 5, 10, 40, 300, 3000):
+        for _ in range(20):
+            s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            changes = len(s) // 10
+            t = np.unique(np.concatenate([s[changes:], rng.integers(0, 1 << 63, changes, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t)) and len(np.setxor1d(s, t)):
+                assert len(np.intersect1d(rings.keys(s), rings.keys(t)))
+
+
+def test_jaccard_odd(odd, empty):
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd).collect()]
+    assert len(got) == 8
+    by = {g[0]: g[1:] for g in got}
+    assert by[1] == (0, 1) and by[2] == (0, 2) and by[6][1] == 5 and by[5][1] == 5
+    assert jaccard.jaccard_components(empty).count() == 0
+    assert jaccard.one_of_each(odd).columns == odd.columns and jaccard.one_of_each(odd).count() == 6
+
+
+# -- decontamination ---------------------------------------------------------------------------------------------------
+
+
+def test_decontamination_against_brute_force(spark, odd, empty):
+    rng = random.Random(7)
+    item = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [item(rng.randint(12, 50)) for _ in range(12)] + [["one", "two"]]
+    rows = []
+    for i in range(80):
+        ws = item(rng.randint(20, 120))
+        if i % 3 == 0:
+            it = list(rng.choice(items))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                it[rng.randrange(len(it))] = "changed"
+            j = rng.randrange(len(ws))
+            ws[j:j] = [w.upper() + "," for w in it]
+        rows.append((i, " ".join(ws), "s"))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(make(spark, rows), bench).collect()}
+    clean = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    sh = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+    want = {}
+    idf = {}
+    for ws in items:
+        for x in set(sh(ws)):
+            idf[x] = idf.get(x, 0) + 1
+    n = sum(len(ws) >= 5 for ws in items)
+    weight = lambda x: float(np.log1p(n / idf.get(x, 1)))
+    for i, text, _ in rows:
+        d = sh(clean(text))
+        for k, ws in enumerate(items):
+            b = sh(ws)
+            for at in range(max(1, len(d) - len(b) + 1)) if b else ():
+                win = d[at : at + len(b)]
+                inter = sum(min(win.count(x), b.count(x)) * weight(x) for x in set(win))
+                sim = inter / (sum(map(weight, win)) + sum(map(weight, b)) - inter)
+                if sim >= 0.8:
+                    want[i, k] = max(sim, want.get((i, k), 0))
+    assert set(got) == set(want), {p: (got.get(p), want.get(p)) for p in set(got) ^ set(want)}
+    assert all(got[p] == pytest.approx(want[p], abs=1e-5) for p in want)
+    assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(empty, bench).count() == 0
+    assert decontam.contaminated(odd, bench.limit(0)).count() == 0
+    left = decontam.drop_contaminated(make(spark, rows), bench)
+    assert left.columns == odd.columns and left.count() == 80 - len({i for i, _ in want})
+
+
+# -- chat --------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a<|b", None]), st.one_of(st.none(), st.text(alphabet="ab\\~<|[]/>sINT\n é", max_size=30))), max_size=5))
+def test_chat_round_trip(spark, turns):
+    df = spark.createDataFrame([(1, [{"role": r, "text": t} for r, t in turns])], f"id long, turns {chat.TURNS}")
+    r = chat.format_turns(df, "id").select("formatted", "loss_spans", chat.read_back(F.col("formatted")).alias("back")).first()
+    assert [(x["role"], x["text"]) for x in r["back"]] == [(a or "", b or "") for a, b in turns]
+    assert len(r["loss_spans"]) == sum(a == "assistant" for a, _ in turns)
+    body = r["formatted"]
+    for control in ("<|turn|>", "<|says|>", "<|end|>"):
+        assert body.count(control) == len(turns)
+
+
+def test_chat_layouts(spark):
+    rows = [
+        (1, '{"prompt": "p", "completion": "c"}'), (2, '{"instruction": "i", "input": "x", "output": "o"}'), (3, '{"instruction": "i", "output": "o"}'),
+        (4, '{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]}'), (5, '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}'),
+        (6, '{"what": 1}'), (7, None), (8, "no json"),
+    ]
+    out = {r["id"]: r for r in chat.to_turns(spark.createDataFrame(rows, "id long, payload string"), "id", "payload").collect()}
+    said = lambda i: [(t["role"], t["text"]) for t in out[i]["turns"]]
+    assert said(1) == [("user", "p"), ("assistant", "c")] and said(2) == [("user", "i\n\nx"), ("assistant", "o")] and said(3) == [("user", "i"), ("assistant", "o")]
+    assert said(4) == [("system", "s"), ("user", "u")] and said(5) == [("user", "h"), ("assistant", "g")]
+    assert [out[i]["layout"] for i in (6, 7, 8)] == [None] * 3 and said(7) == []
+    table = spark.createDataFrame([(1, "q", "a", "z")], "id long, question string, answer string, extra string")
+    assert chat.to_turns(table, "id").first()["layout"] == "question_answer"
+
+
+# -- tokens ------------------------------------------------------------------------------------------------------------
+
+count = tokens.counter(tokens.DEFAULT_VOCABULARY)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab 's1\n\té.", max_size=900), st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1), st.text(alphabet="ab '\n1", max_size=12)), max_size=4))
+def test_token_tree_equals_full_encoding(text, edits):
+    tree = tokens.TokenTree(text, count)
+    assert tree.n_tokens == count([text])[0]
+    for a, b, new in edits:
+        lo, hi = sorted((int(a * len(tree.text)), int(b * len(tree.text))))
+        want = tree.text[:lo] + new + tree.text[hi:]
+        tree.edit(lo, hi, new)
+        assert tree.text == want and tree.n_tokens == count([want])[0]
+        assert sum(tree.leaves[0]) == len(want)
+
+
+def test_small_edits_reencode_little():
+    text = "some words of a long text " * 4000
+    tree = tokens.TokenTree(text, count)
+    assert tree.edit(50_000, 50_004, "other") < 2000
+
+
+def test_recount(spark, odd, empty):
+    counted = tokens.count_tokens(odd)
+    edits = spark.createDataFrame([(4, 0, 2, "zz"), (4, 50, 60, None), (99, 0, 0, "x"), (2, 0, 0, "new text")], "doc_id long, start long, end long, new string")
+    got = tokens.recount(counted, edits).collect()
+    assert len(got) == 8
+    for r in got:
+        assert r["n_tokens"] == count([r["text"] or ""])[0]
+    assert tokens.count_tokens(empty).count() == 0 and tokens.count_redacted(odd).count() == 8
+
+
+# -- secrets and licences ----------------------------------------------------------------------------------------------
+
+
+def test_secrets_held_out(spark, odd, empty):
+    model = secrets.fit(spark)
+    other = secrets.labelled_findings(secrets.Params(seed=99, labelled_per_kind=30))
+    df = spark.createDataFrame(other, "value string, before string, after string, path string, label double")
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.with_features(df)))
+    assert scored.where("label = prediction").count() >= 0.9 * len(other)
+    text = 'then token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" and card 2669109448945250 as well as some-file-name-in-a-path-2 here'
+    pem = "x\n-----BEGIN RSA PRIVATE KEY-----\nabc"
+    got = {(r["doc_id"], r["n_chars"]): r["is_secret"] for r in secrets.scan(make(spark, [(1, text, "src1"), (2, pem, "a")]), model).collect()}
+    assert got[1, 40] and not got[1, 16] and got[2, 0]
+    assert secrets.scan(odd, model).count() == 0 and secrets.scan(empty, model).count() == 0
+
+
+def test_licences(spark, odd, empty):
+    text = "\n".join(["intro", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "The driver lost his license on the road.", "This work is licensed under the GNU General Public License, version 3."])
+    got = [(r["line"], r["family"]) for r in licences.scan(make(spark, [(1, text, "a")])).orderBy("line").collect()]
+    assert got == [(1, "MIT"), (2, "CC-BY-NC"), (3, "unknown"), (4, "GPL")]
+    assert licences.scan(odd).count() == 0 and licences.scan(empty).count() == 0
+
+
+def test_licence_model_held_out():
+    data = licences.labelled()
+    weights, bias, families = licences.model()
+    right = 0
+    for text, family in data:
+        z = np.array(bias) + sum((np.array(weights[g]) for g in licences.ngrams(text) if g in weights), np.zeros(len(families)))
+        right += families[int(z.argmax())] == family
+    assert right >= 0.97 * len(data)
