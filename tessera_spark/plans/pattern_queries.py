@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sets, text
 from ..operators import graph, tables
+from ..sources import scratch
 from . import corpus as C
 from .registry import query
 
@@ -87,20 +88,10 @@ def _clusters(spark, d):
     """(file_id, component) over links of at least the threshold; unlinked files are their own cluster."""
     f = fingerprints(spark, d)
     links = pairs(f).where(F.col("score") >= THRESHOLD).select("a", "b")
-    comp = graph.components(links, "a", "b", lambda x: x.checkpoint(eager=True) if _checkpoints(spark) else x)
+    comp = graph.components(links, "a", "b", scratch.save)
     return f.select("file_id", "kind", "structural").join(comp.withColumnRenamed("node", "file_id"), "file_id", "left").withColumn("component", F.coalesce("component", "file_id"))
 
 
-def _checkpoints(spark) -> bool:
-    """Whether reliable checkpoints can be written; sets the folder from spark.checkpoint.dir, or a temporary one where none is set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return True
-
-
 _COMP = f"""{_FP}, l AS (SELECT a, b FROM scored WHERE score >= 0.8 UNION SELECT b, a FROM scored WHERE score >= 0.8),
 reach AS (SELECT file_id AS n, file_id AS m FROM fp UNION SELECT reach.n, l.b FROM reach JOIN l ON l.a = reach.m), comp AS (SELECT n AS file_id, min(m) AS component FROM reach GROUP BY n)"""
 
