@@ -98,12 +98,12 @@ def nearest_prefix_config(spark, d):
     f"""WITH {C.SYMBOLS}, pts AS (SELECT DISTINCT 's' || l_suppkey AS file_id, l_partkey + l_linenumber AS line FROM lineitem),
 hit AS (SELECT p.file_id, p.line, s.symbol_id, s.start_line, row_number() OVER (PARTITION BY p.file_id, p.line ORDER BY s.end_line - s.start_line, s.start_line, s.symbol_id) AS k
   FROM pts p JOIN symbols s ON s.file_id = p.file_id AND p.line BETWEEN s.start_line AND s.end_line)
-SELECT p.file_id, p.line, symbol_id, start_line FROM pts p LEFT JOIN hit h ON h.file_id = p.file_id AND h.line = p.line AND k = 1"""
+SELECT file_id, line, symbol_id, start_line FROM hit WHERE k = 1"""
 )
 def innermost_interval(spark, d):
-    """The innermost symbol around each line that an order touches."""
+    """The innermost symbol around each line that an order touches, where there is one."""
     pts = C.table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("file_id"), (F.col("l_partkey") + F.col("l_linenumber")).alias("line")).distinct()
-    return tables.innermost_interval(pts, C.symbols(spark, d), "file_id", "line", "start_line", "end_line", "symbol_id").select("file_id", "line", "symbol_id", "start_line")
+    return tables.innermost_interval(pts, C.symbols(spark, d), "file_id", "line", "start_line", "end_line", "symbol_id").where("symbol_id is not null").select("file_id", "line", "symbol_id", "start_line")
 
 
 @query(
