@@ -22,44 +22,44 @@ DEPTH = 3
 INDEX, PROBE, BOTH = 1, 2, 3
 
 
-def edit_distance_within(a: Column, b: Column, tau: int) -> Column:
-    """Edit distance of two strings, or null above tau.
+def with_edit_distance(df: DataFrame, a: str, b: str, tau: int, out: str) -> DataFrame:
+    """df with `out`: the edit distance of two string columns, or null above tau. Do not filter on it before it is written.
 
     Bit d of a state is the diagonal `row - column = d - tau`; state e holds the diagonals reached with at most e edits. One
-    step of the fold reads one character of b and updates the whole band with shifts, ands and ors.
+    step of the fold reads one character of b and updates the whole band with shifts, ands and ors. The characters of a are a
+    column beside the fold, not part of its state, which would be copied at every step.
     """
-    ca, cb = F.split(a, ""), F.split(b, "")
-    band = range(-tau, tau + 1)
+    band, mask = range(-tau, tau + 1), (1 << (2 * tau + 1)) - 1
 
     def step(s: Column, c: Column) -> Column:
         eq = F.lit(0)
         for d in band:
-            eq = eq.bitwiseOR(F.when(F.get(s["a"], s["j"] + d) == c, 1 << (d + tau)).otherwise(0))
+            eq = eq.bitwiseOR(F.when(F.get(F.col("_ed_a"), s["j"] + d) == c, 1 << (d + tau)).otherwise(0))
 
         def update(e: int, q: Column, new: list[Column]) -> Column:
             """All states from e on, each bound to a variable before the next reads it."""
             if e > tau:
-                return F.struct((s["j"] + 1).alias("j"), s["a"].alias("a"), *[x.alias(f"e{i}") for i, x in enumerate(new)])
+                return F.struct((s["j"] + 1).alias("j"), *[x.alias(f"e{i}") for i, x in enumerate(new)])
             x = s[f"e{e}"].bitwiseAND(q)
             if e:
                 p = s[f"e{e - 1}"]
-                x = x.bitwiseOR(p).bitwiseOR(F.shiftright(p, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND((1 << (2 * tau + 1)) - 1)
+                x = x.bitwiseOR(p).bitwiseOR(F.shiftright(p, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(mask)
             return F.transform(F.array(x), lambda v: update(e + 1, q, [*new, v]))[0]
 
         # No diagonal left: the distance is above tau, whatever follows.
         return F.when(s[f"e{tau}"] == 0, s).otherwise(F.transform(F.array(eq), lambda q: update(0, q, []))[0])
 
     start = [sum(1 << (tau + d) for d in range(e + 1)) for e in range(tau + 1)]
-    zero = F.struct(F.lit(0).alias("j"), ca.alias("a"), *[F.lit(x).alias(f"e{i}") for i, x in enumerate(start)])
-    end = F.get(F.array(*[F.lit(1 << i) for i in range(2 * tau + 1)]), F.length(a) - F.length(b) + tau)
-
-    def finish(s: Column) -> Column:
-        out = F.lit(None).cast("int")
-        for e in range(tau, -1, -1):
-            out = F.when(s[f"e{e}"].bitwiseAND(end) != 0, e).otherwise(out)
-        return out
-
-    return F.when(F.abs(F.length(a) - F.length(b)) <= tau, F.aggregate(F.when(b == "", F.array().cast("array<string>")).otherwise(cb), zero, step, finish))
+    zero = F.struct(F.lit(0).alias("j"), *[F.lit(x).alias(f"e{i}") for i, x in enumerate(start)])
+    shift = F.length(a) - F.length(b)
+    end = F.get(F.array(*[F.lit(1 << i) for i in range(2 * tau + 1)]), shift + tau)
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_ed_a", F.when(F.col(a) == "", none).otherwise(F.split(a, ""))).withColumn("_ed_b", F.when(F.abs(shift) <= tau, F.when(F.col(b) == "", none).otherwise(F.split(b, ""))))
+    df = df.withColumn("_ed_s", F.aggregate("_ed_b", zero, step))
+    distance = F.lit(None).cast("int")
+    for e in range(tau, -1, -1):
+        distance = F.when(F.col(f"_ed_s.e{e}").bitwiseAND(end) != 0, e).otherwise(distance)
+    return df.withColumn(out, distance).drop("_ed_a", "_ed_b", "_ed_s")
 
 
 def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
@@ -120,7 +120,8 @@ def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     wanted = common.materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
     texts = common.materialize(lines.join(_bounded(wanted), "h").distinct(), "line-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
-    return common.materialize(both.where((F.col("xa") != F.col("xb")) & edit_distance_within(F.col("xa"), F.col("xb"), tau).isNotNull()).select("a", "b").distinct(), "near")
+    measured = with_edit_distance(both.where("xa <> xb"), "xa", "xb", tau, "d").select("a", "b", "d")
+    return common.materialize(measured, "measured").where("d is not null").select("a", "b").distinct()
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 40) -> DataFrame:

@@ -189,7 +189,7 @@ def test_edit_distance(spark):
     rows = [(a := "".join(rng.choice("abé") for _ in range(rng.randint(1, 12))), edited(rng, a, rng.randint(0, 4)) if len(a) > 4 else "") for _ in range(400)]
     df = spark.createDataFrame(rows, "a string, b string")
     for tau in (1, 2, 3):
-        for r in df.select("a", "b", line_dedup.edit_distance_within(F.col("a"), F.col("b"), tau).alias("d")).collect():
+        for r in line_dedup.with_edit_distance(df, "a", "b", tau, "d").collect():
             d = distance(r["a"], r["b"])
             assert r["d"] == (d if d <= tau else None)
 
