@@ -63,7 +63,7 @@ def with_edit_distance(df: DataFrame, a: str, b: str, tau: int, out: str) -> Dat
 
 
 def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
-    """(h, salt, key, role, delta, at, len) of each lookup of each of rows (h, x, salt, role, delta).
+    """(h, x, key, role, delta, at, len) of each lookup of each of rows (h, x, salt, role, delta).
 
     At first every line indexes itself and probes all lengths; later a row keeps its role and its difference in length. The
     lookups (difference in length, segment, shift) are a constant array that each row explodes.
@@ -85,13 +85,12 @@ def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
         indexes, probes = own & (F.col("role").bitwiseAND(INDEX) != 0), (F.col("d") == F.col("delta")) & (F.col("role").bitwiseAND(PROBE) != 0)
         role = F.when(indexes, INDEX).otherwise(0) + F.when(probes, PROBE).otherwise(0)
     key = F.xxhash64("salt", "i", "m", F.substring("x", F.col("at") + 1, F.col("len")))
-    return r.where("m >= 0 and at >= 0 and at + len <= n").select("h", "salt", key.alias("key"), role.alias("role"), F.col("d").alias("delta"), "at", "len").where("role <> 0")
+    return r.where("m >= 0 and at >= 0 and at + len <= n").select("h", "x", key.alias("key"), role.alias("role"), F.col("d").alias("delta"), "at", "len").where("role <> 0")
 
 
 def _shared(cells: DataFrame) -> DataFrame:
     """Keys under which an indexed line meets another line, with the number of rows."""
-    roles = F.bit_or("role")
-    return cells.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), roles.alias("roles"), F.count("*").alias("m")).where("lo <> hi and roles = 3").select("key", "m")
+    return cells.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_or("role").alias("roles"), F.count("*").alias("m")).where("lo <> hi and roles = 3").select("key", "m")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -101,11 +100,12 @@ def _bounded(df: DataFrame) -> DataFrame:
 def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b: hashes of different lines within tau edits, from lines (h, x); equal rows may repeat."""
     rows = lines.select("h", "x", F.lit(0).cast("long").alias("salt"), F.lit(BOTH).alias("role"), F.lit(0).alias("delta"))
-    pairs = None
+    pairs = texts = None
     for depth in range(DEPTH + 1):
         cells = _cells(rows, tau, depth == 0)
         shared = common.materialize(_shared(cells), "shared")
         met = common.materialize(cells.join(_bounded(shared), "key").distinct(), "cells")
+        texts = met.select("h", "x").distinct() if texts is None else texts  # the lines themselves, at first
         small = met if depth == DEPTH else met.where(F.col("m") <= LEAF)
         x, y = small.where(F.col("role").bitwiseAND(INDEX) != 0).alias("x"), small.where(F.col("role").bitwiseAND(PROBE) != 0).alias("y")
         p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h"))).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
@@ -114,11 +114,8 @@ def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
         if depth == DEPTH or not large.limit(1).count():
             break
         rest = F.concat(F.substring("x", F.lit(1), F.col("at")), F.substring("x", F.col("at") + F.col("len") + 1, F.length("x")))
-        rows = large.join(rows.select("h", "x", "salt").distinct(), ["h", "salt"]).select("h", rest.alias("x"), F.col("key").alias("salt"), "role", "delta")
-        rows = common.materialize(rows.distinct(), "rest")
-    pairs = common.materialize(pairs.distinct(), "pairs")
-    wanted = common.materialize(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "wanted")
-    texts = common.materialize(lines.join(_bounded(wanted), "h").distinct(), "line-texts")
+        rows = common.materialize(large.select("h", rest.alias("x"), F.col("key").alias("salt"), "role", "delta").distinct(), "rest")
+    pairs = pairs.distinct()
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
     measured = with_edit_distance(both.where("xa <> xb"), "xa", "xb", tau, "d").select("a", "b", "d")
     return common.materialize(measured, "measured").where("d is not null").select("a", "b").distinct()
