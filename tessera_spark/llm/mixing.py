@@ -23,7 +23,7 @@ OUTPUT = ("size", "source_size", "target", "copies", "taken")
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take so that their lengths sum to budget, or as near as can be from below.
+    """How many documents of each length to take so that their lengths sum to budget, or as near as can be.
 
     Proportional shares, rounded down, keep the length distribution; the rest is filled from the longest length down until
     at most `window` remains, and that is solved exactly by bounded-knapsack dynamic programming (binary-split counts).
@@ -56,22 +56,25 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
                 rest += int(lengths[i])
         if not back or rest >= window // 2:
             break
-    reach, by = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64)
+    # Sums a little above the rest count too: some sum lies within one document's length above it.
+    span = rest + min(int(lengths.max()), window)
+    reach, by = np.zeros(span + 1, bool), np.full(span + 1, -1, np.int64)
     reach[0] = True
     items: list[tuple[int, int]] = []
     for i in order:
-        left, n = min(int(counts[i] - taken[i]), rest // lengths[i] if lengths[i] else 0), 1
+        left, n = min(int(counts[i] - taken[i]), span // lengths[i] if lengths[i] else 0), 1
         while left > 0 and not reach[rest]:
             part = min(n, left)
             w = part * int(lengths[i])
-            new = np.flatnonzero(reach[: rest + 1 - w] & ~reach[w:]) + w
+            new = np.flatnonzero(reach[: span + 1 - w] & ~reach[w:]) + w if w <= span else np.zeros(0, np.int64)
             by[new] = len(items)
             reach[new] = True
             items.append((int(i), part))
             left, n = left - part, n * 2
         if reach[rest]:
             break
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - rest))])
     while at:
         i, part = items[by[at]]
         taken[i] += part
@@ -135,7 +138,7 @@ def mix_sources(
     texts have size 0 and are taken as often as the whole source is. Repeated rows and ids count row by row, ties by hash are
     broken by id. An empty table gives no rows. Other columns pass through only if named in `keep`, under their own names,
     unless those are the names of the results.
-    Every sum of words taken stays at or below its target, by less than one word wherever the lengths allow it.
+    Every sum of words taken is as near its target as the lengths allow, to the word where a subset has that sum.
     """
     keep = [c for c in keep or [id_col] if c not in OUTPUT]
     slim = common.materialize(_prepared(docs, {"id": F.col(id_col)}, id_col, text_col, source_col, seed), "mix")
