@@ -205,7 +205,8 @@ def rows_to_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     raw = common.read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], raw.schema)
+    extra = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in raw.schema])
     turns = to_turns(rows_to_turns(raw.unionByName(extra)), "conv_id")
     out = format_turns(turns, "conv_id")
     back = out.select("conv_id", "formatted", "loss_spans", read_back(F.col("formatted")).alias("_b"))

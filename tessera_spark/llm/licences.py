@@ -167,7 +167,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p:
     """
     spark = docs.sparkSession
     weights, bias, families = model(p)
-    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "g string, w array<double>")  # at most max_features rows
+    table = common.local_table(spark, [{"g": g, "w": w} for g, w in weights.items()], "g: string, w: array<double>")  # at most max_features rows
     k = len(families)
     has = lambda c: F.lit(False) if not CUES else F.expr(" or ".join(f"contains(lower({c}), '{x}')" for x in CUES))
     lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t")).select("id", F.posexplode_outer(F.split("t", "\n")).alias("line", "x")).where(has("x"))

@@ -108,7 +108,9 @@ def labelled_findings(p: Params = Params()) -> list[tuple[str, str, str, str, fl
 def fit(spark: SparkSession, findings: DataFrame | None = None, p: Params = Params()):
     """The forest over labelled findings (value, before, after, path, label); by default those of labelled_findings()."""
     if findings is None:
-        findings = spark.createDataFrame(labelled_findings(p), "value string, before string, after string, path string, label double").coalesce(1)
+        names = ("value", "before", "after", "path", "label")
+        rows = [dict(zip(names, x, strict=True)) for x in labelled_findings(p)]
+        findings = common.local_table(spark, rows, "value: string, before: string, after: string, path: string, label: double").coalesce(1)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings))
     return RandomForestClassifier(numTrees=p.trees, maxDepth=p.depth, seed=p.seed, featureSubsetStrategy="sqrt").fit(vectors)
 
