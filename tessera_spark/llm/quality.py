@@ -41,13 +41,16 @@ def count(text: Column, pattern: str) -> Column:
 
 def line_ok(line: Column, r: Rules) -> Column:
     """Whether a line passes. Lines without a word pass: they are kept as paragraph breaks and carry no words."""
-    n = count(line, r"[^\x20\x09-\x0D]+")
-    navigation = count(line, r"(?<![^\x20\x09-\x0D])[|»›•·/](?![^\x20\x09-\x0D])") > r.max_separator * n
-    symbols = count(line, SYMBOL_RE + "{2,}") > r.max_symbol * n
-    exclaim = count(line, "!{2,}") > r.max_exclaim * n
-    unpunctuated = (n > r.max_plain_words) & ~line.rlike(r"[.!?…。！？:;]")
-    boilerplate = (n <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE_RE)
-    return (n == 0) | ~(navigation | symbols | exclaim | unpunctuated | boilerplate)
+    def judge(n: Column) -> Column:
+        navigation = count(line, r"(?<![^\x20\x09-\x0D])[|»›•·/](?![^\x20\x09-\x0D])") > r.max_separator * n
+        symbols = count(line, SYMBOL_RE + "{2,}") > r.max_symbol * n
+        exclaim = count(line, "!{2,}") > r.max_exclaim * n
+        unpunctuated = (n > r.max_plain_words) & ~line.rlike(r"[.!?…。！？:;]")
+        boilerplate = (n <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE_RE)
+        return (n == 0) | ~(navigation | symbols | exclaim | unpunctuated | boilerplate)
+
+    # Bound once: an expression inside a lambda is computed wherever it stands.
+    return F.transform(F.array(count(line, r"[^\x20\x09-\x0D]+")), judge)[0]
 
 
 def with_repeats(d: DataFrame, ws: str, size: str, out: str) -> DataFrame:
