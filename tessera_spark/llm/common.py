@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import gc
 import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,16 +73,11 @@ def discard(*tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects what refers to them
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of so many rows for what runs inside: texts can be long, and two workers share an executor's memory."""
+def limit_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most so many rows from now on: texts can be long, and the Python workers share an executor's memory with its heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 class Scratch:

@@ -138,6 +138,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have no tokens and no leaves. Rows count one by one; repeated rows agree.
     """
+    common.limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +164,7 @@ def recount(counted: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", tex
     pass through untouched; edits of unknown documents do nothing; a null `new` deletes.
     """
     per_doc = edits.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("new", F.lit("")).alias("n"))).alias("_edits"))
+    common.limit_batches(counted.sparkSession)
     joined = counted.join(per_doc, F.col(id_col) == F.col("_id"), "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), "n_tokens", "leaf_chars", "leaf_tokens", "_edits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +191,7 @@ def count_redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     One pass: the edits come from the text itself, so no join is needed.
     """
+    common.limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     found = re.compile(pattern)
 

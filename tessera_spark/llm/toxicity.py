@@ -149,6 +149,7 @@ def score_documents(docs: DataFrame, model, *, text_col: str = "text", out: str
 
     Null and empty texts get the intercept's score. Rows are scored one by one; repeated rows agree, other columns pass through.
     """
+    common.limit_batches(docs.sparkSession)
     return docs.withColumn(out, scorer(model, p)(F.col(text_col)))
 
 
@@ -167,4 +168,5 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, p: Params = Params()) -> DataFrame:
     """The documents scored below threshold, with their own columns."""
     model = fit(docs, labels, p)
+    common.limit_batches(docs.sparkSession)
     return docs.where(scorer(model, p)(F.col("text")) < threshold)
