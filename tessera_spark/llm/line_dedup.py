@@ -97,6 +97,17 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def plausible(a: str, b: str, tau: int) -> Column:
+    """A condition that strings within tau edits meet: of 2 (tau + 1) pieces of a, all but tau occur in b."""
+    k = 2 * (tau + 1)
+    n = F.length(a)
+    cut = [F.floor(n * i / k).cast("int") for i in range(k + 1)]
+    found = F.lit(0)
+    for i in range(k):
+        found = found + F.contains(F.col(b), F.substring(a, cut[i] + 1, cut[i + 1] - cut[i])).cast("int")
+    return found >= k - tau
+
+
 def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b: hashes of different lines within tau edits, from lines (h, x); equal rows may repeat."""
     rows = lines.select("h", "x", F.lit(0).cast("long").alias("salt"), F.lit(BOTH).alias("role"), F.lit(0).alias("delta"))
@@ -108,7 +119,7 @@ def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
         texts = met.select("h", "x").distinct() if texts is None else texts  # the lines themselves, at first
         small = met if depth == DEPTH else met.where(F.col("m") <= LEAF)
         x, y = small.where(F.col("role").bitwiseAND(INDEX) != 0).alias("x"), small.where(F.col("role").bitwiseAND(PROBE) != 0).alias("y")
-        p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h"))).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
+        p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & plausible("x.x", "y.x", tau)).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
         pairs = p if pairs is None else pairs.union(p)
         large = met.where(F.col("m") > LEAF)
         if depth == DEPTH or not large.limit(1).count():
@@ -153,7 +164,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_ls"), i)), "\n"))
     out = out.withColumn("_ls", F.when(F.col("_gone").isNotNull(), lines))
     keep = [(cleaned if f"c{i}" == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return out.select(*keep, n_lines.alias("n_lines"), F.coalesce("_eq", F.lit(0)).cast("long").alias("n_equal"), F.coalesce("_nr", F.lit(0)).cast("long").alias("n_near"))
 
 
