@@ -22,6 +22,7 @@ from . import common
 #: A candidate: at least this many characters of a key's alphabet in one word, with a digit.
 MIN_CHARS = 16
 CANDIDATE_RE = r"[A-Za-z0-9+/_.\-]{16,}={0,2}"
+PIECE_RE = rf"(?s)(.*?)({CANDIDATE_RE}|\z)"
 PRIVATE_KEY_RE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 # Words that real keys do not consist of, words around keys, words around other long strings, telling paths.
 DICTIONARY = (
@@ -116,24 +117,32 @@ def fit(spark: SparkSession, findings: DataFrame | None = None, p: Params = Para
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(id, word, value, before, after, path) of each candidate, word counting from 0."""
+    """(id, word, value, before, after, path) of each candidate, word counting from 0.
+
+    Every match of a word that has a digit is a candidate. Its neighbours are the words around and, inside its own word, what
+    lies between it and the matches beside it, with the match before it (which can be the key's name).
+    """
     ws = F.col("ws")
     base = docs.select(F.col(id_col).alias("id"), (F.col(path_col) if path_col else F.lit("")).alias("path"), common.words(F.col(text_col)).alias("ws"))
     at = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (F.length(F.get(ws, i)) >= MIN_CHARS) & F.get(ws, i).rlike("[0-9]") & F.get(ws, i).rlike(CANDIDATE_RE))
     # No filters on computed columns before the generator: Catalyst would push them down with a split inside each lambda.
     at = F.when(F.size(ws) > 0, at)
     hits = base.withColumn("at", at).select("id", "path", "ws", F.explode_outer("at").alias("word")).where("word is not null")
-    word = F.get(ws, F.col("word"))
-    value = F.regexp_extract(word, CANDIDATE_RE, 0)
-    inside = F.substring(word, F.lit(1), F.instr(word, value) - 1)
-    before = F.concat_ws(" ", F.slice(ws, F.greatest(F.lit(1), F.col("word") - 2), F.least(F.col("word"), F.lit(3))))
-    return hits.select("id", "word", value.alias("value"), F.concat_ws(" ", before, F.regexp_replace(inside, r"[\"'\s]+$", "")).alias("before"), F.coalesce(F.get(ws, F.col("word") + 1), F.lit("")).alias("after"), "path").where(
-        F.col("value").rlike("[0-9]")
-    ).withColumn("before", F.rtrim("before"))
+    # A word falls into matches v, each after a gap g; the last gap is the word's tail, with an empty v. b is the match before, n the gap and nv the match after.
+    gaps, values = (F.regexp_extract_all(F.get(ws, F.col("word")), F.lit(PIECE_RE), F.lit(i)) for i in (1, 2))
+    rest = lambda parts: F.slice(parts, 2, F.size(parts))
+    pieces = F.arrays_zip(values.alias("v"), gaps.alias("g"), F.concat(F.array(F.lit(None).cast("string")), values).alias("b"), rest(gaps).alias("n"), rest(values).alias("nv"))
+    each = hits.select("id", "path", "ws", "word", F.explode_outer(F.filter(pieces, lambda x: x["v"].rlike("[0-9]"))).alias("m")).where("m is not null")
+    words_before = F.concat_ws(" ", F.slice(ws, F.greatest(F.lit(1), F.col("word") - 2), F.least(F.col("word"), F.lit(3))))
+    gap = F.regexp_replace(F.col("m.g"), r"[\"'\s]+$", "")
+    before = F.when(F.col("m.b").isNull(), F.concat_ws(" ", words_before, gap)).otherwise(F.concat("m.b", gap))
+    after = F.concat_ws(" ", F.regexp_extract("m.n", r"^[^,;&{}]*", 0), F.when(F.col("m.nv") == "", F.get(ws, F.col("word") + 1)))
+    return each.select("id", "word", F.col("m.v").alias("value"), F.rtrim(before).alias("before"), after.alias("after"), "path")
 
 
 def scan(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", p: Params = Params()) -> DataFrame:
     """(id, word, value_sha256, n_chars, probability, is_secret): one row per candidate; secrets are shown by their hash.
+    Several candidates of one word share its number.
 
     Headers of private keys are secrets with probability 1, at the word that starts them. Null and empty texts have no
     candidates; a null path counts as none. Repeated rows give repeated findings. Other columns are not looked at.

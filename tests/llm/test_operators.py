@@ -418,6 +418,18 @@ def test_secrets_held_out(spark, odd, empty):
     assert secrets.scan(odd, model).count() == 0 and secrets.scan(empty, model).count() == 0
 
 
+def test_secrets_every_match_of_a_word(spark):
+    key, ghp, other = "wJalrXUtnFEMI4K7MDENG9bPxRfiCYq2hT8sLd0Z", "ghp_" + "a1B2c3D4e5F6g7H8i9" * 2, "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"see https://host.example.com/path/items?token={ghp} now", f'{{"api_key":"{other}","token":"{ghp}"}}', f"\u2028{key}\u2028"]
+    docs = make(spark, [(i, t, "src1") for i, t in enumerate(texts)])
+    got = {(r["id"], r["value"]): (r["before"].strip(), r["after"].strip(' "\u2028}')) for r in secrets.candidates(docs, "doc_id", "text", "source").collect()}
+    assert set(got) == {(0, key), (1, ghp), (2, other), (2, ghp), (3, key)}
+    assert got[0, key] == ("AWS_SECRET_ACCESS_KEY=", "") and got[2, other] == ('{"api_key":', "")
+    assert got[1, ghp] == ("//host.example.com/path/items?token=", "now") and got[2, ghp] == (f'{other}","token":', "")
+    found = secrets.scan(docs, secrets.fit(spark)).where("is_secret and doc_id < 3").select("doc_id", "value_sha256").collect()
+    assert len(found) == 4
+
+
 def test_licences(spark, odd, empty):
     text = "\n".join(["intro", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "The driver lost his license on the road.", "This work is licensed under the GNU General Public License, version 3."])
     got = [(r["line"], r["family"]) for r in licences.scan(make(spark, [(1, text, "a")])).orderBy("line").collect()]
