@@ -55,7 +55,7 @@ OTHERS = (
     "A commercial agreement was signed in May.", "The mozilla browser opened the page.", "The apache tribe lived in the south.", "MIT students built a bridge.", "The terms of the agreement are not public.",
     "The project is available to members.", "See the manual for details.", "The domain is open to the public.", "Liability was denied by the insurer.",
 )
-#: A paragraph without any of these cannot be covered by a template, so it is not a candidate.
+#: A paragraph with any of these is a candidate, and so is one that covers a template: see lures().
 CUES = ("licen", "spdx", "redistribut", "permission is hereby", "proprietary", "unauthorized copying", "public domain", "mozilla public", "creative commons", "gnu ")
 UNKNOWN = "unknown"
 
@@ -145,15 +145,48 @@ def _templates() -> dict[str, list[list[str]]]:
     return {fam: [[_clean(w) for w in _words(t)] for t in (*NAMES[fam], *GRANTS.get(fam, ()))] for fam in NAMES}
 
 
+def _grams(words: list[str]) -> set[str]:
+    return set(words) | {f"{a} {b}" for a, b in itertools.pairwise(words)}
+
+
+@lru_cache(4)
+def lures(p: Params = Params()) -> tuple[str, ...]:
+    """Words of which every paragraph that covers a template by min_cover has one: of each template so many that the rest of it covers less."""
+    plain, out = {w for o in OTHERS for w in map(_clean, _words(o))}, set()
+    for t in sorted((t for ts in _templates().values() for t in ts), key=len):
+        left = lambda: len(_grams(t)) - len({g for g in _grams(t) if out & set(g.split())})  # noqa: E731, B023
+        for w in sorted(set(t), key=lambda w: (w in plain, -len(w), w)):
+            if left() < p.min_cover * len(_grams(t)):
+                break
+            out.add(w)
+    return tuple(sorted(out))
+
+
+#: Names of one word can be ordinary words elsewhere (German "mit"): alone they count as a template only as written, or after a frame's words.
+SHORT_NAMES = tuple(n for ns in NAMES.values() for n in ns if len(_words(n)) == 1)
+SHORT_RE = r"(?<![\p{L}\p{N}])(" + "|".join(SHORT_NAMES) + r"|(?i:(the|under|a)\s+(" + "|".join(SHORT_NAMES) + r")))(?![\p{L}\p{N}])"
+
+
+def _column_grams(ws: Column) -> Column:
+    return F.array_union(ws, F.transform(F.arrays_zip(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))).alias("a"), F.slice(ws, 2, F.size(ws)).alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"])))
+
+
+def _shares(grams: Column, templates: list[list[str]]) -> list[Column]:
+    return [F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in sorted(_grams(t))]))) / float(len(_grams(t))) for t in templates]
+
+
+def covers_any(ws: Column, text: Column, p: Params) -> Column:
+    """Whether the paragraph covers a template of two or more words, or has a name of one word."""
+    long = [t for ts in _templates().values() for t in ts if len(t) > 1]
+    return text.rlike(SHORT_RE) | F.exists(F.array(_column_grams(ws)), lambda g: F.greatest(*_shares(g, long)) >= p.min_cover)
+
+
 def covered(ws: Column, family: Column) -> Column:
     """The largest share of a template's words, in bigrams beside single words, that the paragraph has; 0 for unknown."""
     out = F.lit(0.0)
-    grams = F.array_union(ws, F.transform(F.arrays_zip(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))).alias("a"), F.slice(ws, 2, F.size(ws)).alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"])))
+    grams = _column_grams(ws)
     for fam, templates in _templates().items():
-        best = []
-        for t in templates:
-            want = sorted(set(t) | {f"{a} {b}" for a, b in itertools.pairwise(t)})
-            best.append(F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in want]))) / float(len(want)))
+        best = _shares(grams, templates)
         out = F.when(family == fam, F.greatest(*best) if len(best) > 1 else best[0]).otherwise(out)
     return out
 
@@ -169,8 +202,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p:
     weights, bias, families = model(p)
     table = common.local_table(spark, [{"g": g, "w": w} for g, w in weights.items()], "g: string, w: array<double>")  # at most max_features rows
     k = len(families)
-    has = lambda c: F.lit(False) if not CUES else F.expr(" or ".join(f"contains(lower({c}), '{x}')" for x in CUES))
-    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t")).select("id", F.posexplode_outer(F.split("t", "\n")).alias("line", "x")).where(has("x"))
+    has = lambda c, cues: F.expr(" or ".join(f"contains(lower({c}), '{x}')" for x in cues))
+    wide = (*CUES, *(w for w in lures(p) if not any(x in w for x in CUES)))
+    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t", wide)).select("id", F.posexplode_outer(F.split("t", "\n")).alias("line", "x")).where(has("x", wide))
+    lines = lines.where(has("x", CUES) | covers_any(_column_words(F.col("x")), F.col("x"), p))
     paragraphs = lines.select("id", "line", F.xxhash64("x").alias("h"), _column_words(F.col("x")).alias("ws"))
     bigrams = F.transform(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.size("ws")).alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"]))
     exploded = paragraphs.select("id", "line", "h", "ws", F.explode_outer(F.array_union("ws", bigrams)).alias("g"))

@@ -437,6 +437,17 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == 0 and licences.scan(empty).count() == 0
 
 
+def test_licences_every_template_is_found(spark):
+    texts = [f.format(n) for ns in licences.NAMES.values() for n in ns for f in licences.FRAMES] + [g for gs in licences.GRANTS.values() for g in gs]
+    got = {r["doc_id"]: r for r in licences.scan(make(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    names = {"Released under the GPL-3.0.": "GPL", "This project is distributed under the terms of the Apache-2.0.": "Apache-2.0", "The code is available under the CC BY-SA 4.0.": "CC-BY-SA", "Released under the MIT.": "MIT"}
+    assert {t: got[texts.index(t)]["family"] for t in names} == names
+    for t in licences._templates().values():
+        assert all(set(x) & set(licences.lures()) for x in t)
+    assert licences.scan(make(spark, [(1, "er kam mit dem Zug an", "a"), (2, "the limit of the summit", "a")])).count() == 0
+
+
 def test_licence_model_held_out():
     data = licences.labelled()
     weights, bias, families = licences.model()
