@@ -29,7 +29,7 @@ class Params:
     max_per_class: int = 3000
     min_docs: int = 4
     smooth: float = 0.5
-    z: float = 5.0
+    g2: float = 12.0
     rounds: int = 60
     l2: float = 0.02
     seed: int = 11
@@ -59,8 +59,18 @@ def features(text: str | None, p: Params) -> np.ndarray:
     return np.unique(np.concatenate([grams(data, s, p.bits) for s in p.sizes]))
 
 
+def association(counts: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """G2 of each feature's presence and the label: it grows with the texts that a feature is in, and a class without it does not weaken it."""
+    seen, out = counts.sum(0), np.zeros(counts.shape[1])
+    for c, n in ((counts[0], n0), (counts[1], n1)):
+        for here, total in ((c, seen), (n - c, n0 + n1 - seen)):
+            met = here > 0
+            out[met] += 2 * here[met] * np.log(here[met] / (total[met] * (n / (n0 + n1))))
+    return out
+
+
 def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rate: float | None = None) -> tuple[np.ndarray, float]:
-    """(weight of each hashed feature, intercept). rate is the share of label 1 among all labels, by default the sample's. Features whose log-count ratio is below z standard errors weigh nothing."""
+    """(weight of each hashed feature, intercept). rate is the share of label 1 among all labels, by default the sample's. Features in fewer than min_docs texts or with a G2 below g2 weigh nothing."""
     labels = np.asarray(labels, np.float64)
     if len(labels) == 0 or labels.min() == labels.max():
         only = (labels.sum() + p.smooth) / (len(labels) + 2 * p.smooth)
@@ -70,8 +80,7 @@ def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rat
         counts[int(y)][features(t, p)] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     ratio = np.log((counts[1] + p.smooth) / (n1 + 2 * p.smooth)) - np.log((counts[0] + p.smooth) / (n0 + 2 * p.smooth))
-    spread = np.sqrt(1 / (counts[1] + p.smooth) + 1 / (counts[0] + p.smooth))
-    use = (counts.sum(0) >= p.min_docs) & (np.abs(ratio) >= p.z * spread)
+    use = (counts.sum(0) >= p.min_docs) & (association(counts, n0, n1) >= p.g2)
     ratio = np.where(use, ratio, 0.0)
     rows = [f[use[f]] for f in (features(t, p) for t in texts)]
     lens = np.array([len(r) for r in rows])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,31 @@ def test_toxicity_learns_and_scores_every_text(spark, odd, empty):
     assert toxicity.reject_toxic(empty, y.limit(0)).count() == 0
 
 
+def test_toxicity_weighs_rare_words_of_toxic_texts():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(rng.randint(5, 60))) for _ in range(1800)]
+    labels = np.array([i % 3 == 0 for i in range(1800)], int)
+    for i in range(0, 1800, 3):  # one word in 95 %, another in 5 % of the toxic labels
+        texts[i] += " zorkuma" if i % 60 == 0 else " vilething"
+    p = toxicity.Params()
+    w, b = toxicity.train(texts, labels, p)
+    score = lambda t: toxicity.score_one(t, w, b, p)
+    assert score(f"{word()} {word()} zorkuma") >= 0.5 and score(f"{word()} {word()} vilething") >= 0.5
+    assert sum(score(" ".join(word() for _ in range(20))) >= 0.5 for _ in range(100)) <= 3
+
+
+def test_toxicity_learns_from_few_labels():
+    frame = {n: pd.read_parquet(f"/root/testdata/{n}/documents.parquet").merge(pd.read_parquet(f"/root/testdata/{n}/labels.parquet"), on="doc_id") for n in ("sf0.001", "sf0.01")}
+    p = toxicity.Params()
+    models = {n: toxicity.train(list(d["text"]), d["toxic"].to_numpy(), p) for n, d in frame.items()}
+    for n, d in frame.items():
+        right = [(toxicity.score_one(t, *models[n], p) >= 0.5) == y for t, y in zip(d["text"], d["toxic"], strict=True)]
+        assert sum(right) >= 0.95 * len(right)
+    w, _ = models["sf0.01"]
+    assert all(w[toxicity.features(f" {x} ", p)].sum() > 0 for x in ("scum", "clown", "stupid", "disgusting"))
+
+
 def test_toxicity_blocks_agree(monkeypatch):
     w = np.zeros(1 << 20, np.float32)
     p = toxicity.Params()
