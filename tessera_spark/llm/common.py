@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import json
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +30,11 @@ def local_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a local session gets a temporary one; a cluster has to name one that all machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -73,13 +78,37 @@ def discard(*tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver collects what refers to them
 
 
+#: Tables of up to so many bytes of Parquet are broadcast; a join by shuffle takes the place beyond.
+BROADCAST_BYTES = 4 << 20
+
+
+def bounded(table: DataFrame, *columns: str) -> DataFrame | None:
+    """A materialized table (or some of its columns) to broadcast, if its files have at most BROADCAST_BYTES; else None."""
+    fs, path = _file(table.sparkSession, table._scratch)
+    if fs.getContentSummary(path).getLength() > BROADCAST_BYTES:
+        return None
+    return F.broadcast(table.select(*columns) if columns else table)
+
+
 def limit_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows from now on: texts can be long, and the Python workers share an executor's memory with its heap."""
+    """batches_of() for plans that run after the call that makes them: from now on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows in what is run inside `with`: texts can be long, and the Python workers share an executor's memory with its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """The tables materialized inside `with`; release() deletes them, once what was built on them has been written."""
 
