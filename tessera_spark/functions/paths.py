@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from .text import common_prefix
 
+# Directories whose children are features.
+AREA_ROOTS = ("features", "app", "pages", "components", "lib")
+
 
 def normal(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
@@ -24,7 +27,16 @@ def stem(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(base_name(path), r"(\.[^.]+)$", 1))
+    """Lower-case extension with its dot; a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(base_name(path), r"^.+(\.[^.]+)$", 1))
+
+
+def feature_area(path: Column) -> Column:
+    """The part of a path that names its feature: two segments, or three below src/ where the second is a known root."""
+    parts = F.filter(F.split(normal(path), "/"), lambda p: p != "")
+    known = lambda i: F.coalesce(F.get(parts, i).isin(*AREA_ROOTS), F.lit(False))
+    n = F.when((F.get(parts, F.lit(0)) == "src") & (F.size(parts) >= 3) & known(F.lit(1)), 3).otherwise(2)
+    return F.array_join(F.slice(parts, 1, n), "/")
 
 
 def closeness(a: Column, b: Column) -> Column:

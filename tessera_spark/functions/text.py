@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def name_tokens(name: Column) -> Column:
-    """Lower-case parts of a camel-case, snake-case or spaced name; acronyms stay whole."""
+    """Lower-case parts of a camel-case, snake-case, kebab-case or spaced name; acronyms stay whole. The two patterns are fixed values."""
     split = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(split), r"[^a-z0-9]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(split), r"[_\s\-]+"), lambda x: x != "")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -41,8 +41,15 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Token Jaccard plus shares for common leading and trailing tokens, at most 1."""
+    """Token Jaccard plus shares for common leading and trailing tokens, at most 1, with three decimals; 0 if either has no token."""
     from .sets import jaccard
 
     most = F.greatest(F.size(a), F.size(b), F.lit(1)).cast("double")
-    return clamp(jaccard(a, b) + 0.15 * common_prefix(a, b) / most + 0.15 * common_suffix(a, b) / most)
+    shares = common_prefix(a, b) / most * 0.15, common_suffix(a, b) / most * 0.15
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(clamp(round3(jaccard(a, b) + shares[0] + shares[1])))
+
+
+def path_tokens(path: Column) -> Column:
+    """Lower-case parts of a path's segments without its extension; camel case is split, repeats stay."""
+    plain = F.regexp_replace(path, r"\.[^.]+$", "")
+    return F.filter(F.split(F.lower(F.regexp_replace(plain, r"([a-z0-9])([A-Z])", "$1 $2")), r"[^a-z0-9]+"), lambda x: x != "")

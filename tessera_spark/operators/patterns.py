@@ -1,7 +1,8 @@
 """Similarity, clusters and precedents of structural fingerprints.
 
 Rows: pattern_id, kind, repo_id, file_id, name, structural, imports, export_shape, role, ui, async_, responsibility, family, deps,
-dep_tokens, confidence. Sets are array<string>; null is empty. Every rule is a column expression.
+dep_tokens, confidence, indexed. Sets are array<string>; null is empty. indexed says whether the pattern's file is structurally
+indexed; null stands for a pattern without an anchor. Every rule is a column expression.
 """
 
 from __future__ import annotations
@@ -15,12 +16,20 @@ from ..functions import sets, text
 from . import graph, tables
 
 SETS = ("structural", "imports", "ui", "async_", "responsibility", "deps", "dep_tokens")
-# Kinds with loose structure, kinds whose names count, families that go together, roles of one group.
-BROAD = ("ui_component", "util_function", "type_definition")
-NAMED = ("api_route", "hook", "service", "ui_component")
-COMPATIBLE = (("page", "routed_page"), ("hook", "store"))
-ROLE_GROUPS = {"component": "view", "page": "view", "layout": "view", "hook": "logic", "service": "logic", "util": "logic", "store": "logic"}
+# Kinds with loose structure, kinds whose names count, families that go together, roles of one group, labels of families.
+BROAD = ("component", "hook", "async-data-flow")
+NAMED = ("component", "hook", "async-data-flow", "utility-export")
+COMPATIBLE = (("page", "routed_page_or_screen"), ("hook_or_context", "state_or_store"))
+ROLE_GROUPS = (("component", "hook"), ("utility", "module", "handler"), ("story", "test"))
+LABELS = {
+    "ui_component": "component", "ui_wrapper_or_shell": "wrapper", "page": "page", "routed_page_or_screen": "page", "hook_or_context": "hook/context", "state_or_store": "store/context",
+    "util_or_helper": "utility", "api_or_handler": "API/handler", "module_or_integration": "module", "support_runtime": "support",
+}
+#: Tokens that name no neighbourhood of components.
+GENERIC_TOKENS = ("ui", "component", "components", "shared", "common")
 THRESHOLD = 0.7
+CORE_SCORE, RELATED_SCORE = 0.62, 0.58
+SUB_MEMBERS, SUB_PARENT, SUB_COHESION, SUB_EDGE = 4, 40, 0.78, 0.28
 
 
 def _c(side: str, name: str) -> Column:
@@ -40,19 +49,26 @@ def export_similarity(a: Column, b: Column) -> Column:
 
 def role_similarity(a: Column, b: Column) -> Column:
     a, b = F.coalesce(a, F.lit("unknown")), F.coalesce(b, F.lit("unknown"))
-    group = F.create_map(*[F.lit(v) for kv in ROLE_GROUPS.items() for v in kv])
-    same = F.coalesce(F.element_at(group, a) == F.element_at(group, b), F.lit(False))
+    same = F.lit(False)
+    for group in ROLE_GROUPS:
+        same = same | (a.isin(*group) & b.isin(*group))
     return F.when(a == b, 1.0).when(same, 0.45).when((a == "unknown") | (b == "unknown"), 0.25).otherwise(0.0)
 
 
 def family_similarity(a: Column, b: Column) -> Column:
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     fits = F.lit(False)
-    for p, q in COMPATIBLE:
-        fits = fits | ((a == p) & (b == q)) | ((a == q) & (b == p))
+    for pair in COMPATIBLE:
+        fits = fits | (a.isin(*pair) & b.isin(*pair))
     return F.when(a == b, 1.0).when(fits, 0.85).otherwise(0.0)
 
 
+def name_overlap() -> Column:
+    """How alike the names are, for kinds whose names count."""
+    tokens = [text.name_tokens(_c(side, "name")) for side in "xy"]
+    return F.when(_c("x", "kind").isin(*NAMED), text.name_similarity(*tokens)).otherwise(0.0)
+
+
 def dependency_overlap() -> Column:
     """The strongest of shared dependencies, their tokens and imports, the latter two discounted."""
     part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
@@ -86,7 +102,7 @@ def similarity() -> Column:
     s = F.when(_c("x", "kind").isin(*BROAD) & (structural < 0.5), F.least(s, F.lit(0.6))).otherwise(s)
     s = s * (representativeness("x") + representativeness("y")) / 2.0
     s = s * F.when(fewest <= 1, 0.9).otherwise(1.0)
-    name = text.name_similarity(text.name_tokens(_c("x", "name")), text.name_tokens(_c("y", "name")))
+    name = name_overlap()
     s = F.when(_c("x", "kind").isin(*NAMED), 0.85 * s + 0.15 * name).otherwise(s) * F.when(name > 0.6, 1.05).otherwise(1.0)
     r = _both(sets.jaccard, "responsibility", empty=1.0)
     known = (size("x", "responsibility") > 0) & (size("y", "responsibility") > 0)
@@ -99,21 +115,26 @@ def gate(score: Column, threshold: float = THRESHOLD) -> Column:
     part = lambda n, **k: _both(sets.jaccard, n, **(k or {"either_empty": 0.0}))
     structural, imports, resp, ui, async_ = part("structural", empty=1.0), part("imports"), part("responsibility"), part("ui"), part("async_")
     dep, family = dependency_overlap(), _both(family_similarity, "family")
-    name = text.name_similarity(text.name_tokens(_c("x", "name")), text.name_tokens(_c("y", "name")))
+    name = name_overlap()
     broad = _c("x", "kind").isin(*BROAD)
-    align = alignment("x", "y")
+    align = F.least(alignment("x"), alignment("y"))
     return (
         (_c("x", "kind") == _c("y", "kind")) & (score >= threshold) & (family > 0) & (structural > 0) & ~(broad & (structural < 0.5)) & ~((align <= 0.2) & (dep < 0.18))
         & ~((dep < 0.18) & (imports < 0.45) & (resp < 0.55) & (ui == 0) & (async_ == 0)) & ~((family < 1) & (dep < 0.34) & (resp < 0.55)) & ~(broad & (dep < 0.18) & (imports < 0.45) & (name < 0.2))
     )
 
 
-def alignment(x: str, y: str) -> Column:
-    """How comparable two structural anchors are: by shared dependencies 1, by tokens 0.8, not at all 0.6; unindexed 0.2."""
-    none = F.array().cast("array<string>")
-    has = lambda n: F.size(F.array_intersect(F.coalesce(_c(x, n), none), F.coalesce(_c(y, n), none))) > 0
-    unindexed = _c(x, "deps").isNull() | _c(y, "deps").isNull()
-    return F.when(unindexed, 0.2).when(has("deps"), 1.0).when(has("dep_tokens"), 0.8).otherwise(0.6)
+def alignment(side: str) -> Column:
+    """How well a pattern is anchored: by resolved dependencies 1, by their tokens 0.8, in an indexed file or unknown 0.6, not indexed 0.2."""
+    some = lambda n: F.coalesce(F.size(_c(side, n)), F.lit(0)) > 0
+    return F.when(_c(side, "indexed").isNull(), 0.6).when(~_c(side, "indexed"), 0.2).when(some("deps"), 1.0).when(some("dep_tokens"), 0.8).otherwise(0.6)
+
+
+def core_rule(score: Column, cluster_family: Column) -> Column:
+    """Whether y is a core member of the cluster of representative x."""
+    part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
+    near = (dependency_overlap() >= 0.2) | (part("imports") >= 0.4) | (part("responsibility") >= 0.5)
+    return (family_similarity(cluster_family, _c("y", "family")) > 0) & (score >= CORE_SCORE) & (F.least(alignment("x"), alignment("y")) >= 0.6) & near
 
 
 def scored_pairs(p: DataFrame, *, shared_signal: bool) -> DataFrame:
@@ -138,36 +159,145 @@ def find_similar(p: DataFrame, pattern_id: str, limit: int = 6) -> DataFrame:
     return j.select(F.col("y.pattern_id").alias("pattern_id"), text.round3(s).alias("score")).where("score > 0").orderBy(F.desc("score"), "pattern_id").limit(limit)
 
 
-def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(pattern_id, cluster, representative, n, role): components of the gate, core members against the representative.
+def precedent_score(score: Column, *, usage: Column, importers: Column, anchored: Column) -> Column:
+    """How good a precedent y is for x, 0 to 1 with three decimals: likeness, export, another file, uses, importers, anchor (`high`, `none` or other) and overlaps."""
+    shown = F.when(_c("y", "export_shape").isin("default", "named", "mixed"), 0.06).otherwise(0.0)
+    apart = F.when(_c("x", "file_id") != _c("y", "file_id"), 0.04).otherwise(0.0)
+    few = lambda n: F.least(F.lit(0.04), 0.01 * n)
+    anchor = F.when(anchored == "none", 0.0).when(anchored == "high", 0.04).otherwise(0.02)
+    part = lambda n: _both(sets.jaccard, n)
+    s = 0.82 * score + shown + apart + few(usage) + few(importers) + anchor + 0.05 * part("deps") + 0.04 * part("dep_tokens") + 0.05 * part("responsibility")
+    return text.round3(text.clamp(s))
 
-    The representative has the largest sum of scores within its cluster, then the most structural signals, then the least id.
-    """
+
+def _sums(links: DataFrame, member: DataFrame, group: str) -> DataFrame:
+    """(pattern_id, _sum): each member's summed scores within its group."""
+    both = links.select("a", "b", "score").union(links.select("b", "a", "score"))
+    mine = both.join(member.select(F.col("pattern_id").alias("a"), F.col(group).alias("_g")), "a").join(member.select(F.col("pattern_id").alias("b"), F.col(group).alias("_h")), "b")
+    return mine.where("_g = _h").groupBy(F.col("a").alias("pattern_id")).agg(text.round3(F.sum("score")).alias("_sum"))
+
+
+def representatives(p: DataFrame, links: DataFrame, member: DataFrame, group: str) -> DataFrame:
+    """(group, representative): the member with the largest sum of scores within its group, then the most structural signals, then the least id."""
+    m = member.select("pattern_id", group).join(p.select("pattern_id", F.size("structural").alias("_signals")), "pattern_id").join(_sums(links, member, group), "pattern_id", "left")
+    best = tables.keep_best(m, [group], [F.desc(F.coalesce("_sum", F.lit(0.0))), F.desc("_signals"), F.col("pattern_id")])
+    return best.select(group, F.col("pattern_id").alias("representative"))
+
+
+def families(p: DataFrame, member: DataFrame) -> DataFrame:
+    """(cluster, family): the most frequent family, then the first by name."""
+    n = member.select("pattern_id", "cluster").join(p.select("pattern_id", F.coalesce("family", F.lit("")).alias("family")), "pattern_id").groupBy("cluster", "family").agg(F.count("*").alias("_n"))
+    return tables.keep_best(n, ["cluster"], [F.desc("_n"), F.col("family")]).select("cluster", "family")
+
+
+def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(pattern_id, cluster, representative, family, n, role): components of the gate, core members against the representative."""
     links = save(scored_pairs(p, shared_signal=True))
     comp = graph.components(links.where("passes"), "a", "b", save)
-    m = p.select("pattern_id", F.size("structural").alias("_signals")).join(comp.withColumnRenamed("node", "pattern_id"), "pattern_id", "left")
-    m = m.withColumn("cluster", F.coalesce("component", "pattern_id"))
+    m = p.select("pattern_id").join(comp.withColumnRenamed("node", "pattern_id"), "pattern_id", "left")
+    m = save(m.select("pattern_id", F.coalesce("component", "pattern_id").alias("cluster")))
+    m = m.join(representatives(p, links, m, "cluster"), "cluster").join(families(p, m).withColumnRenamed("family", "_family"), "cluster")
+    sizes = m.groupBy("cluster").agg(F.count("*").alias("n"))
     both = links.select("a", "b", "score").union(links.select("b", "a", "score"))
-    mine = both.join(m.select(F.col("pattern_id").alias("a"), "cluster"), "a").join(m.select(F.col("pattern_id").alias("b"), F.col("cluster").alias("_c")), "b").where(F.col("cluster") == F.col("_c"))
-    sums = mine.groupBy(F.col("a").alias("pattern_id")).agg(text.round3(F.sum("score")).alias("_sum"))
-    m = m.join(sums, "pattern_id", "left")
-    rep = tables.keep_best(m, ["cluster"], [F.desc(F.coalesce("_sum", F.lit(0.0))), F.desc("_signals"), F.col("pattern_id")]).select("cluster", F.col("pattern_id").alias("representative"))
-    m = m.join(rep, "cluster").withColumn("n", F.count("*").over(Window.partitionBy("cluster")))
-    to_rep = both.select(F.col("a").alias("pattern_id"), F.col("b").alias("representative"), F.col("score").alias("_s"))
-    m = m.join(to_rep, ["pattern_id", "representative"], "left")
-    core = (F.col("pattern_id") == F.col("representative")) | (F.coalesce("_s", F.lit(0.0)) >= 0.62)
-    return m.select("pattern_id", "cluster", "representative", "n", F.when(core, "core").otherwise("peripheral").alias("role"))
+    to_rep = both.select(F.col("a").alias("_m"), F.col("b").alias("_r"), F.col("score").alias("_s"))
+    j = m.join(sizes, "cluster").join(to_rep, (F.col("pattern_id") == F.col("_m")) & (F.col("representative") == F.col("_r")), "left").withColumnRenamed("pattern_id", "_id")
+    j = j.join(p.alias("x"), F.col("representative") == F.col("x.pattern_id")).join(p.alias("y"), F.col("_id") == F.col("y.pattern_id"))
+    core = (F.col("_id") == F.col("representative")) | core_rule(F.coalesce("_s", F.lit(0.0)), F.col("_family"))
+    return j.select(F.col("_id").alias("pattern_id"), "cluster", "representative", F.col("_family").alias("family"), "n", F.when(core, "core").otherwise("peripheral").alias("role"))
 
 
 def cohesion(p: DataFrame, membership: DataFrame) -> DataFrame:
-    """(cluster, n, same_family_ratio, dependency_overlap): means against the representative; a singleton has overlap 1."""
-    m = membership.select(F.col("pattern_id").alias("_member"), "cluster", "representative")
-    x = p.alias("x").join(m, F.col("x.pattern_id") == F.col("_member")).join(p.alias("y"), F.col("representative") == F.col("y.pattern_id"))
-    other = F.col("x.pattern_id") != F.col("representative")
-    g = x.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.avg((F.coalesce("x.family", F.lit("")) == F.coalesce("y.family", F.lit(""))).cast("double")).alias("same"), F.avg(F.when(other, dependency_overlap())).alias("dep")
-    )
-    return g.select("cluster", "n", text.round3(F.col("same")).alias("same_family_ratio"), text.round3(F.coalesce("dep", F.lit(1.0))).alias("dependency_overlap"))
+    """(cluster, n, same_family_ratio, dependency_overlap, structural_alignment): shares and means, the overlap against the representative; a singleton has overlap 1."""
+    m = membership.select(F.col("pattern_id").alias("_member"), "cluster", "representative", F.col("family").alias("_family"))
+    j = m.join(p.alias("x"), F.col("representative") == F.col("x.pattern_id")).join(p.alias("y"), F.col("_member") == F.col("y.pattern_id"))
+    g = j.groupBy("cluster").agg(
+        F.count("*").alias("n"), F.avg((family_similarity(F.col("_family"), _c("y", "family")) > 0).cast("double")).alias("same"),
+        F.avg(F.when(F.col("_member") != F.col("representative"), dependency_overlap())).alias("dep"), F.avg(alignment("y")).alias("aligned"),
+    )
+    return g.select("cluster", "n", text.round3(F.col("same")).alias("same_family_ratio"), text.round3(F.coalesce("dep", F.lit(1.0))).alias("dependency_overlap"), text.round3(F.col("aligned")).alias("structural_alignment"))
+
+
+def reasons(p: DataFrame, membership: DataFrame) -> DataFrame:
+    """(cluster, reason): a dependency token that half of the members share (two at least), else the family."""
+    t = membership.select("pattern_id", "cluster", "family", "n").join(p.select("pattern_id", F.explode("dep_tokens").alias("_t")), "pattern_id").groupBy("cluster", "_t").agg(F.count("*").alias("_k"))
+    top = t.groupBy("cluster").agg(F.max("_k").alias("_k"))
+    label = F.lit("runtime")
+    for k, v in LABELS.items():
+        label = F.when(F.col("family") == k, v).otherwise(label)
+    shared = F.coalesce("_k", F.lit(0)) >= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.5))
+    plain = F.when(F.col("family").isin(*COMPATIBLE[0]), "same page family").when(F.col("family") == "state_or_store", "shared store pattern").when(F.col("family") == "hook_or_context", "shared hook/context pattern")
+    reason = F.when(shared, F.concat(F.lit("shared "), label, F.lit(" dependencies"))).otherwise(F.coalesce(plain, F.concat(F.lit("same "), label, F.lit(" family"))))
+    return membership.select("cluster", "family", "n").distinct().join(top, "cluster", "left").select("cluster", reason.alias("reason"))
+
+
+def related_clusters(p: DataFrame, membership: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(cluster, related): clusters of one kind and incompatible families whose representatives are alike, or depend on the same; both ways.
+
+    Pairs of representatives meet by a shared dependency, token, import or responsibility, of which a related pair has one.
+    """
+    r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.col("family").alias("_family")).distinct().join(p, "pattern_id")
+    r = r.withColumn("family", F.coalesce("family", F.lit("")))
+    none = F.array().cast("array<string>")
+    marks = F.concat(*[F.transform(F.coalesce(n, none), lambda v, n=n: F.concat(F.lit(f"{n}:"), v)) for n in ("deps", "dep_tokens", "imports", "responsibility")])
+    m = r.select("cluster", "kind", F.explode(F.array_distinct(marks)).alias("mark"))
+    ids = m.alias("s").join(m.alias("t"), (F.col("s.kind") == F.col("t.kind")) & (F.col("s.mark") == F.col("t.mark")) & (F.col("s.cluster") < F.col("t.cluster"))).select(F.col("s.cluster").alias("a"), F.col("t.cluster").alias("b")).distinct()
+    j = ids.join(r.alias("x"), F.col("a") == F.col("x.cluster")).join(r.alias("y"), F.col("b") == F.col("y.cluster"))
+    dep, resp = dependency_overlap(), _both(sets.jaccard, "responsibility", either_empty=0.0)
+    far = (similarity() < max(threshold - 0.08, RELATED_SCORE)) & (dep < 0.5)
+    loose = (dep < 0.18) & (resp < 0.55)
+    found = j.where((family_similarity(F.col("x._family"), F.col("y._family")) == 0) & ~far & ~loose).select("a", "b")
+    return found.select(F.col("a").alias("cluster"), F.col("b").alias("related")).union(found.select("b", "a"))
+
+
+def neighborhoods(p: DataFrame, membership: DataFrame) -> DataFrame:
+    """(pattern_id, cluster, n, token): the rarest dependency token of each member that names a neighbourhood, within its cluster.
+
+    Tokens of a quarter of the cluster or more (four at least) count only where a pattern has no other; generic tokens only where it has none.
+    """
+    t = membership.select("pattern_id", "cluster", "n").join(p.select("pattern_id", F.posexplode("dep_tokens").alias("_at", "token")), "pattern_id").withColumn("_generic", F.col("token").isin(*GENERIC_TOKENS))
+    k = t.where("not _generic").groupBy("cluster", "token").agg(F.count("*").alias("_k"))
+    t = t.join(k, ["cluster", "token"], "left")
+    wide = F.coalesce("_k", F.lit(0)) >= F.greatest(F.lit(SUB_MEMBERS), F.floor(F.col("n") * 0.25))
+    order = [F.col("_generic"), wide, F.when(F.col("_generic"), F.col("_at")), F.col("_k"), F.col("token")]
+    return tables.keep_best(t, ["pattern_id"], order).select("pattern_id", "cluster", "n", "token")
+
+
+def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame], DataFrame], parent: int = SUB_PARENT) -> DataFrame:
+    """(pattern_id, cluster, sub, way): parts of large clusters of components, by links of dependencies (`graph`) or by neighbourhood tokens (`token`).
+
+    A part has SUB_MEMBERS members, and a cluster two parts. Tokens are taken where the largest part of links is at least as
+    lopsided, or where they give more parts. sub is the representative's id, or the token.
+    """
+    big = membership.where((F.col("family") == "ui_component") & (F.col("n") >= parent))
+    by_token = save(neighborhoods(p, big))
+    sized = by_token.groupBy("cluster", "token").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
+    split = sized.groupBy("cluster").agg(F.count("*").alias("_parts"), F.max("_k").alias("_largest"))
+    loose = cohesion(p, big).where(F.col("dependency_overlap") <= SUB_COHESION).select("cluster")
+    wanted = save(loose.union(split.where("_parts >= 2").select("cluster")).distinct())
+    big = save(big.join(wanted, "cluster"))
+    q = save(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"))
+    none = F.array().cast("array<string>")
+    marks = F.concat(*[F.transform(F.coalesce(n, none), lambda v, n=n: F.concat(F.lit(f"{n}:"), v)) for n in ("deps", "dep_tokens", "imports")])
+    m = q.select("pattern_id", "_c", F.explode(F.array_distinct(marks)).alias("mark"))
+    ids = m.alias("s").join(m.alias("t"), (F.col("s._c") == F.col("t._c")) & (F.col("s.mark") == F.col("t.mark")) & (F.col("s.pattern_id") < F.col("t.pattern_id"))).select(F.col("s.pattern_id").alias("a"), F.col("t.pattern_id").alias("b")).distinct()
+    part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
+    j = ids.join(q.alias("x"), F.col("a") == F.col("x.pattern_id")).join(q.alias("y"), F.col("b") == F.col("y.pattern_id")).withColumn("score", similarity())
+    linked = (dependency_overlap() >= SUB_EDGE) | ((part("dep_tokens") >= SUB_EDGE) & (F.col("score") >= THRESHOLD)) | ((part("imports") >= 0.5) & (part("responsibility") >= 0.5))
+    edges = save(j.select("a", "b", "score", linked.alias("linked")))
+    comp = graph.components(edges.where("linked"), "a", "b", save).withColumnRenamed("node", "pattern_id")
+    by_graph = save(big.select("pattern_id", "cluster").join(comp, "pattern_id", "left").withColumn("_part", F.coalesce("component", "pattern_id")))
+    g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
+    graph_parts = g.groupBy("cluster").agg(F.count("*").alias("_gp"), F.max("_k").alias("_gl")).where("_gp >= 2")
+    token_parts = split.where("_parts >= 2")
+    choice = wanted.join(graph_parts, "cluster", "left").join(token_parts, "cluster", "left")
+    token = F.col("_gp").isNull() | (F.col("_parts").isNotNull() & ((F.col("_largest") <= F.floor(F.col("_gl") * 0.85)) | (F.col("_parts") > F.col("_gp"))))
+    choice = save(choice.where("_gp is not null or _parts is not null").select("cluster", F.when(token, "token").otherwise("graph").alias("way")))
+    one = by_token.join(sized.select("cluster", "token"), ["cluster", "token"]).join(choice.where("way = 'token'"), "cluster").select("pattern_id", "cluster", F.col("token").alias("sub"), "way")
+    every = scored_pairs(q, shared_signal=False).select("a", "b", "score")
+    reps = representatives(q, every, by_graph.withColumn("_part", F.concat_ws("|", "cluster", "_part")), "_part")
+    two = by_graph.join(g.select("cluster", "_part"), ["cluster", "_part"]).join(choice.where("way = 'graph'"), "cluster").withColumn("_key", F.concat_ws("|", "cluster", "_part"))
+    two = two.join(reps.withColumnRenamed("_part", "_key"), "_key").select("pattern_id", "cluster", F.col("representative").alias("sub"), "way")
+    return one.unionByName(two)
 
 
 def dominant_signals(p: DataFrame, membership: DataFrame, column: str = "structural", k: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ def engine(spark, d) -> Engine:
     t = C.table(spark, d, "documents")
     own = t.select(F.concat(F.lit("d"), "doc_id").alias("file_id"), F.col("source").alias("repo"), F.concat_ws("/", F.lit("texts"), "lang", F.col("doc_id").cast("string")).alias("path"), F.lit("text").alias("classification"))
     lines = C.lines(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("file_id"), "line_no", "line")
-    return Engine(Corpus(C.files(spark, d).unionByName(own), C.symbols(spark, d), C.edges(spark, d), lines, pattern_queries._top(spark, d).select("file_id", "other", "score")))
+    return Engine(Corpus(C.files(spark, d).unionByName(own), C.symbols(spark, d), C.edges(spark, d), lines, pattern_queries._top(spark, d, 6).select(F.col("pattern_id").alias("file_id"), "other", "score")))
 
 
 _TEXTS = f"{C.LINES}, tx AS (SELECT repo, 'texts/' || dir || '/' || doc_id AS path, line_no, line FROM lines)"

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
-# Directories that are never source, and languages by extension.
-PRUNED = (".git", "build", "coverage", "dist", "node_modules", "out")
-LANGUAGES = {".ts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "jsx"}
-GENERATED_RE = r"(\.d\.ts|\.min\.js|\.generated\.[a-z]+)$"
+# Directories that are never walked, languages by extension, generated directories and file names, paths that are not indexed, and scopes of what search shows.
+PRUNED = (".git", "node_modules", ".next", "dist", "build", "coverage")
+LANGUAGES = {".js": "js", ".jsx": "jsx", ".ts": "ts", ".tsx": "tsx"}
+GENERATED_DIRS = (".next", ".turbo", ".cache", "out", "storybook-static", "generated")
+GENERATED_RE = r"(\.d\.ts|\.generated\.(js|jsx|ts|tsx)|\.min\.(js|jsx))$"
+SKIPPED = ((r"^\.github/", "automation"), (r"^bench/", "benchmark"), (r"/src/compiled/", "compiled"))
+FIXTURE_DIRS = ("__fixtures__", "__snapshots__", "fixture", "fixtures", "snapshot", "snapshots")
+SCOPES = {
+    "style_or_asset": ".avif .bmp .css .eot .gif .ico .jpeg .jpg .less .mp3 .mp4 .otf .pdf .png .sass .scss .svg .ttf .wav .webm .webp .woff .woff2",
+    "data_or_config": ".conf .env .graphql .gql .ini .json .json5 .jsonc .lock .toml .yaml .yml",
+    "documentation": ".adoc .md .mdx .rst .txt",
+    "template_or_markup": ".astro .hbs .handlebars .html .htm .liquid .njk .svelte .twig .vue .xml",
+}
+DATA_NAMES = (".env", ".env.example", ".env.local", "bun.lockb", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -40,23 +50,34 @@ def language(path: Column) -> Column:
     return out
 
 
+def _inside(path: Column, names: tuple[str, ...]) -> Column:
+    """Whether a segment of the path, its file name included, is one of names."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
+
+
 def classify(path: Column) -> Column:
-    """source, generated or unknown."""
-    return F.when(path.rlike(GENERATED_RE), "generated").when(language(path).isNotNull(), "source").otherwise("unknown")
+    """generated, source or unknown: by directory and name, then by extension."""
+    path = paths.normal(path)
+    return F.when(_inside(path, GENERATED_DIRS) | F.lower(path).rlike(GENERATED_RE), "generated").when(language(path).isNotNull(), "source").otherwise("unknown")
 
 
 def skip_reason(path: Column) -> Column:
-    """Why a source file is not indexed, or null."""
-    return F.when(path.rlike(r"(^|/)(\.next|vendor)/"), "vendored").when(path.contains(".min."), "minified").when(path.rlike(r"(^|/)fixtures?/"), "fixture")
+    """Why policy leaves a source file out of the symbol index, or null."""
+    out = F.lit(None).cast("string")
+    for pattern, reason in reversed(SKIPPED):
+        out = F.when(paths.normal(path).rlike(pattern), reason).otherwise(out)
+    return out
 
 
 def scope(path: Column) -> Column:
-    """The category of a file in search, the first that holds."""
-    low = F.lower(path)
-    return (
-        F.when(low.rlike(r"(^|/)(node_modules|vendor)/"), "vendor").when(low.rlike(GENERATED_RE), "generated").when(low.rlike(r"(^|[./])(test|spec|stories)\.|(^|/)(__tests__|tests?)/"), "test")
-        .when(low.rlike(r"\.(json|ya?ml|toml)$"), "config").when(low.rlike(r"\.(md|mdx|txt)$"), "docs").when(language(low).isNotNull(), "source").otherwise("other")
-    )
+    """What a file that search shows is to coverage: relevant_source, or the first reason why it is not."""
+    low = F.lower(paths.normal(path))
+    name, ext = paths.base_name(low), paths.extension(low)
+    out = F.when(classify(path) == "source", "relevant_source").when(_inside(low, FIXTURE_DIRS) | name.endswith(".snap"), "fixture_or_snapshot")
+    for kind, extensions in SCOPES.items():
+        hit = ext.isin(*extensions.split())
+        out = out.when(hit | name.isin(*DATA_NAMES) if kind == "data_or_config" else hit, kind)
+    return out.otherwise("other_non_source")
 
 
 def line_range(text: Column, start: int, end: int) -> Column:
