@@ -37,11 +37,15 @@ def best_tier(tiers: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def resolve_unique(imports: DataFrame, targets: DataFrame, on: Sequence[str], keys: Sequence[str], target: str) -> DataFrame:
-    """(keys, status, target, n_targets): resolved if exactly one distinct target matches, else ambiguous or unresolved."""
-    hits = imports.select(*keys, *[c for c in on if c not in keys]).distinct().join(targets.select(*on, target).distinct(), list(on), "left")
-    g = hits.groupBy(*keys).agg(F.countDistinct(target).alias("n_targets"), F.min(target).alias("_t"))
-    status = F.when(F.col("n_targets") == 1, "resolved").when(F.col("n_targets") > 1, "ambiguous").otherwise("unresolved")
-    return g.select(*keys, status.alias("status"), F.when(F.col("n_targets") == 1, F.col("_t")).alias("target"), "n_targets")
+    """(keys, status, target, n_targets): resolved if exactly one distinct target matches, else ambiguous or unresolved.
+
+    The columns `on` must follow from the keys. Targets are counted once for each value of `on`, before they meet any import.
+    """
+    t = targets.groupBy(*on).agg(F.countDistinct(target).alias("n_targets"), F.min(target).alias("_t"))
+    hits = imports.select(*keys, *[c for c in on if c not in keys]).distinct().join(t, list(on), "left")
+    n = F.coalesce("n_targets", F.lit(0))
+    status = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
+    return hits.select(*keys, status.alias("status"), F.when(n == 1, F.col("_t")).alias("target"), n.alias("n_targets"))
 
 
 def nearest_ancestor(files: DataFrame, configs: DataFrame, key: str, path: str, config_dir: str, config: str) -> DataFrame:

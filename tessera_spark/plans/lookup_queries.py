@@ -71,8 +71,10 @@ def import_resolution_unique(spark, d):
     """Names imported through a kind, resolved inside the importer's repository if one file exports them."""
     f, s = C.files(spark, d).select("file_id", "repo"), C.symbols(spark, d)
     own = s.where("exported").join(f, "file_id").select("repo", "name", "file_id")
-    kinds = s.select(F.col("file_id").alias("to_id"), "kind").distinct()
-    named = C.table(spark, d, "part").where("p_size = 7").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name")).distinct().join(s.select("name").distinct(), "name")
+    sold = C.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(C.table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    kinds = sold.select(F.concat(F.lit("s"), "l_suppkey").alias("to_id"), F.col("p_type").alias("kind")).distinct()
+    sold_names = C.table(spark, d, "part").join(C.table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select(F.col("p_name").alias("name")).distinct()
+    named = C.table(spark, d, "part").where("p_size = 7").select(F.col("p_type").alias("kind"), F.col("p_name").alias("name")).distinct().join(sold_names, "name")
     want = C.imports(spark, d).join(f.select(F.col("file_id").alias("from_id"), "repo"), "from_id").join(kinds, "to_id").select("from_id", "repo", "kind").distinct().join(named, "kind")
     return tables.resolve_unique(want.select("from_id", "repo", "name"), own.withColumnRenamed("file_id", "target_file"), ["repo", "name"], ["from_id", "name"], "target_file")
 
@@ -196,12 +198,14 @@ def open_range(spark, d):
 
 
 @query(
-    f"""WITH {C.FILES}, {C.SYMBOLS} SELECT symbol_id, file_id, kind, exported, start_line FROM symbols JOIN files USING (file_id)
-WHERE name = 'blue gadget' AND repo = 'NATION_3' UNION ALL SELECT symbol_id, file_id, kind, exported, start_line FROM symbols JOIN files USING (file_id)
-WHERE lower(name) = 'blue gadget' AND repo = 'NATION_3' AND NOT EXISTS (SELECT 1 FROM symbols s JOIN files f USING (file_id) WHERE s.name = 'blue gadget' AND f.repo = 'NATION_3')"""
+    f"""WITH {C.FILES}, {C.SYMBOLS}, w AS (SELECT unnest(['red widget', 'RED Widget', 'no such name']) AS wanted), c AS (SELECT wanted, symbol_id, s.file_id, kind, exported, start_line, name = wanted AS exact
+  FROM w JOIN symbols s ON lower(s.name) = lower(wanted) JOIN files f ON f.file_id = s.file_id WHERE repo < 'NATION_3')
+SELECT wanted, symbol_id, file_id, kind, exported, start_line, exact FROM c WHERE exact OR NOT EXISTS (SELECT 1 FROM c d WHERE d.wanted = c.wanted AND d.exact)"""
 )
 def symbol_tiered_lookup(spark, d):
-    """Exact matches of a name, or else those in other case."""
-    s = C.symbols(spark, d).join(C.files(spark, d).where("repo = 'NATION_3'").select("file_id"), "file_id").withColumn("q", F.lower("name"))
-    hit = tables.best_tier([s.where("name = 'blue gadget'"), s.where("q = 'blue gadget'")], ["q"])
-    return hit.select("symbol_id", "file_id", "kind", "exported", "start_line")
+    """Exact matches of each wanted name, or else those in other case."""
+    own = C.symbols(spark, d).join(C.files(spark, d).where("repo < 'NATION_3'").select("file_id"), "file_id").withColumn("low", F.lower("name"))
+    wanted = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("red widget", "RED Widget", "no such name")])).alias("wanted"))
+    both = own.join(F.broadcast(wanted.withColumn("low", F.lower("wanted"))), "low").withColumn("exact", F.col("name") == F.col("wanted"))
+    hit = tables.best_tier([both.where("exact"), both.where("not exact")], ["wanted"])
+    return hit.select("wanted", "symbol_id", "file_id", "kind", "exported", "start_line", "exact")

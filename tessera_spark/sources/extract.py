@@ -68,23 +68,26 @@ def imports(files: DataFrame, file_id: str = "file_id") -> DataFrame:
 
 
 def exports(files: DataFrame, file_id: str = "file_id") -> DataFrame:
-    """(file_id, kind, exported, local, source): declarations, lists, re-exports and star exports."""
+    """(file_id, kind, exported, local, source): declarations, lists, re-exports, star exports and default expressions."""
     x = lines(files.select(file_id, "text"))
     none = F.lit(None).cast("string")
     decl = rf"^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\s*\*?|class|interface|type|const|let|var|enum)\s+({ID})"
     own = x.where(F.col("line").rlike(decl)).select(file_id, F.lit("declaration").alias("kind"), F.when(F.col("line").rlike(r"^\s*export\s+default\b"), "default").otherwise(F.regexp_extract("line", decl, 1)).alias("exported"), F.regexp_extract("line", decl, 1).alias("local"), none.alias("source"))
+    value = x.where(F.col("line").rlike(r"^\s*export\s+default\b") & ~F.col("line").rlike(decl))
+    named_value = F.nullif(F.regexp_extract("line", rf"^\s*export\s+default\s+({ID})\s*;?\s*$", 1), F.lit(""))
+    value = value.select(file_id, F.lit("default").alias("kind"), F.lit("default").alias("exported"), named_value.alias("local"), none.alias("source"))
     lists = r"export\s+(?:type\s+)?\{([^}]*)\}(?:\s*from\s*['\"]([^'\"]+)['\"])?"
     found = files.select(file_id, F.explode(F.regexp_extract_all("text", F.lit(r"(export\s+(?:type\s+)?\{[^}]*\}(?:\s*from\s*['\"][^'\"]+['\"])?)"), F.lit(1))).alias("s"))
     found = found.select(file_id, F.nullif(F.regexp_extract("s", lists, 2), F.lit("")).alias("source"), F.explode(F.split(F.regexp_extract("s", lists, 1), ",")).alias("p")).withColumn("p", F.trim("p")).where("p <> ''")
     named = found.select(file_id, F.when(F.col("source").isNull(), "list").otherwise("reexport").alias("kind"), F.regexp_extract("p", rf"({ID})$", 1).alias("exported"), F.regexp_extract("p", rf"^({ID})", 1).alias("local"), "source")
     star = files.select(file_id, F.explode(F.regexp_extract_all("text", F.lit(r"export\s+\*\s*from\s*['\"]([^'\"]+)['\"]"), F.lit(1))).alias("source")).select(file_id, F.lit("star").alias("kind"), F.lit("*").alias("exported"), none.alias("local"), "source")
-    return own.unionByName(named).unionByName(star)
+    return own.unionByName(value).unionByName(named).unionByName(star)
 
 
 def components(files: DataFrame, file_id: str = "file_id") -> DataFrame:
     """(file_id, line_no, component, base, prop, value_kind): uses of capitalised elements, a row per prop, one with null prop if it has none."""
     x = lines(files.select(file_id, "text"))
-    tag = r"(<[A-Z][\w.]*(?:\s+[\w-]+(?:=(?:\{[^}]*\}|\"[^\"]*\"|'[^']*'))?)*)"
+    tag = r"(<(?:[A-Z][\w.]*|[a-z]\w*\.[A-Z]\w*)(?:\s+[\w-]+(?:=(?:\{[^}]*\}|\"[^\"]*\"|'[^']*'))?)*)"
     t = x.select(file_id, "line_no", F.explode(F.regexp_extract_all("line", F.lit(tag), F.lit(1))).alias("t"))
     t = t.select(file_id, "line_no", F.regexp_extract("t", r"^<([\w.]+)", 1).alias("component"), F.regexp_extract_all("t", F.lit(r"\s([\w-]+(?:=(?:\{[^}]*\}|\"[^\"]*\"|'[^']*'))?)"), F.lit(1)).alias("ps"))
     p = t.select(file_id, "line_no", "component", F.explode_outer("ps").alias("p"))

@@ -152,7 +152,7 @@ def test_scan_and_classify(spark, tmp_path):
         (tmp_path / p).write_text("export const a = 1\nline\n")
     f = repositories.scan(spark, str(tmp_path))
     got = {(r["repo"], r["path"]): (r["c"], r["s"]) for r in f.select("repo", "path", repositories.classify(F.col("path")).alias("c"), repositories.scope(F.col("path")).alias("s")).collect()}
-    assert got == {("one", "src/a.ts"): ("source", "source"), ("two", "b.test.tsx"): ("source", "test"), ("two", "readme.md"): ("unknown", "docs")}
+    assert got == {("one", "src/a.ts"): ("source", "relevant_source"), ("two", "b.test.tsx"): ("source", "relevant_source"), ("two", "readme.md"): ("unknown", "documentation")}
     assert repositories.manifest(f).where("key = 'one/src/a.ts' and size = 24").count() == 1
     assert f.select(repositories.line_range(F.col("text"), 2, 2).alias("x")).first()["x"] == "line"
     with pytest.raises(ValueError):
@@ -184,6 +184,11 @@ def test_stream_publishes_batches(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string, t int").parquet(str(src))
         refresh.publish_batches(stream, store, "rows", "k", "t", str(tmp_path / "state")).awaitTermination()
     assert {(r["k"], r["v"]) for r in store.load("rows").table.collect()} == {(1, "c"), (2, "b")}
+    gone = tmp_path / "gone"
+    spark.createDataFrame([(1, "c", 2, False), (2, "b", 1, False), (2, None, 3, True), (3, "d", 1, None)], "k int, v string, t int, gone boolean").coalesce(1).write.parquet(str(gone))
+    stream = spark.readStream.schema("k int, v string, t int, gone boolean").parquet(str(gone))
+    refresh.publish_batches(stream, store, "marked", "k", "t", str(tmp_path / "state2"), deleted="gone").awaitTermination()
+    assert {(r["k"], r["v"]) for r in refresh.live(store.load("marked").table, "gone").collect()} == {(1, "c"), (3, "d")}
     assert refresh.lock_is_stale(0, 31, True) and refresh.lock_is_stale(0, 1, False) and not refresh.lock_is_stale(0, 29, True)
 
 

@@ -5,11 +5,11 @@ from tessera_spark.functions import ladders
 from tessera_spark.operators import patterns
 from tessera_spark.sources import scratch
 
-SCHEMA = "pattern_id string, kind string, repo_id string, file_id string, name string, structural array<string>, imports array<string>, export_shape string, role string, ui array<string>, async_ array<string>, responsibility array<string>, family string, deps array<string>, dep_tokens array<string>, confidence string"
+SCHEMA = "pattern_id string, kind string, repo_id string, file_id string, name string, structural array<string>, imports array<string>, export_shape string, role string, ui array<string>, async_ array<string>, responsibility array<string>, family string, deps array<string>, dep_tokens array<string>, confidence string, indexed boolean"
 
 
-def row(i, kind="component", name="Button", file="f", family="component", deps=("d",), **more):
-    base = dict(pattern_id=i, kind=kind, repo_id="r", file_id=file, name=name, structural=["jsx-return", "react-function-component", "uses-hooks"], imports=["react"], export_shape="named", role="component", ui=["jsx-return"], async_=[], responsibility=[], family=family, deps=list(deps), dep_tokens=["ui"], confidence="high")
+def row(i, kind="component", name="Button", file="f", family="ui_component", deps=("d",), **more):
+    base = dict(pattern_id=i, kind=kind, repo_id="r", file_id=file, name=name, structural=["jsx-return", "react-function-component", "uses-hooks"], imports=["react"], export_shape="named", role="component", ui=["jsx-return"], async_=[], responsibility=[], family=family, deps=list(deps), dep_tokens=["ui"], confidence="high", indexed=True)
     return Row(**(base | more))
 
 
@@ -18,9 +18,9 @@ def table(spark, *rows):
 
 
 def test_pinned_scores(spark):
-    p = table(spark, row("a"), row("b", name="IconButton", file="g"), row("c", kind="hook", name="useX"), row("d", structural=["async"], imports=[], ui=[], family="service", role="service", deps=[], dep_tokens=[]))
+    p = table(spark, row("a"), row("b", name="IconButton", file="g"), row("c", kind="hook", name="useX"), row("d", structural=["async"], imports=[], ui=[], family="module_or_integration", role="module", deps=[], dep_tokens=[]))
     got = {(r["a"], r["b"]): r["score"] for r in patterns.scored_pairs(p, shared_signal=False).collect()}
-    assert got["a", "b"] == 1.0 and ("a", "c") not in got and got["a", "d"] < 0.2
+    assert got["a", "b"] == 1.0 and ("a", "c") not in got and got["a", "d"] < 0.25
     assert patterns.find_similar(p, "a").first()["pattern_id"] == "b"
 
 
@@ -30,26 +30,59 @@ def test_scores_are_symmetric(spark):
     assert patterns.scored_pairs(p, shared_signal=True).first()["score"] == patterns.scored_pairs(q, shared_signal=True).first()["score"]
 
 
+def test_broad_kinds_are_capped_and_names_count(spark):
+    p = table(spark, row("a"), row("b", name="LoadOrders", structural=["jsx-return", "x", "y", "z"]), row("c", kind="service-layer", name="A"), row("d", kind="service-layer", name="B"))
+    got = {(r["a"], r["b"]): r for r in patterns.scored_pairs(p, shared_signal=False).collect()}
+    assert got["a", "b"]["score"] <= 0.6 and not got["a", "b"]["passes"]
+    assert got["c", "d"]["score"] == 1.0  # names of this kind do not count
+    r = spark.createDataFrame([("component", "hook"), ("page", "component"), ("story", "test"), ("x", "unknown")], "a string, b string").select(patterns.role_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [x["s"] for x in r] == [0.45, 0.0, 0.45, 0.25]
+
+
 def test_clusters(spark):
-    p = table(spark, row("a"), row("b", name="IconButton"), row("c", name="LinkButton"), row("z", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[]))
+    p = table(spark, row("a"), row("b", name="IconButton"), row("c", name="LinkButton", deps=(), dep_tokens=[], imports=["react", "lodash"]), row("z", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[]))
     m = patterns.clusters(p, scratch.save)
-    got = {r["pattern_id"]: (r["cluster"], r["n"], r["role"]) for r in m.collect()}
-    assert got["a"] == ("a", 3, "core") and got["b"][0] == got["c"][0] == "a" and got["z"] == ("z", 1, "core")
-    c = {r["cluster"]: r["dependency_overlap"] for r in patterns.cohesion(p, m).collect()}
+    got = {r["pattern_id"]: (r["cluster"], r["n"], r["role"], r["family"]) for r in m.collect()}
+    assert got["a"] == ("a", 3, "core", "ui_component") and got["b"][0] == got["c"][0] == "a" and got["z"] == ("z", 1, "core", "ui_component")
+    c = {r["cluster"]: r["same_family_ratio"] for r in patterns.cohesion(p, m).collect()}
     assert c == {"a": 1.0, "z": 1.0}
     assert patterns.dominant_signals(p, m).where("cluster = 'a' and rank = 1").first()["signal"] == "jsx-return"
 
 
+def test_core_members_depend_on_the_same(spark):
+    """A member that is alike but shares no dependency, import or responsibility is peripheral."""
+    far = dict(deps=("other",), dep_tokens=["far"], imports=["vue"])
+    p = table(spark, row("a"), row("b", name="IconButton"), row("c", name="Button", **far))
+    m = {r["pattern_id"]: (r["cluster"], r["role"]) for r in patterns.clusters(p, scratch.save).collect()}
+    assert m["a"] == ("a", "core") and m["b"] == ("a", "core") and m["c"] in (("a", "peripheral"), ("c", "core"))
+
+
+def test_related_clusters_and_reasons(spark):
+    p = table(spark, row("a"), row("b", name="IconButton"), row("c", family="state_or_store"), row("d", name="IconButton", family="state_or_store"), row("e", kind="hook", family="hook_or_context"))
+    m = scratch.save(patterns.clusters(p, scratch.save))
+    assert {(r["cluster"], r["related"]) for r in patterns.related_clusters(p, m).collect()} == {("a", "c"), ("c", "a")}
+    assert {r["cluster"]: r["reason"] for r in patterns.reasons(p, m).collect()} == {"a": "shared component dependencies", "c": "shared store/context dependencies", "e": "shared hook/context pattern"}
+
+
+def test_subclusters_by_token(spark):
+    rows = [row(f"p{t}{i}", name=f"Thing{i}", deps=("base",), dep_tokens=["ui", t]) for t in ("billing", "orders") for i in range(4)]
+    p = table(spark, *rows)
+    m = scratch.save(patterns.clusters(p, scratch.save))
+    got = {r["pattern_id"]: (r["sub"], r["way"]) for r in patterns.subclusters(p, m, scratch.save, parent=8).collect()}
+    assert got == {f"p{t}{i}": (t, "token") for t in ("billing", "orders") for i in range(4)}
+
+
 def test_ladders(spark):
     lit = F.lit
     old = {"sha256": lit("a"), "mtime_ms": lit(1.0), "exports": lit("x")}
     s = lambda **new: ladders.change_signals(old, old | new)
     r = spark.range(1).select(
-        s(mtime_ms=lit(2.0)).alias("meta"), s(sha256=lit("b"), exports=lit("y")).alias("both"), ladders.change_hints(s(sha256=lit("b"), exports=lit("y"))).alias("hints"),
-        ladders.tool_confidence(lit(0.95), lit(0.9), lit(True)).alias("c"), ladders.family(lit("src/app/x/page.tsx"), lit("P"), F.array(lit("jsx-return"))).alias("f"),
-        ladders.search_freshness(lit(5), lit(3), lit("ready"), lit("a"), lit("a")).alias("stale"), ladders.regressed(lit(100), lit(3), lit(50), lit(1), 0.15, 2).alias("reg"),
-        ladders.integrity_codes(lit(5), lit(0), lit(1), lit(0), lit(0)).alias("codes"), ladders.trust(lit("ok"), lit(0), lit(False), lit(True)).alias("t"),
+        s(mtime_ms=lit(2.0)).alias("meta"), s(sha256=lit("b"), exports=lit("y")).alias("both"), ladders.modified_hints(F.array(lit("contentChanged"), lit("exportsChanged")), lit(False)).alias("hints"),
+        ladders.tool_confidence(lit(0.95), lit(0.9), lit(True)).alias("c"), ladders.family(lit("src/app/x/page.tsx"), lit("component"), lit("P"), lit("component"), F.array(lit("jsx-return")), F.array().cast("array<string>")).alias("f"),
+        ladders.search_freshness(lit("ok"), lit(5), lit(True), lit(None), lit("ok"), lit("ready"), lit(6), lit(False)).alias("stale"), ladders.regressed(lit(100), lit(3), lit(50), lit(1), 0.15, 2).alias("reg"),
+        ladders.pattern_integrity(lit(30), lit(0), lit(0), lit(None).cast("int"), lit(0), lit(True), lit(None).cast("string")).alias("codes"), ladders.trust(lit("ok"), lit(0), lit(False), lit(True)).alias("t"),
     ).first()
-    assert r["meta"] == ["metadataOnlyChanged"] and r["both"] == ["contentChanged", "exportsChanged"] and r["hints"] == ["refreshSymbols", "refreshGraph", "refreshSearch", "reviewConsumers"]
-    assert (r["c"], r["f"], r["stale"], r["reg"], r["codes"], r["t"]) == ("high", "routed_page", "stale", True, ["no_patterns", "orphan_patterns"], "stale")
+    assert r["meta"] == ["metadataOnlyChanged"] and r["both"] == ["contentChanged", "exportsChanged"] and r["hints"] == ["mayAffectDependents", "mayAffectSearchFreshness", "requiresGraphRebuild", "requiresSymbolReindex"]
+    assert (r["c"], r["f"], r["stale"], r["reg"], r["t"]) == ("high", "routed_page_or_screen", "stale", True, "stale")
+    assert r["codes"].asDict() == {"status": "failed", "codes": ["pattern-output-catastrophically-incomplete", "pattern-output-empty"]}
     assert ladders.budget_profile(6000)["enough"] == 3
