@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ladders, paths
+from ..functions import artifacts, ladders, paths
 from ..sources import repositories
 from .registry import query
 
@@ -187,3 +187,57 @@ def integrity_codes(spark, d):
     r = _rows(spark, INTEGRITY).withColumns({k: F.col(k).cast("int") for k in _N})
     s = ladders.pattern_integrity(*[F.col(k) for k in (*_N, "trusted", "artifact")])
     return r.select("id", s.alias("s")).select("id", "s.status", F.array_join("s.codes", ",").alias("codes"))
+
+
+_ART_DIRS = ["", "src/components/", "src/hooks/", "src/utils/", "app/x/", "pages/api/", "src/__tests__/", "src/stories/", "web/mocks/", "web/wrappers/", "web/server/", "web/clients/", "src/services/"]
+_ART_NAMES = ["index.ts", "page.tsx", "Order.test.ts", "order.stories.tsx", "useOrder.ts", "route.ts", "OrderProvider.tsx", "AppShell.tsx", "Card.tsx", "item.mock.ts", "errorDecorator.ts", "layout.jsx"]
+FILES_OF = _table({"dir": _ART_DIRS, "name": _ART_NAMES, "symbol": ["loadOrder", "OrderCard", "useOrder", "OrderStore"]})
+
+
+@query(
+    rf"""WITH {_sql(FILES_OF)}, p AS (SELECT *, dir || name AS path, lower(dir || name) AS low, lower(name) AS base FROM t),
+r AS (SELECT *, CASE WHEN regexp_matches(low, '(\.|/)(stories|story)\.(tsx?|jsx?)$') THEN 'story' WHEN regexp_matches(low, '(\.|/)(test|spec)\.(tsx?|jsx?)$') THEN 'test' WHEN regexp_matches(low, '(\.|/)(page|layout)\.(tsx?|jsx?)$') THEN 'page'
+  WHEN regexp_matches(low, '(\.|/)route\.(tsx?|jsx?)$') OR starts_with(low, 'pages/api/') THEN 'handler' WHEN symbol = 'useOrder' OR contains(low, '/hooks/') OR starts_with(base, 'use') THEN 'hook'
+  WHEN contains(low, '/components/') OR (regexp_matches(low, '\.[tj]sx$') AND symbol IN ('OrderCard', 'OrderStore')) THEN 'component' WHEN regexp_matches(low, '/(utils|helpers|services)/') THEN 'utility' ELSE 'module' END AS role FROM p),
+c AS (SELECT *, CASE WHEN contains(low, '__tests__/') OR regexp_matches(low, '(\.|/)(test|spec)\.(tsx?|jsx?)$') THEN 'test_artifact' WHEN role = 'story' OR regexp_matches(low, '(^|/)(stories|storybook)/') THEN 'story_artifact' WHEN contains(low, '/mocks/') OR regexp_matches(low, '\.(mock|fixture)\.(tsx?|jsx?)$') THEN 'mock_or_fixture_artifact'
+  WHEN contains(low, '/wrappers/') OR regexp_matches(low, '(decorator|wrapper)\.(tsx?|jsx?)$') THEN 'support_or_wrapper_artifact' WHEN role IN ('story', 'test') THEN 'unknown' WHEN role = 'utility' THEN 'runtime_util' ELSE 'runtime_' || role END AS artifact,
+  symbol = 'OrderStore' AS state, name = 'layout.jsx' AS wrap FROM r)
+SELECT path, symbol, role, artifact, CASE WHEN artifact IN ('test_artifact', 'story_artifact', 'support_or_wrapper_artifact') THEN 'support_runtime' WHEN role = 'handler' THEN 'api_or_handler'
+  WHEN role = 'page' THEN CASE WHEN regexp_matches(low, '/app/|/pages/|/screen') OR base IN ('page.tsx', 'page.jsx') THEN 'routed_page_or_screen' ELSE 'page' END WHEN state THEN CASE WHEN role = 'hook' THEN 'hook_or_context' ELSE 'state_or_store' END
+  WHEN role = 'hook' THEN 'hook_or_context' WHEN role = 'component' THEN CASE WHEN wrap THEN 'ui_wrapper_or_shell' ELSE 'ui_component' END WHEN role = 'utility' THEN 'util_or_helper' WHEN regexp_matches(low, '/api/|/server/|/actions/') THEN 'api_or_handler' WHEN wrap THEN 'ui_wrapper_or_shell' ELSE 'module_or_integration' END AS family FROM c"""
+)
+def file_artifacts(spark, d):
+    """Responsibility, artifact class and family of files by path and symbol."""
+    p, names = F.concat("dir", "name"), F.array("symbol")
+    r = _rows(spark, FILES_OF).select(p.alias("path"), "symbol", artifacts.responsibility(p, names).alias("role"))
+    r = r.withColumn("artifact", artifacts.artifact(F.col("path"), F.col("role")))
+    return r.withColumn("family", artifacts.file_family(F.col("path"), F.array("symbol"), F.col("role"), F.col("artifact")))
+
+
+MATCHES = _table({
+    "alignment": ["1.0", "0.6", "0.2"], "dependency": ["0.0", "0.1", "0.15", "0.3", "0.4"], "role": ["1.0", "0.4", "0.35", "0.2", "0.0"], "heuristic": ["0.1", "0.22", "0.5"], "target": ["runtime_page", "test_artifact"],
+    "candidate": ["runtime_hook", "test_artifact", "story_artifact", "mock_or_fixture_artifact", "support_or_wrapper_artifact", "unknown"], "fit": ["1.0", "0.55", "0.0"], "useful": ["0.0", "0.75"], "hint": ["export", "path", None],
+})
+_DBL = ["alignment", "dependency", "role", "heuristic", "fit", "useful"]
+_E = lambda x: f"CAST({x} AS DOUBLE)"
+_RND = lambda x: f"floor(({x}) * 1000 + {_E(0.5)}) / 1000"
+
+
+@query(
+    f"""WITH {_sql(MATCHES)}, n AS (SELECT id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _DBL)}, starts_with(target, 'runtime_') AS run, starts_with(candidate, 'runtime_') AS other, candidate, hint FROM t),
+s AS (SELECT *, {_RND(f"alignment * {_E(0.4)} + dependency * {_E(0.3)} + role * {_E(0.2)} + heuristic * {_E(0.1)}")} AS base, CASE candidate WHEN 'test_artifact' THEN {_E(0.18)} WHEN 'story_artifact' THEN {_E(0.16)} WHEN 'mock_or_fixture_artifact' THEN {_E(0.2)} WHEN 'support_or_wrapper_artifact' THEN {_E(0.12)} WHEN 'unknown' THEN {_E(0.08)} ELSE 0 END AS penalty FROM n),
+e AS (SELECT *, CASE WHEN run AND other THEN CASE WHEN role = 1 THEN {_E(0.12)} WHEN role >= 0.4 THEN {_E(0.04)} ELSE {_E(0)} END + {_RND(f"fit * {_E(0.08)}")} + {_RND(f"useful * {_E(0.08)}")} ELSE {_E(0)} END AS extra, CASE WHEN alignment <= 0.6 AND dependency < 0.2 AND role < 0.4 AND heuristic < 0.25 THEN {_E(0.08)} ELSE {_E(0)} END AS weak FROM s),
+f AS (SELECT *, {_RND(f"greatest({_E(0)}, base + extra - CASE WHEN run AND NOT other THEN penalty ELSE {_E(0)} END - weak)")} AS score FROM e)
+SELECT id, score, CASE WHEN run AND other AND fit > 0 AND alignment >= 0.6 AND dependency > 0 THEN 'peer page precedent with shared dependencies' WHEN run AND other AND fit > 0 AND useful > 0 THEN 'peer page precedent' WHEN run AND other AND useful > 0 AND alignment >= 0.6 THEN 'more directly reusable runtime implementation'
+  WHEN alignment >= 0.6 AND dependency > 0 AND run AND other AND role >= 0.4 THEN 'runtime precedent with shared dependencies' WHEN alignment >= 1 AND dependency > 0 AND role > 0 THEN 'shared dependencies + same responsibility + high structural alignment' WHEN alignment >= 0.6 AND dependency > 0 THEN 'shared dependencies + strong structural alignment'
+  WHEN alignment >= 0.6 AND role > 0 THEN 'same responsibility + strong structural alignment' WHEN alignment >= 0.6 THEN 'strong structural alignment' WHEN dependency > 0 THEN 'shared dependency context' WHEN role > 0 THEN 'same responsibility' WHEN run AND NOT other THEN 'runtime precedent favored over artifact match'
+  WHEN hint = 'export' THEN 'similar export surface' WHEN hint = 'path' THEN 'same directory family' ELSE 'heuristic pattern match' END AS reason FROM f
+WHERE score > 0 AND NOT (alignment <= 0.2 AND dependency < 0.12 AND role < 0.2 AND heuristic < 0.2) AND NOT (run AND NOT other AND alignment <= 0.6 AND dependency < 0.18 AND role < 1 AND heuristic < 0.25)"""
+)
+def pattern_match(spark, d):
+    """Scores and reasons of candidate files for combinations of their evidence; those that are too weak are left out."""
+    r = _rows(spark, MATCHES).withColumns({c: F.col(c).cast("double") for c in _DBL})
+    c = {k: F.col(k) for k in MATCHES[1]}
+    score = artifacts.match_score(*[c[k] for k in ("alignment", "dependency", "role", "heuristic", "target", "candidate", "fit", "useful")])
+    reason = artifacts.match_reason(*[c[k] for k in ("alignment", "dependency", "role", "target", "candidate", "fit", "useful")], F.lit("page"), c["hint"])
+    return r.select("id", score.alias("score"), reason.alias("reason")).where("score is not null")
