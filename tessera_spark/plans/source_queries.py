@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import resolve
+from ..operators import resolve, semantic
 from ..sources import detect, extract
 from .registry import query
 
@@ -76,6 +76,16 @@ import lodash from 'lodash/fp';
 export async function GET(request) {
   return Response.json(await fetchOrders(1));
 }
+""",
+    "src/pages/orders.tsx": """import OrderList from '@ui/OrderList';
+import { useOrders } from '../hooks/useOrders';
+
+export function OrdersPage() {
+  const orders = useOrders();
+  fetch('/api/orders/?page=1');
+  fetch(`/api/orders/${orders[0]}`);
+  return <OrderList orders={orders} />;
+}
 """,
     "src/utils/format.ts": "export const formatPrice = (n) => n.toFixed(2);\nexport type Price = number;\nconst hidden = 1;\n",
     "src/components/ui/Button.test.tsx": """import { render } from '@testing-library/react';
@@ -138,6 +148,7 @@ def _resolved(spark):
         format.ts | hidden | variable | false | 3
         icons.tsx | Cart | variable | true | 1
         index.ts | Theme | type | true | 2
+        orders.tsx | OrdersPage | function | true | 4
         route.ts | GET | function | true | 5
         useOrders.ts | useOrders | function | true | 4
         """,
@@ -163,6 +174,8 @@ def code_symbols(spark, d):
         OrderList.tsx | react-select | default | Select | default | false
         client.ts | axios | default | axios | default | false
         index.ts | ./env | - | - | side_effect | false
+        orders.tsx | ../hooks/useOrders | useOrders | useOrders | named | false
+        orders.tsx | @ui/OrderList | default | OrderList | default | false
         route.ts | api/client | fetchOrders | fetchOrders | named | false
         route.ts | api/nothing | log | log | named | false
         route.ts | lodash/fp | default | lodash | default | false
@@ -195,6 +208,7 @@ def code_imports(spark, d):
         index.ts | declaration | Theme | Theme | -
         index.ts | reexport | Button | Button | ./Button
         index.ts | star | * | - | ./icons
+        orders.tsx | declaration | OrdersPage | OrdersPage | -
         route.ts | declaration | GET | GET | -
         useOrders.ts | declaration | useOrders | useOrders | -
         """,
@@ -223,6 +237,8 @@ def code_exports(spark, d):
         index.ts | ./Button | relative | resolved | src/components/ui/Button.tsx
         index.ts | ./env | relative | resolved | src/config/env.ts
         index.ts | ./icons | relative | resolved | src/components/ui/icons.tsx
+        orders.tsx | ../hooks/useOrders | relative | resolved | src/hooks/useOrders.ts
+        orders.tsx | @ui/OrderList | alias | resolved | src/components/ui/OrderList.tsx
         route.ts | api/client | baseUrl | resolved | src/api/client.ts
         route.ts | api/nothing | baseUrl | unresolved | -
         route.ts | lodash/fp | non_local | non_local | -
@@ -249,6 +265,7 @@ def code_resolution(spark, d):
         OrderList | component | jsx-return+react-function-component | ./Button+@ui/icons+react-select | default | component | jsx-return |  | ui-select | high
         OrderList | conditional-rendering | conditional-render | ./Button+@ui/icons+react-select | default | module | conditional-render |  |  | high
         OrderList | list-rendering | map-rendering | ./Button+@ui/icons+react-select | default | module | map-rendering |  |  | high
+        OrdersPage | component | jsx-return+react-function-component+uses-hooks | ../hooks/useOrders+@ui/OrderList | named | component | jsx-return+uses-hooks |  | layout-component | high
         Row | component | jsx-return+react-function-component | ./Button+@ui/icons+react-select | none | component | jsx-return |  | ui-select | medium
         fetchOrders | async-data-flow | api-request+async-function+error-handling | axios | named | module |  | api-request+async-function+error-handling | fetch-helper | high
         formatPrice | utility-export | named-export |  | named | utility |  |  |  | high
@@ -278,6 +295,7 @@ def code_patterns(spark, d):
         icons.tsx | true | 0 |  | false | low
         index.ts | true | 1 | config+src | true | medium
         index.ts | true | 2 | components+src+ui | true | high
+        orders.tsx | true | 2 | components+hooks+src+ui | true | high
         route.ts | true | 1 | api+src | true | medium
         shop:tsconfig.json | false | 0 |  | false | low
         useOrders.ts | true | 1 | api+src | true | medium
@@ -303,6 +321,7 @@ def code_anchors(spark, d):
         OrderList.tsx | 13 | Missing | - | - | unresolved
         OrderList.tsx | 8 | Button | Button.tsx | function:Button:1 | resolved_local
         OrderList.tsx | 9 | Row | OrderList.tsx | variable:Row:1 | same_file
+        orders.tsx | 8 | OrderList | OrderList.tsx | function:OrderList:1 | resolved_local
         """,
     )
 )
@@ -323,6 +342,7 @@ def code_components(spark, d):
         OrderList.tsx | 8 | Button | primary | boolean
         OrderList.tsx | 9 | Row | key | expression
         OrderList.tsx | 9 | Row | value | expression
+        orders.tsx | 8 | OrderList | orders | expression
         """,
     )
 )
@@ -343,6 +363,7 @@ def code_props(spark, d):
         OrderList.tsx | ./Button+@ui/icons+Button+Select+icons+react-select
         client.ts | axios
         index.ts | ./env
+        orders.tsx | ../hooks/useOrders+@ui/OrderList+OrderList+useOrders
         route.ts | api/client+api/nothing+fetchOrders+lodash+lodash/fp+log
         useOrders.ts | ../api/client+@tanstack/react-query+fetchOrders+useQuery
         """,
@@ -353,3 +374,84 @@ def code_file_tokens(spark, d):
     _, _, i, _ = _code(spark)
     g = i.groupBy("file_id").agg(F.collect_list("source").alias("s"), F.collect_list("local").alias("n"))
     return g.select(_name().alias("file"), F.array_join(detect.import_tokens(F.col("s"), F.col("n")), "+").alias("tokens"))
+
+
+def _edges(spark):
+    f, s, i, e = _code(spark)
+    ts = f.where(~F.col("path").endswith(".json"))
+    return ts, s, i, e, semantic.semantic_edges(ts, s, i, e, _resolved(spark))
+
+
+def _symbol(c: str):
+    return F.regexp_extract(c, r":(\w+:\w+):\d+$", 1)
+
+
+@query(
+    _values(
+        "kind, from_file, from_symbol, to_file, to_symbol, n, strength",
+        """
+        api_client_to_route | orders.tsx | function:OrdersPage | route.ts | function:GET | 1 | medium
+        call | orders.tsx | function:OrdersPage | useOrders.ts | function:useOrders | 1 | strong
+        call | route.ts | function:GET | client.ts | function:fetchOrders | 1 | strong
+        jsx | Button.test.tsx | - | Button.tsx | function:Button | 1 | strong
+        jsx | OrderList.tsx | function:OrderList | Button.tsx | function:Button | 1 | strong
+        jsx | orders.tsx | function:OrdersPage | OrderList.tsx | function:OrderList | 1 | strong
+        reference | useOrders.ts | function:useOrders | client.ts | function:fetchOrders | 1 | strong
+        """,
+    )
+)
+def code_semantic_edges(spark, d):
+    """References, components in JSX and API calls between symbols."""
+    x = _edges(spark)[-1]
+    return x.select("kind", _name("from_file").alias("from_file"), _symbol("from_symbol").alias("from_symbol"), _name("to_file").alias("to_file"), _symbol("to_symbol").alias("to_symbol"), F.col("n").cast("int").alias("n"), "strength")
+
+
+@query(
+    _values(
+        "what, file, line, route, method",
+        """
+        call | orders.tsx | 6 | /api/orders | GET
+        handler | route.ts | - | /api/orders | GET
+        """,
+    )
+)
+def code_api_calls(spark, d):
+    """Calls of API routes by constant addresses, and the handlers of routes."""
+    ts, s, _, _ = _code(spark)
+    ts = ts.where(~F.col("path").endswith(".json"))
+    calls = semantic.client_calls(ts).select(F.lit("call").alias("what"), _name().alias("file"), F.col("line_no").cast("int").alias("line"), "route", "method")
+    return calls.unionByName(semantic.routes(ts, extract.symbols(ts)).select(F.lit("handler").alias("what"), _name().alias("file"), F.lit(None).cast("int").alias("line"), "route", "method"))
+
+
+@query(
+    _values(
+        "file, symbol, reason, confidence",
+        """
+        Button.test.tsx | - | uses-jsx | high
+        OrderList.tsx | function:OrderList | uses-jsx | high
+        index.ts | - | reexports-target | medium
+        """,
+    )
+)
+def code_importer_impacts(spark, d):
+    """What a change of Button reaches at once."""
+    ts, s, i, e, edges = _edges(spark)
+    r = _resolved(spark).where("target = 'shop:src/components/ui/Button.tsx'")
+    importers = i.join(r.select("file_id", "source"), ["file_id", "source"]).select("file_id", F.lit("import").alias("kind")).union(e.join(r.select("file_id", "source"), ["file_id", "source"]).select("file_id", F.lit("reexport").alias("kind"))).distinct()
+    x = semantic.importer_impacts(edges, importers, "shop:src/components/ui/Button.tsx:function:Button:1", "shop:src/components/ui/Button.tsx")
+    return x.select(_name().alias("file"), _symbol("symbol_id").alias("symbol"), "reason", "confidence")
+
+
+@query(
+    _values(
+        "symbol, confidence",
+        """
+        function:OrderList | medium
+        """,
+    )
+)
+def code_same_file_impacts(spark, d):
+    """What a change of Row reaches in its own file."""
+    ts, s, _, _ = _code(spark)
+    x = semantic.same_file_impacts(s, "shop:src/components/ui/OrderList.tsx:variable:Row:1", ts)
+    return x.select(_symbol("symbol_id").alias("symbol"), "confidence")
