@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most keys that are broadcast; above, a shuffle join takes their place.
-BROADCAST_ROWS = 1_000_000
 #: Cells above this size recur, this many times at most.
 LEAF = 100
 DEPTH = 3
@@ -93,8 +91,17 @@ def _shared(cells: DataFrame) -> DataFrame:
     return cells.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_or("role").alias("roles"), F.count("*").alias("m")).where("lo <> hi and roles = 3").select("key", "m")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(table: DataFrame) -> DataFrame:
+    """A materialized table, to be broadcast if its bytes are few."""
+    few = common.bounded(table)
+    return table if few is None else few
+
+
+def profile(x: str) -> Column:
+    """64 parities: each pair of neighbouring characters toggles the bit of its hash. An edit toggles four at most."""
+    cs = F.split(F.col(x), "")
+    pairs = F.zip_with(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.size(cs)), lambda a, b: F.xxhash64(a, b))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))))
 
 
 def plausible(a: str, b: str, tau: int) -> Column:
@@ -111,15 +118,20 @@ def plausible(a: str, b: str, tau: int) -> Column:
 def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b: hashes of different lines within tau edits, from lines (h, x); equal rows may repeat."""
     rows = lines.select("h", "x", F.lit(0).cast("long").alias("salt"), F.lit(BOTH).alias("role"), F.lit(0).alias("delta"))
-    pairs = texts = None
+    pairs = texts = profiles = None
     for depth in range(DEPTH + 1):
         cells = _cells(rows, tau, depth == 0)
         shared = common.materialize(_shared(cells), "shared")
-        met = common.materialize(cells.join(_bounded(shared), "key").distinct(), "cells")
-        texts = met.select("h", "x").distinct() if texts is None else texts  # the lines themselves, at first
+        met = cells.join(_small(shared), "key").distinct()
+        if profiles is None:  # of lines that share a segment with another
+            met = common.materialize(met, "cells")
+            texts = common.materialize(met.groupBy("h").agg(F.first("x").alias("x")), "texts")
+            profiles = common.materialize(texts.select("h", profile("x").alias("bits")), "profiles")
+        met = common.materialize(met.join(_small(profiles), "h"), "cells")
         small = met if depth == DEPTH else met.where(F.col("m") <= LEAF)
         x, y = small.where(F.col("role").bitwiseAND(INDEX) != 0).alias("x"), small.where(F.col("role").bitwiseAND(PROBE) != 0).alias("y")
-        p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & plausible("x.x", "y.x", tau)).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
+        alike = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * tau
+        p = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") != F.col("y.h")) & alike & plausible("x.x", "y.x", tau)).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
         pairs = p if pairs is None else pairs.union(p)
         large = met.where(F.col("m") > LEAF)
         if depth == DEPTH or not large.limit(1).count():
@@ -132,11 +144,11 @@ def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     return common.materialize(measured, "measured").where("d is not null").select("a", "b").distinct()
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, near_chars: int = 40) -> DataFrame:
     """docs with the cleaned text in place of the text, plus n_lines, n_equal and n_near (lines dropped of each kind).
 
-    Only lines of min_chars characters or more take part, so that short lines and paragraph breaks stay. Order: by id (null
-    last), then by a hash of the text, then by line number. Rows that repeat both id and text are one document and get one
+    Every line with a word takes part. Two different lines are near only from near_chars characters on: in short ones, tau
+    edits make another word. Blank lines stay. Order: by id (null last), then by a hash of the text, then by line number. Rows that repeat both id and text are one document and get one
     result. Null texts stay null, with no lines; empty tables give no rows. Other columns keep their names, clashes with the three
     counts apart.
     """
@@ -144,21 +156,22 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name can clash
     id_col, text_col = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     rk = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(text_col))
-    long = docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "x")).where(F.length("x") >= min_chars)
+    long = docs.select(rk.alias("rk"), F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "x")).where(F.btrim("x", F.lit(common.SPACE_CHARS)) != "")
     h = F.xxhash64("x").alias("h")
     occ = common.materialize(long.select("rk", F.struct("last", "id", "rk", "pos").alias("o"), "pos", h, F.xxhash64(F.lit(1), "x").alias("h2")), "occurrences")
     classes = occ.groupBy("h", "h2").agg(F.min("o").alias("o"), (F.min("o") != F.max("o")).alias("many"))
     classes = common.materialize(classes, "classes")
-    near = near_pairs(long.select(h, "x"), tau)
+    near = near_pairs(long.where(F.length("x") >= near_chars).select(h, "x"), tau)
     # The later line of a near pair goes.
     ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).union(near.select(F.col("b"), F.col("a")))
     firsts = classes.select("h", "h2", "o")
     later = ends.join(firsts, "h").join(firsts.select(F.col("h").alias("other"), F.col("o").alias("o2")), "other").where("o2 < o").select("h", "h2").distinct().withColumn("near", F.lit(True))
     going = classes.join(later, ["h", "h2"], "left").where("many or near").select("h", "h2", F.col("o").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    going = common.materialize(going, "going")  # a join of two shuffles alone, so that a hot line's can be split
     dropped = occ.join(going, ["h", "h2"]).where("near or o <> first").select("rk", "pos", (F.col("o") != F.col("first")).alias("equal")).distinct()
     of_doc = dropped.groupBy("rk").agg(F.collect_list("pos").alias("_gone"), F.count_if("equal").alias("_eq"), F.count_if(~F.col("equal")).alias("_nr"))
     of_doc = common.materialize(of_doc, "of-doc")
-    out = docs.withColumn("_rk", rk).join(_bounded(of_doc), F.col("_rk") == F.col("rk"), "left")
+    out = docs.withColumn("_rk", rk).join(_small(of_doc), F.col("_rk") == F.col("rk"), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_ls"), i)), "\n"))
