@@ -124,9 +124,19 @@ class TokenTree:
         return len(region)
 
 
-def _apply(tree: TokenTree, edits: list[tuple[int, int, str]]) -> None:
+def valid_edits(edits: list[tuple[int | None, int | None, str]], length: int) -> list[tuple[int, int, str]]:
+    """Edits in order: places outside the text are moved to its ends, and those without a place, backwards, or overlapping an earlier one do nothing."""
+    out = []
+    for start, end, new in sorted((e for e in edits if e[0] is not None and e[1] is not None and e[0] <= e[1]), key=lambda e: e):
+        start, end = min(max(start, 0), length), min(max(end, 0), length)
+        if not out or start >= out[-1][1]:
+            out.append((start, end, new))
+    return out
+
+
+def _apply(tree: TokenTree, edits: list[tuple[int | None, int | None, str]]) -> None:
     """Edits name places in the text before any of them; from the last to the first, places stay valid."""
-    for start, end, new in sorted(edits, reverse=True):
+    for start, end, new in reversed(valid_edits(edits, len(tree.text))):
         tree.edit(start, end, new)
 
 
@@ -160,8 +170,10 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def recount(counted: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """counted after edits (id, start, end, new), with n_reencoded: characters that had to be encoded again.
 
-    start and end are code points of the old text, end excluded; edits of a document must not overlap. Documents without edits
-    pass through untouched; edits of unknown documents do nothing; a null `new` deletes.
+    start and end are code points of the old text, end excluded; places outside it are moved to its ends. An edit with a null
+    place, with its end before its start, or overlapping an earlier one (by start, end, then new) does nothing. Documents without
+    edits pass through untouched; edits of unknown documents do nothing; a null `new` deletes. Rows with a repeated id all get
+    its edits.
     """
     per_doc = edits.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), F.coalesce("new", F.lit("")).alias("n"))).alias("_edits"))
     common.limit_batches(counted.sparkSession)
@@ -189,7 +201,8 @@ def recount(counted: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", tex
 def count_redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pattern: str = r"[0-9A-Fa-f]{16,}", new: str = "[REDACTED]", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, n_tokens, n_edits, n_tokens_after, n_reencoded): counts before and after each match of pattern is replaced.
 
-    One pass: the edits come from the text itself, so no join is needed.
+    One pass: the edits come from the text itself, so no join is needed. Null and empty texts count 0; rows count one by one, so
+    repeated rows agree; an empty table gives no rows. Other columns are not looked at.
     """
     common.limit_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
