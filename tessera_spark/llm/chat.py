@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
-A layout (prompt/completion, instruction/input/output, message arrays, rows by turn) is known by the hash of its sorted
-nested field paths; the hash selects a declarative mapping to canonical turns array<struct<role, text>>. Turns are rendered
-in a template whose control strings cannot occur in texts, and the rendering can be read back exactly.
+Each row's payload has a fingerprint: the hash of its nested field paths and their types, over all elements of all arrays. The
+hash selects a declarative mapping (prompt/completion, instruction/input/output, message arrays, rows by turn) to canonical turns
+array<struct<role, text>>. Turns are rendered in a template whose control strings cannot occur in texts, and the rendering can
+be read back exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -21,129 +21,92 @@ CONTROL_RE = r"([<\[])(\||/?s>|/?INST\]|</?SYS>>)"
 
 TURNS = "array<struct<role:string,text:string>>"
 
-#: Layout name -> (field paths, mapping). A mapping is a list of (role expression, text expression), or one expression over an array.
-LAYOUTS: dict[str, tuple[tuple[str, ...], list[tuple[str, str]] | str]] = {
-    "prompt_completion": (("prompt:string", "completion:string"), [("'user'", "prompt"), ("'assistant'", "completion")]),
-    "question_answer": (("question:string", "answer:string"), [("'user'", "question"), ("'assistant'", "answer")]),
-    "instruction": (("instruction:string", "output:string"), [("'user'", "instruction"), ("'assistant'", "output")]),
-    "instruction_input": (
-        ("instruction:string", "input:string", "output:string"),
-        [("'user'", r"concat(coalesce(instruction, ''), if(coalesce(input, '') = '', '', concat('\n\n', input)))"), ("'assistant'", "output")],
-    ),
-    "system_prompt_completion": (("system:string", "prompt:string", "completion:string"), [("'system'", "system"), ("'user'", "prompt"), ("'assistant'", "completion")]),
-    "messages": (("messages[].role:string", "messages[].content:string"), "transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
-    "turns": (("turns[].role:string", "turns[].text:string"), "transform(turns, m -> named_struct('role', m.role, 'text', m.text))"),
-    "sharegpt": (
-        ("conversations[].from:string", "conversations[].value:string"),
-        "transform(conversations, m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))",
-    ),
+#: Layout name -> (fields, mapping). Fields are names, or a name with the fields of its array's elements. A mapping is a list of
+#: (role, fields joined by a blank line), or (role field, text field, other names of roles) of the array's elements.
+LAYOUTS: dict[str, tuple[dict[str, tuple[str, ...]], list[tuple[str, tuple[str, ...]]] | tuple[str, str, dict[str, str]]]] = {
+    "prompt_completion": ({"prompt": (), "completion": ()}, [("user", ("prompt",)), ("assistant", ("completion",))]),
+    "question_answer": ({"question": (), "answer": ()}, [("user", ("question",)), ("assistant", ("answer",))]),
+    "instruction": ({"instruction": (), "output": ()}, [("user", ("instruction",)), ("assistant", ("output",))]),
+    "instruction_input": ({"instruction": (), "input": (), "output": ()}, [("user", ("instruction", "input")), ("assistant", ("output",))]),
+    "system_prompt_completion": ({"system": (), "prompt": (), "completion": ()}, [("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))]),
+    "messages": ({"messages": ("role", "content")}, ("role", "content", {})),
+    "turns": ({"turns": ("role", "text")}, ("role", "text", {})),
+    "sharegpt": ({"conversations": ("from", "value")}, ("from", "value", {"human": "user", "gpt": "assistant"})),
 }
 
 
-def field_paths(schema: T.DataType, at: str = "") -> list[str]:
-    if isinstance(schema, T.StructType):
-        return [p for f in schema.fields for p in field_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
-    if isinstance(schema, T.ArrayType):
-        return field_paths(schema.elementType, f"{at}[]")
-    return [f"{at}:{schema.simpleString()}"]
+def shapes(fields: dict[str, tuple[str, ...]]) -> list[str]:
+    """The schemas of payloads with these fields, as schema_of_variant() writes them; an array can be empty."""
+    out = [""]
+    for name in sorted(fields):
+        inner = ", ".join(f"{f}: STRING" for f in sorted(fields[name]))
+        kinds = [f"ARRAY<OBJECT<{inner}>>", "ARRAY<STRING>"] if inner else ["STRING"]
+        out = [f"{o}, {name}: {k}" if o else f"{name}: {k}" for o in out for k in kinds]
+    return [f"OBJECT<{o}>" for o in out]
 
 
-def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+def fingerprint(schema: str) -> str:
+    return hashlib.sha256(schema.encode()).hexdigest()[:16]
 
 
-REGISTRY = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+REGISTRY = {fingerprint(x): name for name, (fields, _) in LAYOUTS.items() for x in shapes(fields)}
 
 
-def _turns(mapping) -> Column:
-    if isinstance(mapping, str):
-        turns = F.coalesce(F.expr(mapping), F.array().cast(TURNS))
-    else:
-        turns = F.expr("array(" + ", ".join(f"named_struct('role', {r}, 'text', cast({t} as string))" for r, t in mapping) + ")")
-        if any(r == "'system'" for r, _ in mapping):
-            turns = F.filter(turns, lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != ""))
-    return turns.cast(TURNS)
+def fingerprint_of(payload: Column) -> Column:
+    """The fingerprint of a JSON payload; null values count as strings. Null if there is no payload or it is malformed."""
+    schema = F.regexp_replace(F.schema_of_variant(F.try_parse_json(payload)), r"\bVOID\b", "STRING")
+    return F.sha2(schema, 256).substr(1, 16)
 
 
-def to_turns(df: DataFrame, id_col: str, payload: str | None = None) -> DataFrame:
-    """(id, layout, turns) of a table in one layout, or of rows whose payload column holds JSON in any of the layouts.
+def _layout(key: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in REGISTRY.items() for x in kv])
+    return F.element_at(names, key)
 
-    Without payload, the field paths of the table's own columns besides the id (and besides columns that no layout has) are
-    the fingerprint. With payload, each row's paths are read from its JSON. Rows of an unknown layout, null and malformed
-    payloads get layout null and no turns; they are kept.
-    """
-    if payload is None:
-        known = {p for paths, _ in LAYOUTS.values() for p in paths}
-        # Extra columns do not change the layout; the most specific fingerprint that the columns contain wins.
-        have = {p for p in field_paths(df.schema) if p in known}
-        found = [n for n, (paths, _) in LAYOUTS.items() if set(paths) <= have]
-        name = REGISTRY.get(fingerprint(have)) or max(found, key=lambda n: len(LAYOUTS[n][0]), default=None)
-        turns = _turns(LAYOUTS[name][1]) if name else F.array().cast(TURNS)
-        return df.select(F.col(id_col), F.lit(name).cast("string").alias("layout"), turns.alias("turns"))
-    body = F.col("_p")
-    key = F.sha2(F.array_join(F.array_sort(F.coalesce(_json_paths(body), F.array().cast("array<string>"))), "\n"), 256).substr(1, 16)
-    layout = F.lit(None).cast("string")
-    for h, name in REGISTRY.items():
-        layout = F.when(F.col("_h") == h, name).otherwise(layout)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(payload).alias("_p")).withColumn("_h", key).withColumn("layout", layout)
-    turns = F.array().cast(TURNS)
-    for name, (paths, mapping) in LAYOUTS.items():
-        schema = ", ".join(sorted({_ddl(p) for p in _group(paths)}))
-        parsed = F.from_json(body, schema)
-        turns = F.when(F.col("layout") == name, _turns_of(parsed, name, mapping)).otherwise(turns)
-    return rows.select(F.col("_id").alias(id_col), "layout", turns.alias("turns"))
 
+def _turns_of(payload: Column, name: str) -> Column:
+    fields, mapping = LAYOUTS[name]
+    parsed = F.from_json(payload, ", ".join(f"`{f}` " + (f"array<struct<{', '.join(f'`{x}`: string' for x in xs)}>>" if xs else "string") for f, xs in fields.items()))
+    if isinstance(mapping, tuple):
+        role, text, names = mapping
 
-def _group(paths) -> list[str]:
-    tops: dict[str, list[str]] = {}
-    for p in paths:
-        top, _, rest = p.partition("[].")
-        if rest:
-            tops.setdefault(top, []).append(rest.replace(":", ": "))
-        else:
-            tops[p] = []
-    return [f"{t}: array<struct<{', '.join('`' + x.replace(': ', '`: ') for x in r)}>>" if r else t for t, r in tops.items()]
+        def turn(m: Column) -> Column:
+            said = m[role]
+            for old, new in names.items():
+                said = F.when(m[role] == old, new).otherwise(said)
+            return F.struct(said.alias("role"), m[text].alias("text"))
 
+        return F.coalesce(F.transform(parsed[next(iter(fields))], turn), F.array().cast(TURNS)).cast(TURNS)
+    parts = []
+    for role, of in mapping:
+        rest = [F.when(F.coalesce(parsed[f], F.lit("")) != "", F.concat(F.lit("\n\n"), parsed[f])).otherwise("") for f in of[1:]]
+        parts.append(F.struct(F.lit(role).alias("role"), (F.concat(F.coalesce(parsed[of[0]], F.lit("")), *rest) if rest else parsed[of[0]]).alias("text")))
+    return F.filter(F.array(*parts), lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != "")).cast(TURNS)
 
-def _ddl(p: str) -> str:
-    name, _, kind = p.partition(":")
-    return f"`{name}` {kind.strip()}"
 
+def to_turns(df: DataFrame, id_col: str, payload: str | None = None) -> DataFrame:
+    """(id, layout, turns): each row's layout by the fingerprint of its own payload, and its canonical turns.
 
-def _turns_of(parsed: Column, name: str, mapping) -> Column:
-    if isinstance(mapping, str):
-        top = LAYOUTS[name][0][0].partition("[")[0]
-        src = parsed[top]
-        role, text = (p.partition("[].")[2].partition(":")[0] for p in LAYOUTS[name][0])
-        r = lambda m: F.when(m[role] == "human", "user").when(m[role] == "gpt", "assistant").otherwise(m[role]) if name == "sharegpt" else m[role]
-        return F.coalesce(F.transform(src, lambda m: F.struct(r(m).alias("role"), m[text].alias("text"))), F.array().cast(TURNS)).cast(TURNS)
-    fields = {p.partition(":")[0] for p in LAYOUTS[name][0]}
-    parts = []
-    for role, text in mapping:
-        if text in fields:
-            value = parsed[text]
-        else:
-            extra = F.coalesce(parsed["input"], F.lit(""))
-            value = F.concat(F.coalesce(parsed["instruction"], F.lit("")), F.when(extra == "", "").otherwise(F.concat(F.lit("\n\n"), extra)))
-        parts.append(F.struct(F.lit(role.strip("'")).alias("role"), value.alias("text")))
-    turns = F.array(*parts)
-    return F.filter(turns, lambda t: (t["role"] != "system") | (F.coalesce(t["text"], F.lit("")) != "")).cast(TURNS)
-
-
-def _json_paths(body: Column) -> Column:
-    """Field paths `name:string` and `name[].field:string` of a JSON object, one level of arrays deep; unknown fields are left out."""
-    known = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
-    top = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
-    tests = []
-    for p in known:
-        name, _, rest = p.partition("[].")
-        if rest:
-            field = rest.partition(":")[0]
-            has = F.array_contains(top, name) & F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(body, f"$.{name}[0]")), field), F.lit(False))
-        else:
-            has = F.array_contains(top, name.partition(":")[0])
-        tests.append(F.when(has, p))
-    return F.array_compact(F.array(*tests))
+    payload is a column of JSON. Without it, a row's payload is made of its columns that any layout names, those that are null
+    left out; if that has no layout, with the nulls. So one table can hold several layouts. Rows of an unknown layout (also one
+    with fields that no mapping knows, or values that are not strings), null and malformed payloads, and such of more than 128 MB get
+    layout null and no turns; they are kept, and so are repeated rows and null ids. An empty table gives no rows. Other columns
+    are not looked at.
+    """
+    if payload is not None:
+        bodies = [F.col(payload)]
+    else:
+        tops = {f for fields, _ in LAYOUTS.values() for f in fields}
+        cols = F.struct(*[F.col(f"`{c}`") for c in df.columns if c in tops and c != id_col] or [F.lit(None).alias("none")])
+        bodies = [F.to_json(cols), F.to_json(cols, {"ignoreNullFields": "false"})]
+    rows = df.select(F.col(id_col).alias("_id"), *[b.alias(f"_p{i}") for i, b in enumerate(bodies)])
+    rows = rows.select("*", *[_layout(fingerprint_of(F.col(f"_p{i}"))).alias(f"_l{i}") for i in range(len(bodies))])
+    layout = F.coalesce(*[F.col(f"_l{i}") for i in range(len(bodies))])
+    body = F.col("_p0") if payload is not None else F.when(F.col("_l0").isNotNull(), F.col("_p0")).otherwise(F.col("_p1"))
+    rows = rows.select("_id", layout.alias("layout"), body.alias("_p"))
+    turns = F.array().cast(TURNS)
+    for name in LAYOUTS:
+        turns = F.when(F.col("layout") == name, _turns_of(F.col("_p"), name)).otherwise(turns)
+    return rows.select(F.col("_id").alias(id_col), "layout", turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
