@@ -19,12 +19,15 @@ BOILERPLATE = (
     "read more", "sign in", "sign up", "skip to content", "subscribe to", "terms of service", "terms of use",
 )
 BOILERPLATE_RE = "(?i)(" + "|".join(BOILERPLATE) + ")"
-BOILERPLATE_MAX_WORDS = 30
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Shares of a line's words above which it fails, and of a document's words below which it is rejected."""
+    """Shares of a line's words above which it fails, and of a document's words below which it is rejected.
+
+    A phrase of page furniture marks a line only up to max_furniture_words: in a longer one it can be part of prose. Missing
+    punctuation counts only above max_plain_words: headings, list items and verse have none.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -32,6 +35,7 @@ class Rules:
     max_symbol: float = 0.3
     max_exclaim: float = 0.3
     max_plain_words: int = 60
+    max_furniture_words: int = 30
     min_kept: float = 0.5
 
 
@@ -46,7 +50,7 @@ def line_ok(line: Column, r: Rules) -> Column:
         symbols = count(line, SYMBOL_RE + "{2,}") > r.max_symbol * n
         exclaim = count(line, "!{2,}") > r.max_exclaim * n
         unpunctuated = (n > r.max_plain_words) & ~line.rlike(r"[.!?…。！？:;]")
-        boilerplate = (n <= BOILERPLATE_MAX_WORDS) & line.rlike(BOILERPLATE_RE)
+        boilerplate = (n <= r.max_furniture_words) & line.rlike(BOILERPLATE_RE)
         return (n == 0) | ~(navigation | symbols | exclaim | unpunctuated | boilerplate)
 
     # Bound once: an expression inside a lambda is computed wherever it stands.
