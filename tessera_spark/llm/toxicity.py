@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Learning uses a bounded sample of labelled rows (`max_per_class`, taken by hash over all of them) on the driver; scoring
-covers every whole text on the executors, in Arrow batches. Features are hashed n-grams of UTF-8 bytes inside a text with
+Learning uses a bounded sample of labelled rows (`max_per_class`, taken by hash over all of them): executors make the features
+of the sample's whole texts, and the driver gets the counts of features (2 ** `bits` at most) and, of each text, the features
+that weigh. Scoring covers every whole text on the executors, in Arrow batches. Features are hashed n-grams of UTF-8 bytes inside a text with
 ASCII letters lower-cased, present or absent, so neither length nor repetition dilutes a text's evidence.
 """
 
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,22 +71,18 @@ def association(counts: np.ndarray, n0: float, n1: float) -> np.ndarray:
     return out
 
 
-def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rate: float | None = None) -> tuple[np.ndarray, float]:
-    """(weight of each hashed feature, intercept). rate is the share of label 1 among all labels, by default the sample's. Features in fewer than min_docs texts or with a G2 below g2 weigh nothing."""
-    labels = np.asarray(labels, np.float64)
-    if len(labels) == 0 or labels.min() == labels.max():
-        only = (labels.sum() + p.smooth) / (len(labels) + 2 * p.smooth)
-        return np.zeros(1 << p.bits, np.float32), float(np.log(only / (1 - only)))
-    counts = np.zeros((2, 1 << p.bits), np.int32)
-    for t, y in zip(texts, labels, strict=True):
-        counts[int(y)][features(t, p)] += 1
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
+def select(counts: np.ndarray, n0: float, n1: float, p: Params) -> np.ndarray:
+    """Log-count ratio of each hashed feature; 0 for those in fewer than min_docs texts or with a G2 below g2."""
     ratio = np.log((counts[1] + p.smooth) / (n1 + 2 * p.smooth)) - np.log((counts[0] + p.smooth) / (n0 + 2 * p.smooth))
     use = (counts.sum(0) >= p.min_docs) & (association(counts, n0, n1) >= p.g2)
-    ratio = np.where(use, ratio, 0.0)
-    rows = [f[use[f]] for f in (features(t, p) for t in texts)]
+    return np.where(use, ratio, 0.0)
+
+
+def solve(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, p: Params, rate: float | None) -> tuple[np.ndarray, float]:
+    """(weight of each hashed feature, intercept) from each text's features that have a ratio. rate is the share of label 1 among all labels, by default the sample's."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
     lens = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+    cols = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(rows)), lens)
     ids, cols = np.unique(cols, return_inverse=True)
     x = ratio[ids][cols]
@@ -107,6 +105,24 @@ def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rat
     return out, float(b)
 
 
+def one_class(labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """The model of labels that are all equal, or none: the intercept alone."""
+    only = (labels.sum() + p.smooth) / (len(labels) + 2 * p.smooth)
+    return np.zeros(1 << p.bits, np.float32), float(np.log(only / (1 - only)))
+
+
+def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rate: float | None = None) -> tuple[np.ndarray, float]:
+    """The model of texts at hand; fit() learns the same from tables."""
+    labels = np.asarray(labels, np.float64)
+    if len(labels) == 0 or labels.min() == labels.max():
+        return one_class(labels, p)
+    rows, counts = [features(t, p) for t in texts], np.zeros((2, 1 << p.bits), np.int64)
+    for r, y in zip(rows, labels, strict=True):
+        counts[int(y)][r] += 1
+    ratio = select(counts, len(labels) - labels.sum(), labels.sum(), p)
+    return solve([r[ratio[r] != 0] for r in rows], labels, ratio, p, rate)
+
+
 def score_one(text: str | None, weight: np.ndarray, b: float, p: Params) -> float:
     data, found, step = np.frombuffer(_lower(text), np.uint8), [], max(p.sizes) - 1
     for at in range(0, max(len(data), 1), BLOCK):
@@ -118,9 +134,13 @@ def score_one(text: str | None, weight: np.ndarray, b: float, p: Params) -> floa
     return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, float | None]:
-    """(rows, share of label 1 over all labels): of each class the max_per_class documents with the smallest hash of their id; rows without label, id or text don't teach."""
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").dropDuplicates(["_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, float | None]:
+    """((id, t, y), share of label 1 over all labels): of each class the max_per_class documents with the smallest hash of their id.
+
+    Rows without label, id or text don't teach, nor do ids with both labels; an id with several texts teaches the one with the smallest hash.
+    """
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
+    y = y.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
     h = F.xxhash64(F.lit(p.seed), "_id")
     rate = y.agg(F.avg("_y").alias("rate")).first()["rate"]
     chosen = None
@@ -129,13 +149,48 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str =
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t is not null")
     # At most 2 * max_per_class ids, so the broadcast has a bound.
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "_t", "_y").collect(), rate
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("_y").alias("y"), F.min(F.struct(F.xxhash64("_t").alias("h"), F.col("_t").alias("t"))).alias("m"))
+    return one.select(F.col("_id").alias("id"), F.col("m.t").alias("t"), "y"), rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **cols: str) -> tuple[np.ndarray, float]:
-    rows, rate = labelled_sample(docs, labels, p, **cols)
-    rows = sorted(rows, key=lambda r: (r["_id"], r["_t"]))
-    return train([r["_t"] for r in rows], np.array([r["_y"] for r in rows]), p, rate)
+    """(weight of each hashed feature, intercept), learnt from labelled_sample()."""
+    spark = docs.sparkSession
+    with common.batches_of(spark, 500):
+        sample, rate = labelled_sample(docs, labels, p, **cols)
+        sample = common.materialize(sample, "labelled")
+        size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        n0, n1 = size.get(0, 0), size.get(1, 0)
+        if not n0 or not n1:
+            return one_class(np.repeat([0.0, 1.0], [n0, n1]), p)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((2, 1 << p.bits), np.int32)
+            for b in batches:
+                for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    counts[y][features(t.as_py(), p)] += 1
+            some = np.flatnonzero(counts.sum(0))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (some, counts[0][some], counts[1][some])], ["f", "c0", "c1"])
+
+        texts = sample.select("t", "y").coalesce(8)  # bounded rows; few tasks keep the counts from being sent many times
+        sums = texts.mapInArrow(count, "f int, c0 int, c1 int").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(F.col("c0") + F.col("c1") >= p.min_docs).toArrow()
+        counts = np.zeros((2, 1 << p.bits), np.int64)
+        f = np.asarray(sums["f"])
+        counts[0][f], counts[1][f] = np.asarray(sums["c0"]), np.asarray(sums["c1"])
+        ratio = select(counts, n0, n1, p)
+        use = np.flatnonzero(ratio)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [np.intersect1d(features(t.as_py(), p), use, assume_unique=True).astype(np.int32) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2)], ["id", "fs", "y"])
+
+        kind = sample.schema["id"].dataType.simpleString()
+        rows = sample.select("id", "t", "y").mapInArrow(keep, f"id {kind}, fs array<int>, y int").toArrow().sort_by("id").combine_chunks()
+        common.discard(sample)
+    fs = rows["fs"].combine_chunks()
+    at = np.asarray(fs.offsets) - fs.offsets[0].as_py()
+    return solve(np.split(np.asarray(fs.flatten()), at[1:-1]), np.asarray(rows["y"]).astype(np.float64), ratio, p, rate)
 
 
 def scorer(model: tuple[np.ndarray, float], p: Params = Params()):
@@ -174,8 +229,8 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, p: Params = Params()) -> DataFrame:
-    """The documents scored below threshold, with their own columns."""
-    model = fit(docs, labels, p)
+def reject_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, p: Params = Params()) -> DataFrame:
+    """The documents scored below threshold, with their own columns. Null and empty texts get the intercept's score, repeated rows agree, an empty table gives no rows."""
+    model = fit(docs, labels, p, id_col=id_col, text_col=text_col)
     common.limit_batches(docs.sparkSession)
-    return docs.where(scorer(model, p)(F.col("text")) < threshold)
+    return docs.where(scorer(model, p)(F.col(text_col)) < threshold)
