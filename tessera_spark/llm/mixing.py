@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -114,7 +115,8 @@ def _prepared(docs: DataFrame, keep: dict[str, Column], id_col: str, text_col: s
         F.col(source_col).alias("_src"),
         F.concat(F.when(F.col(source_col).isNull(), "n").otherwise("s"), F.coalesce(F.col(source_col), F.lit(""))).alias("_key"),
         size.alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("_h"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)).alias("_h"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType)]).alias("_tie"),
     ).withColumn("_salt", F.pmod(F.shiftrightunsigned(F.col("_h"), 40), F.lit(SALTS)).cast("int"))
 
 
@@ -135,8 +137,8 @@ def mix_sources(
 
     Returns the columns `keep` (by default the id) plus size (words), source_size, target (words wanted of the source),
     copies (0 to max_repeat) and taken (= size * copies). Sources: null is a source of its own and comes last. Null or empty
-    texts have size 0 and are taken as often as the whole source is. Repeated rows and ids count row by row, ties by hash are
-    broken by id. An empty table gives no rows. Other columns pass through only if named in `keep`, under their own names,
+    texts have size 0 and are taken as often as the whole source is. Repeated rows and ids count row by row; ties by the hash of
+    id, source and text are broken by id, then by a hash of all columns (maps apart), so reruns over reordered rows agree. An empty table gives no rows. Other columns pass through only if named in `keep`, under their own names,
     unless those are the names of the results.
     Every sum of words taken is as near its target as the lengths allow, to the word where a subset has that sum.
     """
@@ -169,7 +171,7 @@ def mix_sources(
     plain = keep == [id_col]
     rows = slim if plain else _prepared(docs, {c: F.col(c) for c in keep}, id_col, text_col, source_col, seed).withColumn("k__id", F.col(f"k_{id_col}"))
     order = "k_id" if plain else "k__id"
-    ranked = rows.drop("_src").withColumn("_r", F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy("_h", order)))
+    ranked = rows.drop("_src").withColumn("_r", F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy("_h", order, "_tie")))
     copies = F.col("_passes") + F.when(F.col("_r") <= F.col("_k"), 1).otherwise(0)
     return ranked.join(cells, ["_key", "_size", "_salt"]).select(
         *[F.col("k_id" if plain else f"k_{c}").alias(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("_size") * copies).cast("long").alias("taken")
