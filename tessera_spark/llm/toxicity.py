@@ -1,8 +1,7 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Learning uses a bounded sample of labelled rows (`max_per_class`, taken by hash over all of them): executors make the features
-of the sample's whole texts, and the driver gets the counts of features (2 ** `bits` at most) and, of each text, the features
-that weigh. Scoring covers every whole text on the executors, in Arrow batches. Features are hashed n-grams of UTF-8 bytes inside a text with
+of the sample's whole texts, and the driver gets the counts of the features that weigh and, of each text, which of them it has. Scoring covers every whole text on the executors, in Arrow batches. Features are hashed n-grams of UTF-8 bytes inside a text with
 ASCII letters lower-cased, present or absent, so neither length nor repetition dilutes a text's evidence.
 """
 
@@ -71,6 +70,15 @@ def association(counts: np.ndarray, n0: float, n1: float) -> np.ndarray:
     return out
 
 
+def association_column(c0: Column, c1: Column, n0: int, n1: int) -> Column:
+    """association() of columns."""
+    seen, out = c0 + c1, F.lit(0.0)
+    for c, n in ((c0, n0), (c1, n1)):
+        for here, total in ((c, seen), (F.lit(n) - c, F.lit(n0 + n1) - seen)):
+            out = out + F.when(here > 0, 2 * here * F.log(here / (total * (n / (n0 + n1))))).otherwise(0.0)
+    return out
+
+
 def select(counts: np.ndarray, n0: float, n1: float, p: Params) -> np.ndarray:
     """Log-count ratio of each hashed feature; 0 for those in fewer than min_docs texts or with a G2 below g2."""
     ratio = np.log((counts[1] + p.smooth) / (n1 + 2 * p.smooth)) - np.log((counts[0] + p.smooth) / (n0 + 2 * p.smooth))
@@ -173,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **cols: str) -
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (some, counts[0][some], counts[1][some])], ["f", "c0", "c1"])
 
         texts = sample.select("t", "y").coalesce(8)  # bounded rows; few tasks keep the counts from being sent many times
-        sums = texts.mapInArrow(count, "f int, c0 int, c1 int").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).where(F.col("c0") + F.col("c1") >= p.min_docs).toArrow()
+        sums = texts.mapInArrow(count, "f int, c0 int, c1 int").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+        # select() drops the same ones; here they do not even reach the driver.
+        sums = sums.where((F.col("c0") + F.col("c1") >= p.min_docs) & (association_column(F.col("c0"), F.col("c1"), n0, n1) >= p.g2 * (1 - 1e-9))).toArrow()
         counts = np.zeros((2, 1 << p.bits), np.int64)
         f = np.asarray(sums["f"])
         counts[0][f], counts[1][f] = np.asarray(sums["c0"]), np.asarray(sums["c1"])
