@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams.
 
-Paragraphs are lines. A softmax regression over word uni- and bigrams, trained on variants of the templates below and on
+Paragraphs are lines, and wrapped lines with those after them. A softmax regression over word uni- and bigrams, trained on variants of the templates below and on
 bounded samples of other paragraphs, names the licence family or `unknown`; a temperature fitted on held-out variants
 calibrates its probabilities. A prediction counts only if the paragraph also covers enough of one of the family's templates.
 The model is small and fixed in size, so it is broadcast; texts never leave the JVM.
@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -119,7 +120,8 @@ def model(p: Params = Params()) -> tuple[dict[str, list[float]], list[float], li
     rng = np.random.default_rng(p.seed)
     held = rng.random(len(data)) < 0.2
     grams = [ngrams(t) for t, _ in data]
-    vocab = {g: i for i, g in enumerate(sorted({g for r in grams for g in r})[: p.max_features])}
+    df = Counter(g for r in grams for g in r)
+    vocab = {g: i for i, g in enumerate(sorted(df, key=lambda g: (-df[g], g))[: p.max_features])}
     x = [[vocab[g] for g in r if g in vocab] for r in grams]
     y = np.array([families.index(f) for _, f in data])
     part = [r for r, h in zip(x, held, strict=True) if not h]
@@ -151,20 +153,25 @@ def _grams(words: list[str]) -> set[str]:
 
 @lru_cache(4)
 def lures(p: Params = Params()) -> tuple[str, ...]:
-    """Words of which every paragraph that covers a template by min_cover has one: of each template so many that the rest of it covers less."""
+    """Words of which every paragraph that covers a template by min_cover has one.
+
+    Of a name of one or two words, which counts only whole, the longest; of other templates so many words that the rest of it
+    covers less, long ones first.
+    """
     plain, out = {w for o in OTHERS for w in map(_clean, _words(o))}, set()
     for t in sorted((t for ts in _templates().values() for t in ts), key=len):
         left = lambda: len(_grams(t)) - len({g for g in _grams(t) if out & set(g.split())})  # noqa: E731, B023
-        for w in sorted(set(t), key=lambda w: (w in plain, -len(w), w)):
-            if left() < p.min_cover * len(_grams(t)):
+        for w in sorted(set(t), key=lambda w: (len(w) <= 3, w in plain, -len(w), w)):
+            if left() < (p.min_cover if len(t) > 2 else 1) * len(_grams(t)):
                 break
             out.add(w)
     return tuple(sorted(out))
 
 
-#: Names of one word can be ordinary words elsewhere (German "mit"): alone they count as a template only as written, or after a frame's words.
+#: Names of one word can be ordinary words elsewhere (German "mit"): a paragraph is looked at if it has one as written, or after words that show it.
 SHORT_NAMES = tuple(n for ns in NAMES.values() for n in ns if len(_words(n)) == 1)
-SHORT_RE = r"(?<![\p{L}\p{N}])(" + "|".join(SHORT_NAMES) + r"|(?i:(the|under|a)\s+(" + "|".join(SHORT_NAMES) + r")))(?![\p{L}\p{N}])"
+#: What shows that such a word names a licence.
+NAMED_RE = r"(?i)(under(\s+(the|a))?|terms\s+of(\s+the)?|covered\s+by(\s+the)?|licen[cs]e:|identifier:)\s+(" + "|".join(SHORT_NAMES) + r")(?![\p{L}\p{N}])"
 
 
 def _column_grams(ws: Column) -> Column:
@@ -172,54 +179,109 @@ def _column_grams(ws: Column) -> Column:
 
 
 def _shares(grams: Column, templates: list[list[str]]) -> list[Column]:
-    return [F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in sorted(_grams(t))]))) / float(len(_grams(t))) for t in templates]
+    """The share of each template that a paragraph has; of a name of one or two words, all or nothing."""
+    out = []
+    for t in templates:
+        share = F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in sorted(_grams(t))]))) / float(len(_grams(t)))
+        out.append(share if len(t) > 2 else F.when(share == 1, 1.0).otherwise(0.0))
+    return out
+
 
+def _short(text: Column) -> Column:
+    found = text.rlike(NAMED_RE)
+    for name in SHORT_NAMES:
+        found = F.contains(text, F.lit(name)) | found
+    return found
 
-def covers_any(ws: Column, text: Column, p: Params) -> Column:
-    """Whether the paragraph covers a template of two or more words, or has a name of one word."""
+
+def covers_any(ws: Column, p: Params) -> Column:
+    """Whether the words of a paragraph cover a template of two or more words."""
     long = [t for ts in _templates().values() for t in ts if len(t) > 1]
-    return text.rlike(SHORT_RE) | F.exists(F.array(_column_grams(ws)), lambda g: F.greatest(*_shares(g, long)) >= p.min_cover)
+    return F.exists(F.array(ws), lambda w: F.exists(F.array(_column_grams(w)), lambda g: F.greatest(*_shares(g, long)) >= p.min_cover))
+
 
+def covered(ws: Column, family: Column, short: Column) -> Column:
+    """The largest share of a template's words, in bigrams beside single words, that the paragraph has; 0 for unknown.
 
-def covered(ws: Column, family: Column) -> Column:
-    """The largest share of a template's words, in bigrams beside single words, that the paragraph has; 0 for unknown."""
+    A template of one word counts only where `short` says that the paragraph has it as a name.
+    """
     out = F.lit(0.0)
     grams = _column_grams(ws)
     for fam, templates in _templates().items():
-        best = _shares(grams, templates)
+        best = [F.when(short | (len(t) > 1), x).otherwise(0.0) for t, x in zip(templates, _shares(grams, templates), strict=True)]
         out = F.when(family == fam, F.greatest(*best) if len(best) > 1 else best[0]).otherwise(out)
     return out
 
 
+#: Licence texts are often wrapped: a line of up to so many characters is also read with up to so many lines after it.
+WRAP_CHARS, WRAP_LINES = 100, 4
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+    """(id, line, n_lines, x): lines that can be of a licence, and the same with the lines after them where those are wrapped; each once."""
+
+    def has(text: Column, words) -> Column:
+        """Whether a text has any of the words, in any case; lower-cased once."""
+
+        def any_of(low: Column) -> Column:
+            found = F.lit(False)
+            for w in words:
+                found = found | F.contains(low, F.lit(w))
+            return found
+
+        return F.exists(F.array(F.lower(text)), any_of)
+
+    alone = {w for n in SHORT_NAMES for w in _words(n)}  # found by _short() instead: as parts of words they are everywhere
+    wide = (*CUES, *(w for w in lures(p) if w not in alone and not any(x in w for x in CUES)))
+    x = F.col("x")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has(F.col("t"), wide) | _short(F.col("t"))).select("id", F.split("t", "\n").alias("ls"))
+    lines = texts.select("id", "ls", F.posexplode_outer("ls").alias("line", "x")).where(has(x, wide) | _short(x))
+    # The lines after, as far as each is wrapped and not blank.
+    after = F.slice("ls", F.col("line") + 2, WRAP_LINES - 1)
+    full = lambda y: (F.length(y) <= WRAP_CHARS) & (F.length(y) >= WRAP_CHARS // 3)
+    stop = F.array_position(F.transform(F.concat(F.array("x"), after), full), False)
+    taken = F.when(stop == 0, F.size(after)).otherwise(F.least(stop - 1, F.size(after)).cast("int"))
+    lines = lines.select("id", "line", "x", F.filter(F.slice(after, 1, taken), lambda y: F.trim(y) != "").alias("more"))
+    forms = F.array(F.struct(F.lit(1).alias("n_lines"), x.alias("x")), F.when(F.size("more") > 0, F.struct((F.size("more") + 1).alias("n_lines"), F.concat_ws(" ", "x", "more").alias("x"))))
+    each = lines.select("id", "line", F.explode_outer(F.array_compact(forms)).alias("f")).select("id", "line", "f.n_lines", "f.x")
+    cover = covers_any(_column_words(x), p) | _short(x)
+    return each.where(F.when(F.col("n_lines") == 1, has(x, CUES) | cover).otherwise(cover)).dropDuplicates(["id", "line", "n_lines", "x"])
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """(id, line, family, probability, cover, confirmed): one row per candidate paragraph, with the number of its line from 0.
+    """(id, line, n_lines, family, probability, cover, confirmed): one row per candidate paragraph, with the number of its first line from 0.
 
+    A paragraph is a line, or a wrapped line with those after it where these are confirmed and the line alone is not.
     family is `unknown` where the model says so, where its probability is under min_probability, or where no template of the
     family is covered; confirmed is true where the template comparison agrees with the model. Null and empty texts have no
-    candidates. Repeated rows give equal rows once (all that is shown of them is equal). Other columns are not looked at.
+    candidates, and an empty table no rows. Repeated rows give equal rows once (all that is shown of them is equal); documents
+    that share an id but not a line's text have a row for each. Other columns are not looked at.
     """
     spark = docs.sparkSession
     weights, bias, families = model(p)
     table = common.local_table(spark, [{"g": g, "w": w} for g, w in weights.items()], "g: string, w: array<double>")  # at most max_features rows
     k = len(families)
-    has = lambda c, cues: F.expr(" or ".join(f"contains(lower({c}), '{x}')" for x in cues))
-    wide = (*CUES, *(w for w in lures(p) if not any(x in w for x in CUES)))
-    lines = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(has("t", wide)).select("id", F.posexplode_outer(F.split("t", "\n")).alias("line", "x")).where(has("x", wide))
-    lines = lines.where(has("x", CUES) | covers_any(_column_words(F.col("x")), F.col("x"), p))
-    paragraphs = lines.select("id", "line", F.xxhash64("x").alias("h"), _column_words(F.col("x")).alias("ws"))
-    bigrams = F.transform(F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.size("ws")).alias("b")), lambda z: F.concat_ws(" ", z["a"], z["b"]))
-    exploded = paragraphs.select("id", "line", "h", "ws", F.explode_outer(F.array_union("ws", bigrams)).alias("g"))
+    found = paragraphs(docs, id_col, text_col, p).select("id", "line", "n_lines", F.xxhash64("x").alias("h"), _column_words(F.col("x")).alias("ws"), F.col("x").rlike(NAMED_RE).alias("short"))
+    exploded = found.select("id", "line", "n_lines", "h", "ws", "short", F.explode_outer(_column_grams(F.col("ws"))).alias("g"))
     met = exploded.join(F.broadcast(table), "g", "left")
     sums = [F.sum(F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"z{i}") for i in range(k)]
-    scored = met.groupBy("id", "line", "h").agg(F.first("ws").alias("ws"), *sums)
+    scored = met.groupBy("id", "line", "n_lines", "h").agg(F.first("ws").alias("ws"), F.first("short").alias("short"), *sums)
     z = F.array(*[F.col(f"z{i}") + bias[i] for i in range(k)])
-    scored = scored.select("id", "line", "ws", z.alias("z")).withColumn("top", F.array_max("z"))
+    scored = scored.select("id", "line", "n_lines", "h", "ws", "short", z.alias("z")).withColumn("top", F.array_max("z"))
     probability = 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     best = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select("id", "line", "ws", best.alias("best"), probability.alias("probability"))
-    scored = scored.withColumn("cover", F.round(covered(F.col("ws"), F.col("best")), 6))
+    scored = scored.select("id", "line", "n_lines", "h", "ws", "short", best.alias("best"), probability.alias("probability"))
+    scored = scored.withColumn("cover", F.round(covered(F.col("ws"), F.col("best"), F.col("short")), 6))
     agree = (F.col("best") != UNKNOWN) & (F.col("probability") >= p.min_probability) & (F.col("cover") >= p.min_cover)
-    return scored.select(F.col("id").alias(id_col), "line", F.when(agree, F.col("best")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), "cover", agree.alias("confirmed"))
+    scored = scored.select("id", "line", "n_lines", "h", F.when(agree, F.col("best")).otherwise(UNKNOWN).alias("family"), F.round("probability", 6).alias("probability"), "cover", agree.alias("confirmed"))
+    # A wrapped text counts where it is confirmed, no line of it is confirmed alone, and no wrapped text that counts begins in the lines just before.
+    doc = Window.partitionBy("id").orderBy("line")
+    alone = F.min(F.when((F.col("n_lines") == 1) & F.col("confirmed"), F.col("line"))).over(doc.rangeBetween(0, WRAP_LINES - 1))
+    scored = scored.withColumn("_w", (F.col("n_lines") > 1) & F.col("confirmed") & (F.coalesce(alone, F.col("line") + F.col("n_lines")) >= F.col("line") + F.col("n_lines")))
+    before = F.max(F.when(F.col("_w"), F.col("line"))).over(doc.rangeBetween(1 - WRAP_LINES, -1))
+    scored = scored.withColumn("_w", F.col("_w") & before.isNull()).where("n_lines = 1 or _w")
+    ranked = scored.withColumn("_r", F.rank().over(Window.partitionBy("id", "line").orderBy(F.desc("_w")))).where("_r = 1")
+    return ranked.select(F.col("id").alias(id_col), "line", "n_lines", "family", "probability", "cover", "confirmed")
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
