@@ -56,12 +56,13 @@ def _in(words: str) -> str:
     rf"""{_PATH_SQL}, c AS (SELECT *, CASE WHEN {_GEN} THEN 'generated' WHEN {_EXT} IN ('.js', '.jsx', '.ts', '.tsx') THEN 'source' ELSE 'unknown' END AS class FROM p)
 SELECT path, class, CASE WHEN starts_with(path, '.github/') THEN 'automation' WHEN starts_with(path, 'bench/') THEN 'benchmark' WHEN contains(path, '/src/compiled/') THEN 'compiled' END AS skipped,
   CASE WHEN class = 'source' THEN 'relevant_source' WHEN regexp_matches(low, '(^|/)(__fixtures__|__snapshots__|fixtures?|snapshots?)(/|$)') OR lname LIKE '%.snap' THEN 'fixture_or_snapshot' WHEN {_EXT} IN {_in(repositories.SCOPES['style_or_asset'])} THEN 'style_or_asset'
-    WHEN {_EXT} IN {_in(repositories.SCOPES['data_or_config'])} OR lname IN {_in(' '.join(repositories.DATA_NAMES))} THEN 'data_or_config' WHEN {_EXT} IN {_in(repositories.SCOPES['documentation'])} THEN 'documentation' WHEN {_EXT} IN {_in(repositories.SCOPES['template_or_markup'])} THEN 'template_or_markup' ELSE 'other_non_source' END AS scope FROM c"""
+    WHEN {_EXT} IN {_in(repositories.SCOPES['data_or_config'])} OR lname IN {_in(' '.join(repositories.DATA_NAMES))} THEN 'data_or_config' WHEN {_EXT} IN {_in(repositories.SCOPES['documentation'])} THEN 'documentation' WHEN {_EXT} IN {_in(repositories.SCOPES['template_or_markup'])} THEN 'template_or_markup' ELSE 'other_non_source' END AS scope,
+  regexp_matches(low, '(^|/)(\.git|node_modules|dist|build|coverage|\.next|\.turbo|\.cache|out|storybook-static|generated)(/|$)') OR lname = '.ds_store' OR regexp_matches(lname, '(\.d\.ts|\.generated\.(js|jsx|ts|tsx)|\.min\.(js|jsx)|\.tmp|\.temp|\.swp|\.swo|~)$') AS unsearched FROM c"""
 )
 def file_scopes(spark, d):
     """Class, skip reason and coverage scope of files."""
     p = F.concat("dir", "name")
-    return _rows(spark, PATHS).select(p.alias("path"), repositories.classify(p).alias("class"), repositories.skip_reason(p).alias("skipped"), repositories.scope(p).alias("scope"))
+    return _rows(spark, PATHS).select(p.alias("path"), repositories.classify(p).alias("class"), repositories.skip_reason(p).alias("skipped"), repositories.scope(p).alias("scope"), repositories.unsearched(p).alias("unsearched"))
 
 
 @query(

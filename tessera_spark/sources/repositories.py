@@ -21,6 +21,34 @@ SCOPES = {
     "template_or_markup": ".astro .hbs .handlebars .html .htm .liquid .njk .svelte .twig .vue .xml",
 }
 DATA_NAMES = (".env", ".env.example", ".env.local", "bun.lockb", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+# What makes a directory a repository, and what search leaves out, in any case.
+REPOSITORY_MARKS = (".git", "package.json", "tsconfig.json", "next.config.ts", "next.config.js")
+UNSEARCHED_DIRS = (".git", "node_modules", "dist", "build", "coverage", ".next", ".turbo", ".cache", "out", "storybook-static", "generated")
+UNSEARCHED_NAMES = (".ds_store",)
+UNSEARCHED_ENDS = (".d.ts", ".generated.js", ".generated.jsx", ".generated.ts", ".generated.tsx", ".min.js", ".min.jsx", ".tmp", ".temp", ".swp", ".swo", "~")
+
+
+def list_repositories(spark: SparkSession, root: str) -> DataFrame:
+    """(id, root, is_git): the root itself if it carries a mark of a repository, else its directories, by name. Any file system that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marked = lambda at, names: any(fs.exists(path(f"{at}/{n}")) for n in names)
+    root = root.rstrip("/")
+    if marked(root, REPOSITORY_MARKS):
+        rows = [(root.rsplit("/", 1)[-1], root, marked(root, (".git",)))]
+    else:
+        found = [x.getPath() for x in fs.listStatus(path(root)) if x.isDirectory()]
+        rows = sorted((x.getName(), x.toString(), marked(x.toString(), (".git",))) for x in found)
+    return spark.createDataFrame(rows, "id string, root string, is_git boolean")
+
+
+def unsearched(path: Column) -> Column:
+    """Whether search, and the fingerprint of what it shows, leaves a file out."""
+    low = F.lower(paths.normal(path))
+    name, out = paths.base_name(low), F.lit(False)
+    for end in UNSEARCHED_ENDS:
+        out = out | name.endswith(end)
+    return out | _inside(low, UNSEARCHED_DIRS) | name.isin(*UNSEARCHED_NAMES)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:

@@ -154,6 +154,9 @@ def test_scan_and_classify(spark, tmp_path):
     got = {(r["repo"], r["path"]): (r["c"], r["s"]) for r in f.select("repo", "path", repositories.classify(F.col("path")).alias("c"), repositories.scope(F.col("path")).alias("s")).collect()}
     assert got == {("one", "src/a.ts"): ("source", "relevant_source"), ("two", "b.test.tsx"): ("source", "relevant_source"), ("two", "readme.md"): ("unknown", "documentation")}
     assert repositories.manifest(f).where("key = 'one/src/a.ts' and size = 24").count() == 1
+    (tmp_path / "two/package.json").write_text("{}")
+    assert [r["id"] for r in repositories.list_repositories(spark, str(tmp_path)).collect()] == ["one", "two"]
+    assert [tuple(r) for r in repositories.list_repositories(spark, str(tmp_path / "two")).collect()] == [("two", str(tmp_path / "two"), False)]
     assert f.select(repositories.line_range(F.col("text"), 2, 2).alias("x")).first()["x"] == "line"
     with pytest.raises(ValueError):
         repositories.safe_path("a/../../b")
@@ -174,6 +177,29 @@ def test_generations(spark, tmp_path):
     with pytest.raises(ValueError):
         store.publish(c)
     assert {s["id"]: s["state"] for s in store.states()} == {a: "committed", b: "committed"}
+    assert store.load("t", columns={"id": "bigint"}).status == "ok" and store.load("t", columns={"name": "string"}).status == "malformed"
+    d = store.stage({"t": spark.range(2)})
+    broken = next(iter((tmp_path / "g" / f"generation_id={d}" / "t").glob("part-*.parquet")))
+    broken.write_bytes(b"no parquet")
+    (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
+    assert store.load("t", gid=d).status == "malformed"
+
+
+def test_markers_and_failures(spark, tmp_path):
+    store = generations.GenerationStore(spark, str(tmp_path / "g"))
+    fields = {"generationId": str, "requestedAt": str}
+    assert store.load_marker("request", fields).status == "missing"
+    store.save_marker("request", {"generationId": "a", "requestedAt": "now"})
+    assert store.load_marker("request", fields).status == "ok" and store.load_marker("request", fields, version=2).status == "incompatible-version"
+    assert store.load_marker("request", {"other": int}).status == "malformed"
+    (tmp_path / "g/coordination/bad.json").write_text("{ no")
+    (tmp_path / "g/coordination/dir.json").mkdir()
+    assert store.load_marker("bad", fields).status == "malformed" and store.load_marker("dir", fields).status == "unreadable"
+    store.record_failure("first", now=1.0)
+    store.record_failure("second", now=2.0)
+    assert store.failure()["reason"] == "second" and [f["reason"] for f in store.failures()] == ["first"]
+    store.clear_failure()
+    assert store.failure() is None and len(store.failures()) == 2
 
 
 def test_stream_publishes_batches(spark, tmp_path):
