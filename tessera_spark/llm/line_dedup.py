@@ -118,16 +118,19 @@ def plausible(a: str, b: str, tau: int) -> Column:
 def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b: hashes of different lines within tau edits, from lines (h, x); equal rows may repeat."""
     rows = lines.select("h", "x", F.lit(0).cast("long").alias("salt"), F.lit(BOTH).alias("role"), F.lit(0).alias("delta"))
-    pairs = texts = profiles = None
+    pairs = texts = None
     for depth in range(DEPTH + 1):
         cells = _cells(rows, tau, depth == 0)
         shared = common.materialize(_shared(cells), "shared")
-        met = cells.join(_small(shared), "key").distinct()
-        if profiles is None:  # of lines that share a segment with another
-            met = common.materialize(met, "cells")
-            texts = common.materialize(met.groupBy("h").agg(F.first("x").alias("x")), "texts")
-            profiles = common.materialize(texts.select("h", profile("x").alias("bits")), "profiles")
-        met = common.materialize(met.join(_small(profiles), "h"), "cells")
+        if texts is None:  # all lines: they come to the join without their text, which is read again for those that meet
+            met = common.materialize(cells.drop("x").join(_small(shared), "key").distinct(), "met")
+            some = common.materialize(met.select("h").distinct(), "lines")
+            texts = lines.join(_small(some), "h").groupBy("h").agg(F.first("x").alias("x"))
+            texts = common.materialize(texts.select("h", "x", profile("x").alias("bits")), "texts")
+            met = met.join(_small(texts), "h")
+        else:
+            met = cells.join(_small(shared), "key").distinct().join(_small(texts).select("h", "bits"), "h")
+        met = common.materialize(met, "cells")
         small = met if depth == DEPTH else met.where(F.col("m") <= LEAF)
         x, y = small.where(F.col("role").bitwiseAND(INDEX) != 0).alias("x"), small.where(F.col("role").bitwiseAND(PROBE) != 0).alias("y")
         alike = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= 4 * tau
