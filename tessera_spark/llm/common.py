@@ -82,10 +82,15 @@ def discard(*tables: DataFrame) -> None:
 BROADCAST_BYTES = 4 << 20
 
 
+def size_of(table: DataFrame) -> int:
+    """Bytes of a materialized table's files."""
+    fs, path = _file(table.sparkSession, table._scratch)
+    return fs.getContentSummary(path).getLength()
+
+
 def bounded(table: DataFrame, *columns: str) -> DataFrame | None:
     """A materialized table (or some of its columns) to broadcast, if its files have at most BROADCAST_BYTES; else None."""
-    fs, path = _file(table.sparkSession, table._scratch)
-    if fs.getContentSummary(path).getLength() > BROADCAST_BYTES:
+    if size_of(table) > BROADCAST_BYTES:
         return None
     return F.broadcast(table.select(*columns) if columns else table)
 
