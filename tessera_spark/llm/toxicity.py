@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,31 +87,42 @@ def select(counts: np.ndarray, n0: float, n1: float, p: Params) -> np.ndarray:
     return np.where(use, ratio, 0.0)
 
 
-def solve(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, p: Params, rate: float | None) -> tuple[np.ndarray, float]:
-    """(weight of each hashed feature, intercept) from each text's features that have a ratio. rate is the share of label 1 among all labels, by default the sample's."""
+#: Texts of the sample that a step of the solver looks at together; memory beside the features themselves goes with it.
+STEP = 500
+
+
+def solve(cols: np.ndarray, lens: np.ndarray, labels: np.ndarray, ratio: np.ndarray, p: Params, rate: float | None) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept). cols are the features of one text after another, lens of each, ratio the features' log-count ratios; rate is the share of label 1 among all labels, by default the sample's."""
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    lens = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), lens)
-    ids, cols = np.unique(cols, return_inverse=True)
-    x = ratio[ids][cols]
     # Half way between the labels' own share and even classes: rare classes are found without flooding the other.
     rate = (n1 / len(labels) if rate is None else rate) / 2 + 0.25
     weight = np.where(labels == 1, rate * len(labels) / n1, (1 - rate) * len(labels) / n0)
-    w, b = np.zeros(len(ids)), 0.0
-    g2, gb2 = np.full(len(ids), 1e-8), 1e-8
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    w, b = np.zeros(len(ratio)), 0.0
+    g2, gb2 = np.full(len(ratio), 1e-8), 1e-8
     for _ in range(p.rounds):  # AdaGrad on the whole sample
-        z = np.bincount(of, weights=x * w[cols], minlength=len(rows)) + b
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
-        g = np.bincount(cols, weights=x * err[of], minlength=len(ids)) + p.l2 * w / len(labels)
-        gb = err.sum()
+        scaled, g, gb = w * ratio, np.zeros(len(ratio)), 0.0
+        for at in range(0, len(labels), STEP):
+            part = slice(at, at + STEP)
+            mine = cols[ends[at] : ends[min(at + STEP, len(labels))]].astype(np.int64)
+            of = np.repeat(np.arange(len(lens[part])), lens[part])
+            z = np.bincount(of, weights=scaled[mine], minlength=len(lens[part])) + b
+            err = weight[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(labels)
+            g += np.bincount(mine, weights=err[of], minlength=len(ratio))
+            gb += err.sum()
+        g = g * ratio + p.l2 * w / len(labels)
         g2 += g * g
         gb2 += gb * gb
         w -= 0.1 * g / np.sqrt(g2)
         b -= 0.1 * gb / np.sqrt(gb2)
+    return w * ratio, float(b)
+
+
+def whole(use: np.ndarray, weights: np.ndarray, p: Params) -> np.ndarray:
+    """The weight of each hashed feature from those of the features in use."""
     out = np.zeros(1 << p.bits, np.float32)
-    out[ids] = w * ratio[ids]
-    return out, float(b)
+    out[use] = weights
+    return out
 
 
 def one_class(labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
@@ -128,7 +140,9 @@ def train(texts: list[str | None], labels: np.ndarray, p: Params = Params(), rat
     for r, y in zip(rows, labels, strict=True):
         counts[int(y)][r] += 1
     ratio = select(counts, len(labels) - labels.sum(), labels.sum(), p)
-    return solve([r[ratio[r] != 0] for r in rows], labels, ratio, p, rate)
+    use, rows = np.flatnonzero(ratio), [r[ratio[r] != 0] for r in rows]
+    weights, b = solve(np.searchsorted(use, np.concatenate(rows)), np.array([len(r) for r in rows]), labels, ratio[use], p, rate)
+    return whole(use, weights, p), b
 
 
 def score_one(text: str | None, weight: np.ndarray, b: float, p: Params) -> float:
@@ -192,15 +206,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), **cols: str) -
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [np.intersect1d(features(t.as_py(), p), use, assume_unique=True).astype(np.int32) for t in b.column(1)]
+                rows = [np.searchsorted(use, np.intersect1d(features(t.as_py(), p), use, assume_unique=True)).astype(np.int32) for t in b.column(1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32())), b.column(2)], ["id", "fs", "y"])
 
         kind = sample.schema["id"].dataType.simpleString()
-        rows = sample.select("id", "t", "y").mapInArrow(keep, f"id {kind}, fs array<int>, y int").toArrow().sort_by("id").combine_chunks()
+        rows = sample.select("id", "t", "y").mapInArrow(keep, f"id {kind}, fs array<int>, y int").orderBy("id").drop("id").toArrow()
         common.discard(sample)
-    fs = rows["fs"].combine_chunks()
-    at = np.asarray(fs.offsets) - fs.offsets[0].as_py()
-    return solve(np.split(np.asarray(fs.flatten()), at[1:-1]), np.asarray(rows["y"]).astype(np.float64), ratio, p, rate)
+    lens = pa.compute.fill_null(pa.compute.list_value_length(rows["fs"]), 0).to_numpy()
+    cols = np.concatenate([np.asarray(c.flatten()) for c in rows["fs"].chunks])
+    labels = rows["y"].to_numpy().astype(np.float64)
+    del rows
+    weights, b = solve(cols, lens, labels, ratio[use], p, rate)
+    return whole(use, weights, p), b
 
 
 def scorer(model: tuple[np.ndarray, float], p: Params = Params()):
