@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,29 @@ def components(edges: DataFrame, a: str, b: str, save: Callable[[DataFrame], Dat
             return lab.withColumnRenamed("l", "component")
 
 
+def spanning_forest(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b): of edges between longs, fewer with the same components; each task keeps one edge for each of its nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(u), root(v)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], [a, b])
+
+    return edges.select(a, b).mapInArrow(run, f"{a} long, {b} long")
+
+
 def render_tree(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
     """(path, depth, node) of the tree below a root, one row per path; a node that its own path holds already ends it."""
     level = edges.sparkSession.createDataFrame([(root, 0, root)], "path string, depth int, node string")

@@ -3,12 +3,17 @@
 Rows: pattern_id, kind, repo_id, file_id, name, structural, imports, export_shape, role, ui, async_, responsibility, family, deps,
 dep_tokens, confidence, indexed. Sets are array<string>; null is empty. indexed says whether the pattern's file is structurally
 indexed; null stands for a pattern without an anchor. Every rule is a column expression.
+
+Pairs are scored between profiles: classes of patterns that agree in all that a rule reads. Ids come back when pairs are written
+out. Scores of pairs of profiles are three-decimal numbers, so sums of them are exact whatever their order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,11 @@ GENERIC_TOKENS = ("ui", "component", "components", "shared", "common")
 THRESHOLD = 0.7
 CORE_SCORE, RELATED_SCORE = 0.62, 0.58
 SUB_MEMBERS, SUB_PARENT, SUB_COHESION, SUB_EDGE = 4, 40, 0.78, 0.28
+#: Ids of a profile that one row of pairs holds at most, and rows that are broadcast at most; beyond, both sides of a join are dealt out.
+CHUNK = 512
+SMALL = 200_000
+#: Profiles of a block; a task holds the scores of two blocks.
+BLOCK = 256
 
 
 def _c(side: str, name: str) -> Column:
@@ -63,12 +73,6 @@ def family_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(fits, 0.85).otherwise(0.0)
 
 
-def name_overlap() -> Column:
-    """How alike the names are, for kinds whose names count."""
-    tokens = [text.name_tokens(_c(side, "name")) for side in "xy"]
-    return F.when(_c("x", "kind").isin(*NAMED), text.name_similarity(*tokens)).otherwise(0.0)
-
-
 def dependency_overlap() -> Column:
     """The strongest of shared dependencies, their tokens and imports, the latter two discounted."""
     part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
@@ -81,47 +85,69 @@ def representativeness(side: str) -> Column:
     return text.clamp(1.0 + shown + F.when(n >= 3, 0.03).when(n <= 1, -0.08).otherwise(0.0), 0.85, 1.08)
 
 
-def similarity() -> Column:
-    """Score of the pair (x, y), 0 to 1 with three decimals; 0 for different kinds."""
-    parts: list[tuple[Column, Column]] = [(F.lit(1.0), F.lit(0.2))]
-    structural = _both(sets.jaccard, "structural", empty=1.0)
-    family = _both(family_similarity, "family")
-    parts += [(structural, F.lit(0.3)), (_both(sets.jaccard, "imports", empty=1.0), F.lit(0.2)), (_both(export_similarity, "export_shape"), F.lit(0.1)), (_both(role_similarity, "role"), F.lit(0.1)), (family, F.lit(0.12))]
-    size = lambda side, n: F.coalesce(F.size(_c(side, n)), F.lit(0))
+def prepared(p: DataFrame) -> DataFrame:
+    """What scored() reads of a pattern besides its id, in columns made once a row: sets of hashes with their sizes, tokens of names that count, anchor and representativeness."""
+    none = F.array().cast("array<string>")
+    p, at = p.alias("x"), lambda n: F.coalesce(_c("x", n), none)
+    names = F.when(_c("x", "kind").isin(*NAMED), text.name_tokens(_c("x", "name")))
+    hashes = lambda a: F.transform(a, lambda v: F.xxhash64(v))
+    # Two lists have as many leading elements in common as hashes of their beginnings.
+    starts = lambda a: F.transform(a, lambda _, i: F.xxhash64(F.array_join(F.slice(a, 1, i + 1), " ")))
+    p = p.withColumns(
+        {f"_h_{n}": F.array_distinct(hashes(at(n))) for n in SETS} | {f"_n_{n}": F.size(F.array_distinct(at(n))) for n in SETS}
+        | {"_signals": F.size(at("structural")), "_shown": representativeness("x"), "_anchor": alignment("x"), "_tokens": names}
+    )
+    return p.withColumns({"_words": F.array_distinct(hashes(F.col("_tokens"))), "_starts": starts(F.col("_tokens")), "_ends": starts(F.reverse("_tokens"))})
+
+
+#: Columns of prepared() that scored() reads.
+PREPARED = ("kind", "export_shape", "role", "family", *[f"_h_{n}" for n in SETS], *[f"_n_{n}" for n in SETS], "_signals", "_words", "_starts", "_ends", "_shown", "_anchor")
+
+
+def scored(j: DataFrame, keep: dict[str, Column], threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (x, y) of rows of prepared() with the columns `keep` and score, passes, dep, imports, responsibility, dep_tokens, fits and align.
+
+    score: 0 to 1 with three decimals, 0 for different kinds. passes: whether a pair of one kind belongs in one cluster. dep, the
+    overlap of dependencies; fits, of families; align, the weaker anchor; the others, overlaps of sets, 0 if either is empty. All
+    are symmetric. Each step is a projection of its own, so no rule is evaluated twice.
+    """
+    both = lambda n: (_c("x", f"_n_{n}"), _c("y", f"_n_{n}"))
+    j = j.select(
+        *[v.alias(k) for k, v in keep.items()], _c("x", "kind").alias("_kind"), (_c("x", "kind") == _c("y", "kind")).alias("_one"), F.least(_c("x", "_anchor"), _c("y", "_anchor")).alias("align"),
+        *[F.size(_both(F.array_intersect, f"_h_{n}")).alias(f"_i_{n}") for n in SETS], *[sum(both(n), F.lit(0)).alias(f"_s_{n}") for n in SETS], *[(F.least(*both(n)) > 0).alias(f"_b_{n}") for n in ("responsibility",)],
+        _both(export_similarity, "export_shape").alias("_export"), _both(role_similarity, "role").alias("_role"), _both(family_similarity, "family").alias("fits"), F.least(_c("x", "_signals"), _c("y", "_signals")).alias("_fewest"),
+        (_c("x", "_shown") + _c("y", "_shown")).alias("_shown"), F.size(_both(F.array_intersect, "_words")).alias("_i_words"), (F.size(_c("x", "_words")) + F.size(_c("y", "_words"))).alias("_s_words"), F.least(*[F.size(_c(v, "_words")) for v in "xy"]).alias("_b_words"),
+        *[F.size(_both(F.array_intersect, n)).alias(n) for n in ("_starts", "_ends")], F.greatest(*[F.size(_c(v, "_starts")) for v in "xy"]).cast("double").alias("_longest"),
+    )
+    ratio = lambda n: F.when(F.col(f"_s_{n}") == 0, 0.0).otherwise(F.col(f"_i_{n}") / (F.col(f"_s_{n}") - F.col(f"_i_{n}")).cast("double"))
+    # How alike the names are, for kinds whose names count: as text.name_similarity.
+    words = F.col("_i_words") / (F.col("_s_words") - F.col("_i_words")).cast("double") + F.col("_starts") / F.col("_longest") * 0.15 + F.col("_ends") / F.col("_longest") * 0.15
+    j = j.withColumn("_name", F.when(F.col("_one") & F.col("_kind").isin(*NAMED) & (F.col("_b_words") > 0), text.clamp(text.round3(words))).otherwise(0.0))
+    j = j.withColumns({n if n in ("imports", "responsibility", "dep_tokens") else f"_{n}": ratio(n) for n in SETS})
+    alike = lambda n: F.when(F.col(f"_s_{n}") == 0, 1.0).otherwise(F.col(n if n in ("imports", "responsibility") else f"_{n}"))
+    # The strongest of shared dependencies, their tokens and imports, the latter two discounted.
+    j = j.withColumns({"_alike": alike("structural"), "_imported": alike("imports"), "_same": alike("responsibility"), "dep": F.greatest(F.col("_deps"), 0.8 * F.col("dep_tokens"), 0.45 * F.col("imports"))})
+    parts: list[tuple[Column, Column]] = [(F.lit(1.0), F.lit(0.2)), (F.col("_alike"), F.lit(0.3)), (F.col("_imported"), F.lit(0.2)), (F.col("_export"), F.lit(0.1)), (F.col("_role"), F.lit(0.1)), (F.col("fits"), F.lit(0.12))]
     for n, w in (("ui", 0.05), ("async_", 0.05), ("responsibility", 0.1), ("deps", 0.12), ("dep_tokens", 0.12)):
-        some = (size("x", n) > 0) | (size("y", n) > 0)
-        parts.append((_both(sets.jaccard, n), F.when(some, w).otherwise(0.0)))
+        parts.append((F.col(n if n in ("responsibility", "dep_tokens") else f"_{n}"), F.when(F.col(f"_s_{n}") > 0, w).otherwise(0.0)))
     total, weight = F.lit(0.0), F.lit(0.0)
     for v, w in parts:
         total, weight = total + v * w, weight + w
-    none = F.array().cast("array<string>")
-    shared = F.size(F.array_intersect(F.coalesce(_c("x", "structural"), none), F.coalesce(_c("y", "structural"), none)))
-    fewest = F.least(size("x", "structural"), size("y", "structural"))
-    s = total / weight * F.when(shared == 0, 0.25).when(fewest <= 1, 0.85).otherwise(1.0) * F.when(family == 0, 0.72).otherwise(1.0)
+    broad, named, few = F.col("_kind").isin(*BROAD), F.col("_kind").isin(*NAMED), F.col("_fewest") <= 1
+    s = total / weight * F.when(F.col("_i_structural") == 0, 0.25).when(few, 0.85).otherwise(1.0) * F.when(F.col("fits") == 0, 0.72).otherwise(1.0)
+    j = j.withColumn("_s0", s)
     # Adjustments of the pair, in order.
-    s = F.when(_c("x", "kind").isin(*BROAD) & (structural < 0.5), F.least(s, F.lit(0.6))).otherwise(s)
-    s = s * (representativeness("x") + representativeness("y")) / 2.0
-    s = s * F.when(fewest <= 1, 0.9).otherwise(1.0)
-    name = name_overlap()
-    s = F.when(_c("x", "kind").isin(*NAMED), 0.85 * s + 0.15 * name).otherwise(s) * F.when(name > 0.6, 1.05).otherwise(1.0)
-    r = _both(sets.jaccard, "responsibility", empty=1.0)
-    known = (size("x", "responsibility") > 0) & (size("y", "responsibility") > 0)
-    s = s * F.when(r > 0, 1.0 + F.least(F.lit(0.08), 0.08 * r)).when(known, 0.88).otherwise(1.0)
-    return F.when(_c("x", "kind") == _c("y", "kind"), text.round3(text.clamp(s))).otherwise(0.0)
-
-
-def gate(score: Column, threshold: float = THRESHOLD) -> Column:
-    """Whether a pair of one kind belongs in one cluster; symmetric."""
-    part = lambda n, **k: _both(sets.jaccard, n, **(k or {"either_empty": 0.0}))
-    structural, imports, resp, ui, async_ = part("structural", empty=1.0), part("imports"), part("responsibility"), part("ui"), part("async_")
-    dep, family = dependency_overlap(), _both(family_similarity, "family")
-    name = name_overlap()
-    broad = _c("x", "kind").isin(*BROAD)
-    align = F.least(alignment("x"), alignment("y"))
-    return (
-        (_c("x", "kind") == _c("y", "kind")) & (score >= threshold) & (family > 0) & (structural > 0) & ~(broad & (structural < 0.5)) & ~((align <= 0.2) & (dep < 0.18))
-        & ~((dep < 0.18) & (imports < 0.45) & (resp < 0.55) & (ui == 0) & (async_ == 0)) & ~((family < 1) & (dep < 0.34) & (resp < 0.55)) & ~(broad & (dep < 0.18) & (imports < 0.45) & (name < 0.2))
+    s = F.when(broad & (F.col("_alike") < 0.5), F.least(F.col("_s0"), F.lit(0.6))).otherwise(F.col("_s0"))
+    j = j.withColumn("_s1", s * F.col("_shown") / 2.0 * F.when(few, 0.9).otherwise(1.0))
+    s = F.when(named, 0.85 * F.col("_s1") + 0.15 * F.col("_name")).otherwise(F.col("_s1")) * F.when(F.col("_name") > 0.6, 1.05).otherwise(1.0)
+    s = s * F.when(F.col("_same") > 0, 1.0 + F.least(F.lit(0.08), 0.08 * F.col("_same"))).when(F.col("_b_responsibility"), 0.88).otherwise(1.0)
+    j = j.withColumn("score", F.when(F.col("_one"), text.round3(text.clamp(s))).otherwise(0.0))
+    dep, imports, resp = F.col("dep"), F.col("imports"), F.col("responsibility")
+    passes = (
+        F.col("_one") & (F.col("score") >= threshold) & (F.col("fits") > 0) & (F.col("_alike") > 0) & ~(broad & (F.col("_alike") < 0.5)) & ~((F.col("align") <= 0.2) & (dep < 0.18))
+        & ~((dep < 0.18) & (imports < 0.45) & (resp < 0.55) & (F.col("_ui") == 0) & (F.col("_async_") == 0)) & ~((F.col("fits") < 1) & (dep < 0.34) & (resp < 0.55)) & ~(broad & (dep < 0.18) & (imports < 0.45) & (F.col("_name") < 0.2))
     )
+    return j.select(*keep, "score", passes.alias("passes"), "dep", "imports", "responsibility", "dep_tokens", "fits", "align", (F.col("_i_structural") > 0).alias("shares"))
 
 
 def alignment(side: str) -> Column:
@@ -130,33 +156,172 @@ def alignment(side: str) -> Column:
     return F.when(_c(side, "indexed").isNull(), 0.6).when(~_c(side, "indexed"), 0.2).when(some("deps"), 1.0).when(some("dep_tokens"), 0.8).otherwise(0.6)
 
 
-def core_rule(score: Column, cluster_family: Column) -> Column:
-    """Whether y is a core member of the cluster of representative x."""
-    part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
-    near = (dependency_overlap() >= 0.2) | (part("imports") >= 0.4) | (part("responsibility") >= 0.5)
-    return (family_similarity(cluster_family, _c("y", "family")) > 0) & (score >= CORE_SCORE) & (F.least(alignment("x"), alignment("y")) >= 0.6) & near
+def _width(df: DataFrame) -> int:
+    """Tasks for joins whose results are much larger than their inputs."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A saved table, to broadcast if it has at most SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def profiled(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """prepared() with _cls, a hash of all that scored() reads of a pattern and of the columns `by`."""
+    p = prepared(p)
+    return p.withColumn("_cls", F.xxhash64(F.to_json(F.struct(*[c for c in PREPARED], *by))))  # JSON tells ['a'], [] from [], ['a']
+
+
+def profiles(q: DataFrame, by: tuple[str, ...] = (), ident: str = "pattern_id") -> DataFrame:
+    """(cls, n, lo, PREPARED, by): the profiles of rows of profiled(), their sizes and least ids."""
+    return q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), *[F.first(c).alias(c) for c in (*PREPARED, *by)])
+
+
+def chunked(q: DataFrame, ident: str = "pattern_id") -> DataFrame:
+    """(cls, chunk, ids): the ids of profiles of rows of profiled(), at most CHUNK a row."""
+    at = F.row_number().over(Window.partitionBy("_cls").orderBy(ident))
+    return q.withColumn("chunk", F.floor((at - 1) / CHUNK)).groupBy(F.col("_cls").alias("cls"), "chunk").agg(F.collect_list(ident).alias("ids"))
+
+
+#: Columns of scored() besides those that are kept.
+SCORED = "score double, passes boolean, dep double, imports double, responsibility double, dep_tokens double, fits double, align double, shares boolean"
 
 
-def scored_pairs(p: DataFrame, *, shared_signal: bool) -> DataFrame:
-    """(a, b, score, passes): pairs of one kind, a < b. With shared_signal, only pairs with a structural signal in common, which clusters need anyway; found by an equi-join on signals."""
-    x, y = p.alias("x"), p.alias("y")
-    if shared_signal:
-        s = p.select("pattern_id", "kind", F.explode("structural").alias("signal"))
-        ids = s.alias("s").join(s.alias("t"), (F.col("s.kind") == F.col("t.kind")) & (F.col("s.signal") == F.col("t.signal")) & (F.col("s.pattern_id") < F.col("t.pattern_id")))
-        ids = ids.select(F.col("s.pattern_id").alias("a"), F.col("t.pattern_id").alias("b")).distinct()
-        j = ids.join(x, F.col("a") == F.col("x.pattern_id")).join(y, F.col("b") == F.col("y.pattern_id"))
-    else:
-        j = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.pattern_id") < F.col("y.pattern_id")))
-    j = j.withColumn("score", similarity())
-    return j.select(F.col("x.pattern_id").alias("a"), F.col("y.pattern_id").alias("b"), "score", gate(F.col("score")).alias("passes"), dependency_overlap().alias("dep"))
+def _likeness(kind: str, x: list[dict], y: list[dict], threshold: float) -> list[np.ndarray]:
+    """The columns SCORED of all pairs of two lists of prepared() rows of one kind, as matrices: scored() with the same operations in the same order."""
+
+    def table(n: str, f: Callable, made: Callable) -> np.ndarray:
+        """f of each pair's values of n, evaluated once for each pair of different values."""
+        one, two = ([made(r[n]) for r in rows] for rows in (x, y))
+        us, vs = ({v: i for i, v in enumerate(dict.fromkeys(z))} for z in (one, two))
+        t = np.array([[f(u, v) for v in vs] for u in us])
+        return t[np.array([us[v] for v in one])[:, None], np.array([vs[v] for v in two])[None, :]]
+
+    size = lambda n: (np.array([len(r[n] or ()) for r in x])[:, None], np.array([len(r[n] or ()) for r in y])[None, :])
+    shared = lambda n: table(n, lambda u, v: len(u & v), lambda v: frozenset(v or ()))
+    number = lambda n: (np.array([r[n] for r in x])[:, None], np.array([r[n] for r in y])[None, :])
+
+    def alike(groups: tuple, same: float, unknown: str | None) -> Callable:
+        return lambda u, v: 1.0 if u == v else same if any(u in g and v in g for g in groups) else 0.25 if unknown in (u, v) else 0.0
+
+    def ratio(inter: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return np.where(total == 0, 0.0, inter / np.maximum(total - inter, 1).astype(float))
+
+    r3 = lambda v: np.floor(v * 1000.0 + 0.5) / 1000.0
+    clip = lambda v: np.minimum(np.maximum(v, 0.0), 1.0)
+    inter, total = {n: shared(f"_h_{n}") for n in SETS}, {n: sum(size(f"_h_{n}")) for n in SETS}
+    part = {n: ratio(inter[n], total[n]) for n in SETS}
+    known = lambda v: "unknown" if v is None else v
+    export = table("export_shape", alike((("default", "named", "mixed"), ("none", "internal")), 0.5, "unknown"), known)
+    role, fits = table("role", alike(ROLE_GROUPS, 0.45, "unknown"), known), table("family", alike(COMPATIBLE, 0.85, None), lambda v: "" if v is None else v)
+    align, fewest = np.minimum(*number("_anchor")), np.minimum(*number("_signals"))
+    name, named, broad = np.zeros(align.shape), kind in NAMED, kind in BROAD
+    if named:
+        longest = np.maximum(np.maximum(*size("_starts")), 1).astype(float)
+        words = ratio(shared("_words"), sum(size("_words"))) + shared("_starts") / longest * 0.15 + shared("_ends") / longest * 0.15
+        name = np.where(np.minimum(*size("_words")) > 0, clip(r3(words)), 0.0)
+    structural, imported, same = (np.where(total[n] == 0, 1.0, part[n]) for n in ("structural", "imports", "responsibility"))
+    dep = np.maximum(np.maximum(part["deps"], 0.8 * part["dep_tokens"]), 0.45 * part["imports"])
+    some = lambda n, w: np.where(total[n] > 0, w, 0.0)
+    parts = [(1.0, 0.2), (structural, 0.3), (imported, 0.2), (export, 0.1), (role, 0.1), (fits, 0.12)]
+    parts += [(part[n], some(n, w)) for n, w in (("ui", 0.05), ("async_", 0.05), ("responsibility", 0.1), ("deps", 0.12), ("dep_tokens", 0.12))]
+    s, weight = 0.0, 0.0
+    for v, w in parts:
+        s, weight = s + v * w, weight + w
+    few = fewest <= 1
+    s = s / weight * np.where(inter["structural"] == 0, 0.25, np.where(few, 0.85, 1.0)) * np.where(fits == 0, 0.72, 1.0)
+    if broad:
+        s = np.where(structural < 0.5, np.minimum(s, 0.6), s)
+    s = s * sum(number("_shown")) / 2.0 * np.where(few, 0.9, 1.0)
+    s = (0.85 * s + 0.15 * name if named else s) * np.where(name > 0.6, 1.05, 1.0)
+    both = np.minimum(*size("_h_responsibility")) > 0
+    score = r3(clip(s * np.where(same > 0, 1.0 + np.minimum(0.08, 0.08 * same), np.where(both, 0.88, 1.0))))
+    imports, resp = part["imports"], part["responsibility"]
+    passes = (score >= threshold) & (fits > 0) & (structural > 0) & ~(broad & (structural < 0.5)) & ~((align <= 0.2) & (dep < 0.18))
+    passes &= ~((dep < 0.18) & (imports < 0.45) & (resp < 0.55) & (part["ui"] == 0) & (part["async_"] == 0)) & ~((fits < 1) & (dep < 0.34) & (resp < 0.55)) & ~(broad & (dep < 0.18) & (imports < 0.45) & (name < 0.2))
+    return [score, passes, dep, imports, resp, part["dep_tokens"], fits, align, inter["structural"] > 0]
+
+
+def compared(c: DataFrame, on: tuple[str, ...] = ("kind",), columns: tuple[str, ...] = ("score", "passes"), threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, columns of SCORED): all pairs u <= v of the profiles `cls` of c that agree in `on`, a profile with itself included.
+
+    Profiles are put into blocks, and a task scores two blocks at a time: no task has all of a large kind, and a rule on sets is evaluated once for each pair of different sets.
+    """
+    at = F.row_number().over(Window.partitionBy(*on).orderBy("cls"))
+    blocks = c.withColumn("_block", F.floor((at - 1) / BLOCK)).groupBy(*on, "_block").agg(F.collect_list(F.struct("cls", *[n for n in PREPARED if n != "kind"])).alias("rows"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    same = F.lit(True)
+    for k in on:
+        same = same & (_c("x", k) == _c("y", k))
+    pairs = x.join(y, same & (_c("x", "_block") <= _c("y", "_block"))).select(_c("x", "kind").alias("kind"), F.xxhash64(*[_c("x", k) for k in on], "x._block", "y._block").alias("_pair"), _c("x", "rows").alias("xs"), _c("y", "rows").alias("ys"))
+    names = [n.split()[0] for n in SCORED.split(", ")]
+
+    def run(t: pa.Table) -> pa.Table:
+        out = []
+        for kind, xs, ys in zip(*(t.column(n).to_pylist() for n in ("kind", "xs", "ys")), strict=True):
+            u, v = (np.array([r["cls"] for r in rows], np.int64) for rows in (xs, ys))
+            once = u[:, None] <= v[None, :] if np.array_equal(u, v) else np.ones((len(u), len(v)), bool)
+            ends = [np.broadcast_to(u[:, None], once.shape)[once], np.broadcast_to(v[None, :], once.shape)[once]]
+            got = dict(zip(names, _likeness(kind, xs, ys, threshold), strict=True))
+            out.append(pa.table([*ends, *[got[n][once] for n in columns]], names=["u", "v", *columns]))
+        return pa.concat_tables(out)
+
+    kinds = ", ".join(n for n in sorted(SCORED.split(", "), key=lambda n: (*columns, n.split()[0]).index(n.split()[0])) if n.split()[0] in columns)
+    return pairs.repartition(_width(c), "_pair").groupBy("_pair").applyInArrow(run, f"u long, v long, {kinds}")
+
+
+def expanded(pairs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, columns) of pairs (u, v, columns) of profiles: the pairs of their ids, a < b. ids: (cls, chunk, ids), with at most CHUNK ids a row."""
+    end = lambda v: ids.select(F.col("cls").alias(v), F.col("chunk").alias(f"_at{v}"), F.col("ids").alias(f"_of{v}"))
+    j = pairs.join(end("u"), "u").join(end("v"), "v").where("u <> v or _atu <= _atv")
+    j = j.select(((F.col("u") == F.col("v")) & (F.col("_atu") == F.col("_atv"))).alias("_self"), *columns, "_ofv", F.explode("_ofu").alias("_p"))
+    j = j.select("_self", *columns, "_p", F.explode("_ofv").alias("_q")).where("not _self or _p < _q")
+    return j.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), *columns)
+
+
+def scored_pairs(p: DataFrame, *, shared_signal: bool, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(a, b, score, passes, dep): pairs of one kind, a < b. With shared_signal, only pairs with a structural signal in common, which clusters need anyway."""
+    q = save(profiled(p))
+    j = compared(profiles(q), columns=("score", "passes", "dep", "shares"))
+    ids = save(chunked(q))
+    return expanded(j.where("shares") if shared_signal else j, _small(ids), ["score", "passes", "dep"])
 
 
 def find_similar(p: DataFrame, pattern_id: str, limit: int = 6) -> DataFrame:
     """The patterns most like one: (pattern_id, score), same-file ones at nine tenths."""
-    one = F.broadcast(p.where(F.col("pattern_id") == pattern_id)).alias("x")
-    j = one.join(p.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.pattern_id") != F.col("y.pattern_id")))
-    s = similarity() * F.when(F.col("x.file_id") == F.col("y.file_id"), 0.9).otherwise(1.0)
-    return j.select(F.col("y.pattern_id").alias("pattern_id"), text.round3(s).alias("score")).where("score > 0").orderBy(F.desc("score"), "pattern_id").limit(limit)
+    q = prepared(p)
+    one = F.broadcast(q.where(F.col("pattern_id") == pattern_id)).alias("x")
+    j = one.join(q.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.pattern_id") != F.col("y.pattern_id")))
+    j = scored(j, {"pattern_id": F.col("y.pattern_id"), "_same_file": F.col("x.file_id") == F.col("y.file_id")})
+    s = text.round3(F.col("score") * F.when(F.col("_same_file"), 0.9).otherwise(1.0))
+    return j.select("pattern_id", s.alias("score")).where("score > 0").orderBy(F.desc("score"), "pattern_id").limit(limit)
+
+
+def most_similar(p: DataFrame, k: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(pattern_id, other, score, rank): the k patterns most like each one, same-file ones at nine tenths, ties by id.
+
+    A pattern takes from its profile's list all but its own file's. A list of 2 k others, of one file at most k, is therefore long
+    enough: without any one file it still has k, and what was left out comes after them. Pairs within files are scored apart.
+    """
+    q = profiled(p).withColumn("_file", F.coalesce(F.concat(F.lit("f"), "file_id"), F.concat(F.lit("p"), "pattern_id")))
+    q = save(q.select("pattern_id", "_file", "_cls", *PREPARED))
+    ids = q.select("_cls", "pattern_id", "_file")
+    first = tables.top_k_per_group(ids, ["_cls", "_file"], [F.col("pattern_id")], k).drop("rank", "total")
+    first = tables.top_k_per_group(first, ["_cls"], [F.col("pattern_id")], 2 * k).groupBy("_cls").agg(F.collect_list(F.struct("pattern_id", "_file")).alias("ids"))
+    first = _small(save(first.withColumnRenamed("_cls", "cls")))
+    way = lambda a, b: F.struct(F.col(a).alias("to"), F.col(b).alias("cls"))
+    j = save(compared(profiles(q), columns=("score",))).where("score > 0")
+    j = j.select("score", F.explode(F.when(F.col("u") == F.col("v"), F.array(way("u", "v"))).otherwise(F.array(way("u", "v"), way("v", "u")))).alias("w")).select("w.*", "score")
+    j = j.join(first, "cls").select(F.col("to").alias("cls"), "score", F.explode("ids").alias("o")).select("cls", "score", F.col("o.pattern_id").alias("other"), F.col("o._file").alias("_of"))
+    order = lambda: [F.desc("score"), F.col("other")]
+    best = lambda df, keys, n: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order()))).where(F.col("rank") <= n)
+    lists = save(best(best(j, ["cls", "_of"], k).drop("rank"), ["cls"], 2 * k).drop("rank"))
+    ids = ids.withColumnRenamed("_cls", "cls")
+    far = ids.join(lists, "cls").where("_file <> _of").select("pattern_id", "other", "score")
+    mates = scored(q.alias("x").join(q.alias("y"), (_c("x", "_file") == _c("y", "_file")) & (_c("x", "kind") == _c("y", "kind")) & (_c("x", "pattern_id") != _c("y", "pattern_id"))), {"pattern_id": _c("x", "pattern_id"), "other": _c("y", "pattern_id")})
+    mates = mates.select("pattern_id", "other", F.explode_outer(F.when(F.col("score") > 0, F.array(0.9 * F.col("score")))).alias("score")).where("score is not null")
+    both = far.unionByName(mates).withColumn("score", text.round3(F.col("score")))
+    return best(both, ["pattern_id"], k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def precedent_score(score: Column, *, usage: Column, importers: Column, anchored: Column) -> Column:
@@ -170,40 +335,50 @@ def precedent_score(score: Column, *, usage: Column, importers: Column, anchored
     return text.round3(text.clamp(s))
 
 
-def _sums(links: DataFrame, member: DataFrame, group: str) -> DataFrame:
-    """(pattern_id, _sum): each member's summed scores within its group."""
-    both = links.select("a", "b", "score").union(links.select("b", "a", "score"))
-    mine = both.join(member.select(F.col("pattern_id").alias("a"), F.col(group).alias("_g")), "a").join(member.select(F.col("pattern_id").alias("b"), F.col(group).alias("_h")), "b")
-    return mine.where("_g = _h").groupBy(F.col("a").alias("pattern_id")).agg(text.round3(F.sum("score")).alias("_sum"))
-
-
-def representatives(p: DataFrame, links: DataFrame, member: DataFrame, group: str) -> DataFrame:
-    """(group, representative): the member with the largest sum of scores within its group, then the most structural signals, then the least id."""
-    m = member.select("pattern_id", group).join(p.select("pattern_id", F.size("structural").alias("_signals")), "pattern_id").join(_sums(links, member, group), "pattern_id", "left")
-    best = tables.keep_best(m, [group], [F.desc(F.coalesce("_sum", F.lit(0.0))), F.desc("_signals"), F.col("pattern_id")])
-    return best.select(group, F.col("pattern_id").alias("representative"))
-
-
 def families(p: DataFrame, member: DataFrame) -> DataFrame:
     """(cluster, family): the most frequent family, then the first by name."""
     n = member.select("pattern_id", "cluster").join(p.select("pattern_id", F.coalesce("family", F.lit("")).alias("family")), "pattern_id").groupBy("cluster", "family").agg(F.count("*").alias("_n"))
     return tables.keep_best(n, ["cluster"], [F.desc("_n"), F.col("family")]).select("cluster", "family")
 
 
+def grouped(c: DataFrame, links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cls, group, rep_cls, representative) of profiles c that have a link, from links (u, v, score, linked) of all pairs u <= v that can be in one group.
+
+    group is the least id of a component. Its representative has the largest sum of scores within it, then the most structural
+    signals, then the least id. Patterns of other profiles are groups of their own.
+    """
+    forest = save(graph.spanning_forest(links.where("linked"), "u", "v"))
+    lab = graph.components(forest, "u", "v", save).withColumnRenamed("node", "cls")
+    lab = save(lab.join(c.select("cls", "n", "lo", F.col("_signals").alias("signals")), "cls"))
+    small = _small(lab)
+    end = lambda v: small.select(F.col("cls").alias(v), F.col("component").alias(f"g{v}"), F.col("n").alias(f"n{v}"))
+    inside = links.join(end("u"), "u").join(end("v"), "v").where("gu = gv")
+    milli, itself = F.round(F.col("score") * 1000).cast("long"), F.col("u") == F.col("v")
+    way = lambda v, n: F.struct(F.col(v).alias("cls"), (milli * n).alias("s"))
+    sums = inside.select(F.inline(F.when(itself, F.array(way("u", F.col("nu") - 1))).otherwise(F.array(way("u", F.col("nv")), way("v", F.col("nu")))))).groupBy("cls").agg(F.sum("s").alias("_sum"))
+    of = lab.join(sums, "cls", "left").withColumn("_sum", F.coalesce("_sum", F.lit(0)))
+    best = tables.keep_best(of, ["component"], [F.desc("_sum"), F.desc("signals"), F.col("lo")]).select("component", F.col("cls").alias("rep_cls"), F.col("lo").alias("representative"))
+    groups = of.groupBy("component").agg(F.min("lo").alias("group"))
+    return save(lab.select("cls", "component").join(groups, "component").join(best, "component").select("cls", "group", "rep_cls", "representative"))
+
+
 def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pattern_id, cluster, representative, family, n, role): components of the gate, core members against the representative."""
-    links = save(scored_pairs(p, shared_signal=True))
-    comp = graph.components(links.where("passes"), "a", "b", save)
-    m = p.select("pattern_id").join(comp.withColumnRenamed("node", "pattern_id"), "pattern_id", "left")
-    m = save(m.select("pattern_id", F.coalesce("component", "pattern_id").alias("cluster")))
-    m = m.join(representatives(p, links, m, "cluster"), "cluster").join(families(p, m).withColumnRenamed("family", "_family"), "cluster")
-    sizes = m.groupBy("cluster").agg(F.count("*").alias("n"))
-    both = links.select("a", "b", "score").union(links.select("b", "a", "score"))
-    to_rep = both.select(F.col("a").alias("_m"), F.col("b").alias("_r"), F.col("score").alias("_s"))
-    j = m.join(sizes, "cluster").join(to_rep, (F.col("pattern_id") == F.col("_m")) & (F.col("representative") == F.col("_r")), "left").withColumnRenamed("pattern_id", "_id")
-    j = j.join(p.alias("x"), F.col("representative") == F.col("x.pattern_id")).join(p.alias("y"), F.col("_id") == F.col("y.pattern_id"))
-    core = (F.col("_id") == F.col("representative")) | core_rule(F.coalesce("_s", F.lit(0.0)), F.col("_family"))
-    return j.select(F.col("_id").alias("pattern_id"), "cluster", "representative", F.col("_family").alias("family"), "n", F.when(core, "core").otherwise("peripheral").alias("role"))
+    q = save(profiled(p))
+    c = save(profiles(q))
+    links = save(compared(c).withColumnRenamed("passes", "linked"))
+    of = grouped(c, links, save)
+    m = q.select("pattern_id", F.col("_cls").alias("cls")).join(of, "cls", "left")
+    m = save(m.select("pattern_id", "cls", "rep_cls", F.coalesce("group", "pattern_id").alias("cluster"), F.coalesce("representative", "pattern_id").alias("representative")))
+    m = m.join(families(p, m), "cluster").join(m.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    # A profile with a link has one cluster, so its patterns are core members or not by one comparison.
+    seen = m.where("rep_cls is not null").groupBy("cls", "rep_cls").agg(F.first("family").alias("_family"))
+    j = seen.join(c.alias("x"), F.col("rep_cls") == F.col("x.cls")).join(c.alias("y"), seen["cls"] == F.col("y.cls"))
+    j = scored(j, {"cls": F.col("y.cls"), "_fits": family_similarity(F.col("_family"), _c("y", "family"))})
+    near = (F.col("dep") >= 0.2) | (F.col("imports") >= 0.4) | (F.col("responsibility") >= 0.5)
+    j = j.select("cls", ((F.col("_fits") > 0) & (F.col("score") >= CORE_SCORE) & (F.col("align") >= 0.6) & near).alias("_core"))
+    core = (F.col("pattern_id") == F.col("representative")) | F.coalesce("_core", F.lit(False))
+    return m.join(j, "cls", "left").select("pattern_id", "cluster", "representative", "family", "n", F.when(core, "core").otherwise("peripheral").alias("role"))
 
 
 def cohesion(p: DataFrame, membership: DataFrame) -> DataFrame:
@@ -230,23 +405,18 @@ def reasons(p: DataFrame, membership: DataFrame) -> DataFrame:
     return membership.select("cluster", "family", "n").distinct().join(top, "cluster", "left").select("cluster", reason.alias("reason"))
 
 
-def related_clusters(p: DataFrame, membership: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cluster, related): clusters of one kind and incompatible families whose representatives are alike, or depend on the same; both ways.
-
-    Pairs of representatives meet by a shared dependency, token, import or responsibility, of which a related pair has one.
-    """
-    r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.col("family").alias("_family")).distinct().join(p, "pattern_id")
-    r = r.withColumn("family", F.coalesce("family", F.lit("")))
-    none = F.array().cast("array<string>")
-    marks = F.concat(*[F.transform(F.coalesce(n, none), lambda v, n=n: F.concat(F.lit(f"{n}:"), v)) for n in ("deps", "dep_tokens", "imports", "responsibility")])
-    m = r.select("cluster", "kind", F.explode(F.array_distinct(marks)).alias("mark"))
-    ids = m.alias("s").join(m.alias("t"), (F.col("s.kind") == F.col("t.kind")) & (F.col("s.mark") == F.col("t.mark")) & (F.col("s.cluster") < F.col("t.cluster"))).select(F.col("s.cluster").alias("a"), F.col("t.cluster").alias("b")).distinct()
-    j = ids.join(r.alias("x"), F.col("a") == F.col("x.cluster")).join(r.alias("y"), F.col("b") == F.col("y.cluster"))
-    dep, resp = dependency_overlap(), _both(sets.jaccard, "responsibility", either_empty=0.0)
-    far = (similarity() < max(threshold - 0.08, RELATED_SCORE)) & (dep < 0.5)
-    loose = (dep < 0.18) & (resp < 0.55)
-    found = j.where((family_similarity(F.col("x._family"), F.col("y._family")) == 0) & ~far & ~loose).select("a", "b")
-    return found.select(F.col("a").alias("cluster"), F.col("b").alias("related")).union(found.select("b", "a"))
+def related_clusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame], DataFrame] = lambda df: df, threshold: float = THRESHOLD) -> DataFrame:
+    """(cluster, related): clusters of one kind and incompatible families whose representatives are alike, or depend on the same; both ways."""
+    r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.coalesce("family", F.lit("")).alias("_family")).distinct().join(p, "pattern_id")
+    q = save(profiled(r, ("_family",)))
+    j = save(compared(profiles(q, ("_family",)), columns=("score", "dep", "responsibility")))
+    far = (F.col("score") < max(threshold - 0.08, RELATED_SCORE)) & (F.col("dep") < 0.5)
+    loose = (F.col("dep") < 0.18) & (F.col("responsibility") < 0.55)
+    of = _small(save(profiles(q, ("_family",)).select("cls", "_family")))
+    end = lambda v: of.select(F.col("cls").alias(v), F.col("_family").alias(f"_f{v}"))
+    j = j.where(~far & ~loose).join(end("u"), "u").join(end("v"), "v").where(family_similarity(F.col("_fu"), F.col("_fv")) == 0)
+    found = expanded(j.select("u", "v"), _small(save(chunked(q, "cluster"))), [])
+    return found.select(F.explode(F.array(F.struct(F.col("a").alias("cluster"), F.col("b").alias("related")), F.struct(F.col("b").alias("cluster"), F.col("a").alias("related")))).alias("r")).select("r.*")
 
 
 def neighborhoods(p: DataFrame, membership: DataFrame) -> DataFrame:
@@ -275,17 +445,14 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     loose = cohesion(p, big).where(F.col("dependency_overlap") <= SUB_COHESION).select("cluster")
     wanted = save(loose.union(split.where("_parts >= 2").select("cluster")).distinct())
     big = save(big.join(wanted, "cluster"))
-    q = save(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"))
-    none = F.array().cast("array<string>")
-    marks = F.concat(*[F.transform(F.coalesce(n, none), lambda v, n=n: F.concat(F.lit(f"{n}:"), v)) for n in ("deps", "dep_tokens", "imports")])
-    m = q.select("pattern_id", "_c", F.explode(F.array_distinct(marks)).alias("mark"))
-    ids = m.alias("s").join(m.alias("t"), (F.col("s._c") == F.col("t._c")) & (F.col("s.mark") == F.col("t.mark")) & (F.col("s.pattern_id") < F.col("t.pattern_id"))).select(F.col("s.pattern_id").alias("a"), F.col("t.pattern_id").alias("b")).distinct()
-    part = lambda n: _both(sets.jaccard, n, either_empty=0.0)
-    j = ids.join(q.alias("x"), F.col("a") == F.col("x.pattern_id")).join(q.alias("y"), F.col("b") == F.col("y.pattern_id")).withColumn("score", similarity())
-    linked = (dependency_overlap() >= SUB_EDGE) | ((part("dep_tokens") >= SUB_EDGE) & (F.col("score") >= THRESHOLD)) | ((part("imports") >= 0.5) & (part("responsibility") >= 0.5))
-    edges = save(j.select("a", "b", "score", linked.alias("linked")))
-    comp = graph.components(edges.where("linked"), "a", "b", save).withColumnRenamed("node", "pattern_id")
-    by_graph = save(big.select("pattern_id", "cluster").join(comp, "pattern_id", "left").withColumn("_part", F.coalesce("component", "pattern_id")))
+    q = save(profiled(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)))
+    c = save(profiles(q, ("_c",)))
+    j = compared(c, ("kind", "_c"), ("score", "dep", "dep_tokens", "imports", "responsibility"))
+    linked = (F.col("dep") >= SUB_EDGE) | ((F.col("dep_tokens") >= SUB_EDGE) & (F.col("score") >= THRESHOLD)) | ((F.col("imports") >= 0.5) & (F.col("responsibility") >= 0.5))
+    links = save(j.select("u", "v", "score", linked.alias("linked")))
+    of = grouped(c, links, save)
+    by_graph = q.select("pattern_id", F.col("_c").alias("cluster"), F.col("_cls").alias("cls")).join(of, "cls", "left")
+    by_graph = save(by_graph.select("pattern_id", "cluster", F.coalesce("group", "pattern_id").alias("_part"), F.coalesce("representative", "pattern_id").alias("representative")))
     g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
     graph_parts = g.groupBy("cluster").agg(F.count("*").alias("_gp"), F.max("_k").alias("_gl")).where("_gp >= 2")
     token_parts = split.where("_parts >= 2")
@@ -293,10 +460,7 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     token = F.col("_gp").isNull() | (F.col("_parts").isNotNull() & ((F.col("_largest") <= F.floor(F.col("_gl") * 0.85)) | (F.col("_parts") > F.col("_gp"))))
     choice = save(choice.where("_gp is not null or _parts is not null").select("cluster", F.when(token, "token").otherwise("graph").alias("way")))
     one = by_token.join(sized.select("cluster", "token"), ["cluster", "token"]).join(choice.where("way = 'token'"), "cluster").select("pattern_id", "cluster", F.col("token").alias("sub"), "way")
-    every = scored_pairs(q, shared_signal=False).select("a", "b", "score")
-    reps = representatives(q, every, by_graph.withColumn("_part", F.concat_ws("|", "cluster", "_part")), "_part")
-    two = by_graph.join(g.select("cluster", "_part"), ["cluster", "_part"]).join(choice.where("way = 'graph'"), "cluster").withColumn("_key", F.concat_ws("|", "cluster", "_part"))
-    two = two.join(reps.withColumnRenamed("_part", "_key"), "_key").select("pattern_id", "cluster", F.col("representative").alias("sub"), "way")
+    two = by_graph.join(g.select("cluster", "_part"), ["cluster", "_part"]).join(choice.where("way = 'graph'"), "cluster").select("pattern_id", "cluster", F.col("representative").alias("sub"), "way")
     return one.unionByName(two)
 
 

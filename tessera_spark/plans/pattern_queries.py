@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sets, text
-from ..operators import patterns, tables
+from ..operators import patterns
 from ..sources import scratch
 from . import corpus as C
 from .registry import query
@@ -95,7 +94,7 @@ g AS (SELECT *, score >= 0.7 AND fa > 0 AND shared > 0 AND NOT (broad AND s < 0.
 @query(f"WITH {FP} SELECT a, b, score, passes FROM g")
 def pattern_similarity(spark, d):
     """Scores of all pairs of a kind, and whether they pass the gate of clusters."""
-    return patterns.scored_pairs(rows(spark, d), shared_signal=False).select("a", "b", "score", "passes")
+    return patterns.scored_pairs(rows(spark, d), shared_signal=False, save=scratch.save).select("a", "b", "score", "passes")
 
 
 _TOP = f"""both_ AS (SELECT a AS pattern_id, b AS other, same_file, score FROM j UNION ALL SELECT b, a, same_file, score FROM j),
@@ -105,13 +104,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY score DESC
 
 def _top(spark, d, k: int) -> DataFrame:
     """The k patterns most like each one, those of its own file at nine tenths."""
-    p = rows(spark, d)
-    s = patterns.scored_pairs(p, shared_signal=False).where("score > 0").select("a", "b", "score")
-    both = s.unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    f = p.select("pattern_id", "file_id")
-    j = both.join(f.select(F.col("pattern_id").alias("a"), F.col("file_id").alias("fa")), "a").join(f.select(F.col("pattern_id").alias("b"), F.col("file_id").alias("fb")), "b")
-    j = j.select(F.col("a").alias("pattern_id"), F.col("b").alias("other"), text.round3(F.col("score") * F.when(F.col("fa") == F.col("fb"), 0.9).otherwise(1.0)).alias("score"))
-    return tables.top_k_per_group(j, ["pattern_id"], [F.desc("score"), F.col("other")], k)
+    return patterns.most_similar(rows(spark, d), k, scratch.save)
 
 
 @query(f"WITH {FP}, {_TOP} SELECT pattern_id, other, score, rank FROM top WHERE rank <= 6")
@@ -184,7 +177,7 @@ SELECT c1 AS cluster, c2 AS related FROM f"""
 def related_clusters(spark, d):
     """Clusters of one kind and different families that are alike."""
     p = rows(spark, d)
-    return patterns.related_clusters(p, scratch.save(patterns.clusters(p, scratch.save)))
+    return patterns.related_clusters(p, scratch.save(patterns.clusters(p, scratch.save)), scratch.save)
 
 
 _GENERIC = ", ".join(f"'{t}'" for t in patterns.GENERIC_TOKENS)

@@ -86,3 +86,29 @@ def test_ladders(spark):
     assert (r["c"], r["f"], r["stale"], r["reg"], r["t"]) == ("high", "routed_page_or_screen", "stale", True, "stale")
     assert r["codes"].asDict() == {"status": "failed", "codes": ["pattern-output-catastrophically-incomplete", "pattern-output-empty"]}
     assert ladders.budget_profile(6000)["enough"] == 3
+
+
+def test_blocks_score_as_rows_do(spark):
+    """The scores of blocks are those of the column expressions, bit by bit, over all kinds; profiles stand for all their patterns."""
+    from tessera_spark.plans import pattern_queries
+
+    q = scratch.save(patterns.profiled(pattern_queries.rows(spark, "/root/testdata/sf0.01")))
+    x, y = q.alias("x"), q.alias("y")
+    j = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x._cls") <= F.col("y._cls")))
+    names = [n.split()[0] for n in patterns.SCORED.split(", ")]
+    want = {(r["u"], r["v"]): r for r in patterns.scored(j, {"u": F.col("x._cls"), "v": F.col("y._cls")}).select("u", "v", *names).collect()}
+    got = {(r["u"], r["v"]): r for r in patterns.compared(patterns.profiles(q), columns=tuple(names)).select("u", "v", *names).collect()}
+    assert len(got) > 1000 and got == want
+
+
+def test_copies_are_scored_once(spark, monkeypatch):
+    """Many patterns that agree in all that counts are one profile; their pairs, lists and clusters are those of all of them."""
+    monkeypatch.setattr(patterns, "CHUNK", 3)
+    p = table(spark, *[row(f"p{i}", file=f"f{i // 2}") for i in range(8)], row("z", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[]))
+    assert patterns.profiles(patterns.profiled(p)).count() == 2
+    got = [(r["a"], r["b"]) for r in patterns.scored_pairs(p, shared_signal=True).collect()]
+    assert sorted(got) == [(f"p{i}", f"p{j}") for i in range(8) for j in range(i + 1, 8)]
+    top = {(r["pattern_id"], r["rank"]): (r["other"], r["score"]) for r in patterns.most_similar(p, 2, scratch.save).collect()}
+    assert [top["p0", i] for i in (1, 2)] == [("p2", 1.0), ("p3", 1.0)] and [top["p2", i] for i in (1, 2)] == [("p0", 1.0), ("p1", 1.0)] and top["z", 1][0] == "p0"
+    m = {r["pattern_id"]: (r["cluster"], r["representative"], r["n"], r["role"]) for r in patterns.clusters(p, scratch.save).collect()}
+    assert m == {f"p{i}": ("p0", "p0", 8, "core") for i in range(8)} | {"z": ("z", "z", 1, "core")}
