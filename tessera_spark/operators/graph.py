@@ -97,6 +97,18 @@ def spanning_forest(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(a, b).mapInArrow(run, f"{a} long, {b} long")
 
 
+#: Edges of up to so many are one task's work.
+SMALL_EDGES = 1 << 19
+
+
+def forest_components(edges: DataFrame, a: str, b: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """components() of edges between longs, over a spanning forest of them; a small one is walked in one task."""
+    forest = save(spanning_forest(edges, a, b))
+    if forest.count() <= SMALL_EDGES:
+        return save(spanning_forest(forest.toDF("node", "component").coalesce(1), "node", "component"))
+    return components(forest, a, b, save)
+
+
 def render_tree(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
     """(path, depth, node) of the tree below a root, one row per path; a node that its own path holds already ends it."""
     level = edges.sparkSession.createDataFrame([(root, 0, root)], "path string, depth int, node string")

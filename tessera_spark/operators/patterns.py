@@ -10,7 +10,7 @@ out. Scores of pairs of profiles are three-decimal numbers, so sums of them are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -166,15 +166,27 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+#: Columns that prepared() reads.
+READ = ("kind", "export_shape", "role", "family", "name", "indexed", *SETS)
+
+
+def keyed(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """p with _cls, a hash of all that prepared() reads of a pattern and of the columns `by`: equal hashes, equal scores."""
+    of = lambda c: F.coalesce(c, F.lit("\0"))  # noqa: E731  a null counts as a value: the hash passes over nulls
+    named = F.when(F.col("kind").isin(*NAMED), F.col("name"))
+    sizes = [F.greatest(F.coalesce(F.size(n), F.lit(0)), F.lit(0)) for n in SETS]  # tell ['a'], [] from [], ['a']
+    return p.alias("x").withColumn("_cls", F.xxhash64(*[of(F.col(n)) for n in ("kind", "export_shape", "role", "family")], of(named), alignment("x"), *sizes, *SETS, *by))
+
+
 def profiled(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """prepared() with _cls, a hash of all that scored() reads of a pattern and of the columns `by`."""
-    p = prepared(p)
-    return p.withColumn("_cls", F.xxhash64(F.to_json(F.struct(*[c for c in PREPARED], *by))))  # JSON tells ['a'], [] from [], ['a']
+    """prepared() and keyed()."""
+    return prepared(keyed(p, by))
 
 
 def profiles(q: DataFrame, by: tuple[str, ...] = (), ident: str = "pattern_id") -> DataFrame:
-    """(cls, n, lo, PREPARED, by): the profiles of rows of profiled(), their sizes and least ids."""
-    return q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), *[F.first(c).alias(c) for c in (*PREPARED, *by)])
+    """(cls, n, lo, PREPARED, by): the profiles of rows of keyed(), their sizes and least ids. A row is prepared once a profile."""
+    c = q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), *[F.first(n).alias(n) for n in (*READ, *by)])
+    return prepared(c).select("cls", "n", "lo", *PREPARED, *by)
 
 
 def chunked(q: DataFrame, ident: str = "pattern_id") -> DataFrame:
@@ -242,18 +254,79 @@ def _likeness(kind: str, x: list[dict], y: list[dict], threshold: float) -> list
     return [score, passes, dep, imports, resp, part["dep_tokens"], fits, align, inter["structural"] > 0]
 
 
-def compared(c: DataFrame, on: tuple[str, ...] = ("kind",), columns: tuple[str, ...] = ("score", "passes"), threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v, columns of SCORED): all pairs u <= v of the profiles `cls` of c that agree in `on`, a profile with itself included.
-
-    Profiles are put into blocks, and a task scores two blocks at a time: no task has all of a large kind, and a rule on sets is evaluated once for each pair of different sets.
-    """
+def _blocks(c: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """(kind, _x, _y, _pair, xs, ys): all pairs of blocks of profiles that agree in `on`, a block with itself included."""
     at = F.row_number().over(Window.partitionBy(*on).orderBy("cls"))
     blocks = c.withColumn("_block", F.floor((at - 1) / BLOCK)).groupBy(*on, "_block").agg(F.collect_list(F.struct("cls", *[n for n in PREPARED if n != "kind"])).alias("rows"))
     x, y = blocks.alias("x"), blocks.alias("y")
     same = F.lit(True)
     for k in on:
         same = same & (_c("x", k) == _c("y", k))
-    pairs = x.join(y, same & (_c("x", "_block") <= _c("y", "_block"))).select(_c("x", "kind").alias("kind"), F.xxhash64(*[_c("x", k) for k in on], "x._block", "y._block").alias("_pair"), _c("x", "rows").alias("xs"), _c("y", "rows").alias("ys"))
+    ident = lambda v: F.xxhash64(*[_c(v, k) for k in on], _c(v, "_block"))
+    pairs = x.join(y, same & (_c("x", "_block") <= _c("y", "_block")))
+    return pairs.select(_c("x", "kind").alias("kind"), ident("x").alias("_x"), ident("y").alias("_y"), F.xxhash64(*[_c("x", k) for k in on], "x._block", "y._block").alias("_pair"), _c("x", "rows").alias("xs"), _c("y", "rows").alias("ys"))
+
+
+def _stars(link: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the same components as those of a matrix of links: from one end of each part to all that it reaches."""
+    ends: list[list[np.ndarray]] = [[], []]
+    todo = link.any(1)
+    for i in np.flatnonzero(todo):
+        if not todo[i]:
+            continue
+        rows, columns = np.zeros(len(u), bool), np.zeros(len(v), bool)
+        new = np.array([i])
+        while len(new):
+            rows[new] = True
+            more = link[new].any(0) & ~columns
+            columns |= more
+            new = np.flatnonzero(link[:, more].any(1) & ~rows)
+        todo &= ~rows
+        reached = np.concatenate([u[rows], v[columns]])
+        ends[0].append(np.full(len(reached), u[i]))
+        ends[1].append(reached)
+    return tuple(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
+
+
+def linked(c: DataFrame, link: Callable[[dict[str, np.ndarray]], np.ndarray], on: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """(same, x, y, milli, u, v) of each pair of blocks of compared(): the profiles of both, their scores in thousandths as a matrix of 16-bit numbers, and edges (u, v) that connect what link(SCORED) does."""
+    names = [n.split()[0] for n in SCORED.split(", ")]
+    kind_of = pa.schema([("same", pa.bool_()), ("bx", pa.int64()), ("x", pa.list_(pa.int64())), ("by", pa.int64()), ("y", pa.list_(pa.int64())), ("milli", pa.binary()), ("u", pa.list_(pa.int64())), ("v", pa.list_(pa.int64()))])
+
+    def run(t: pa.Table) -> pa.Table:
+        out = []
+        for kind, bx, by, xs, ys in zip(*(t.column(n).to_pylist() for n in ("kind", "_x", "_y", "xs", "ys")), strict=True):
+            x, y = (np.array([r["cls"] for r in rows], np.int64) for rows in (xs, ys))
+            got = dict(zip(names, _likeness(kind, xs, ys, THRESHOLD), strict=True))
+            u, v = _stars(link(got), x, y)
+            out.append({"same": bx == by, "bx": bx, "x": x, "by": by, "y": y, "milli": np.round(got["score"] * 1000).astype("<i2").tobytes(), "u": u, "v": v})
+        return pa.Table.from_pylist(out, schema=kind_of)
+
+    return _blocks(c, on).repartition(_width(c), "_pair").groupBy("_pair").applyInArrow(run, "same boolean, bx long, x array<long>, by long, y array<long>, milli binary, u array<long>, v array<long>")
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (same, milli, x and y as lists of cls, n, component) of linked() -> (cls, s): the scores of a profile with its component's other patterns, added up."""
+    for b in batches:
+        ids, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in b.to_pylist():
+            (x, nx, gx), (y, ny, gy) = ([np.array([m[k] for m in r[side]], np.int64) for k in ("cls", "n", "component")] for side in "xy")
+            known = np.array([m["known"] for m in r["x"]], bool)
+            s = np.frombuffer(r["milli"], "<i2").reshape(len(x), len(y)).astype(np.int64) * ((gx[:, None] == gy[None, :]) & known[:, None])
+            ids.append(x)
+            sums.append(s @ ny - (np.diag(s) if r["same"] else 0))
+            if not r["same"]:
+                ids.append(y)
+                sums.append(nx @ s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], ["cls", "s"])
+
+
+def compared(c: DataFrame, on: tuple[str, ...] = ("kind",), columns: tuple[str, ...] = ("score", "passes"), threshold: float = THRESHOLD) -> DataFrame:
+    """(u, v, columns of SCORED): all pairs u <= v of the profiles `cls` of c that agree in `on`, a profile with itself included.
+
+    Profiles are put into blocks, and a task scores two blocks at a time: no task has all of a large kind, and a rule on sets is evaluated once for each pair of different sets.
+    """
+    pairs = _blocks(c, on)
     names = [n.split()[0] for n in SCORED.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
@@ -281,7 +354,7 @@ def expanded(pairs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
 
 def scored_pairs(p: DataFrame, *, shared_signal: bool, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(a, b, score, passes, dep): pairs of one kind, a < b. With shared_signal, only pairs with a structural signal in common, which clusters need anyway."""
-    q = save(profiled(p))
+    q = save(keyed(p).select("pattern_id", "_cls", *READ))
     j = compared(profiles(q), columns=("score", "passes", "dep", "shares"))
     ids = save(chunked(q))
     return expanded(j.where("shares") if shared_signal else j, _small(ids), ["score", "passes", "dep"])
@@ -304,7 +377,7 @@ def most_similar(p: DataFrame, k: int, save: Callable[[DataFrame], DataFrame]) -
     enough: without any one file it still has k, and what was left out comes after them. Pairs within files are scored apart.
     """
     q = profiled(p).withColumn("_file", F.coalesce(F.concat(F.lit("f"), "file_id"), F.concat(F.lit("p"), "pattern_id")))
-    q = save(q.select("pattern_id", "_file", "_cls", *PREPARED))
+    q = save(q.select("pattern_id", "_file", "_cls", *PREPARED, *[n for n in READ if n not in PREPARED]))
     ids = q.select("_cls", "pattern_id", "_file")
     first = tables.top_k_per_group(ids, ["_cls", "_file"], [F.col("pattern_id")], k).drop("rank", "total")
     first = tables.top_k_per_group(first, ["_cls"], [F.col("pattern_id")], 2 * k).groupBy("_cls").agg(F.collect_list(F.struct("pattern_id", "_file")).alias("ids"))
@@ -341,44 +414,64 @@ def families(p: DataFrame, member: DataFrame) -> DataFrame:
     return tables.keep_best(n, ["cluster"], [F.desc("_n"), F.col("family")]).select("cluster", "family")
 
 
-def grouped(c: DataFrame, links: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(cls, group, rep_cls, representative) of profiles c that have a link, from links (u, v, score, linked) of all pairs u <= v that can be in one group.
+def grouped(c: DataFrame, blocks: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cls, group, rep_cls, representative) of profiles c that have a link, from blocks, linked() written, of all pairs that can be in one group.
 
     group is the least id of a component. Its representative has the largest sum of scores within it, then the most structural
     signals, then the least id. Patterns of other profiles are groups of their own.
     """
-    forest = save(graph.spanning_forest(links.where("linked"), "u", "v"))
-    lab = graph.components(forest, "u", "v", save).withColumnRenamed("node", "cls")
-    lab = save(lab.join(c.select("cls", "n", "lo", F.col("_signals").alias("signals")), "cls"))
-    small = _small(lab)
-    end = lambda v: small.select(F.col("cls").alias(v), F.col("component").alias(f"g{v}"), F.col("n").alias(f"n{v}"))
-    inside = links.join(end("u"), "u").join(end("v"), "v").where("gu = gv")
-    milli, itself = F.round(F.col("score") * 1000).cast("long"), F.col("u") == F.col("v")
-    way = lambda v, n: F.struct(F.col(v).alias("cls"), (milli * n).alias("s"))
-    sums = inside.select(F.inline(F.when(itself, F.array(way("u", F.col("nu") - 1))).otherwise(F.array(way("u", F.col("nv")), way("v", F.col("nu")))))).groupBy("cls").agg(F.sum("s").alias("_sum"))
-    of = lab.join(sums, "cls", "left").withColumn("_sum", F.coalesce("_sum", F.lit(0)))
-    best = tables.keep_best(of, ["component"], [F.desc("_sum"), F.desc("signals"), F.col("lo")]).select("component", F.col("cls").alias("rep_cls"), F.col("lo").alias("representative"))
-    groups = of.groupBy("component").agg(F.min("lo").alias("group"))
-    return save(lab.select("cls", "component").join(groups, "component").join(best, "component").select("cls", "group", "rep_cls", "representative"))
+    lab = graph.forest_components(blocks.select(F.inline(F.arrays_zip("u", "v"))), "u", "v", save)
+    of = save(c.select("cls", "n", "lo", F.col("_signals").alias("signals")).join(lab.withColumnRenamed("node", "cls"), "cls", "left"))
+    # The places of a block's profiles are those of its matrices' rows and columns.
+    places = blocks.where("same").select("bx", F.posexplode("x").alias("at", "cls")).join(of, "cls")
+    # A profile with no link is in no component: `known` is false.
+    member = F.struct("at", "cls", "n", F.coalesce("component", F.lit(0)).alias("component"), F.col("component").isNotNull().alias("known"))
+    places = save(places.groupBy("bx").agg(F.sort_array(F.collect_list(member)).alias("m")))
+    side = lambda b, v: places.select(F.col("bx").alias(b), F.col("m").alias(v))
+    sums = blocks.select("same", "bx", "by", "milli").join(side("bx", "x"), "bx").join(side("by", "y"), "by").select("same", "milli", "x", "y")
+    sums = sums.mapInArrow(_sums, "cls long, s long").groupBy("cls").agg(F.sum("s").alias("_sum"))
+    of = of.where("component is not null").join(sums, "cls", "left")
+    first = F.min(F.struct(-F.coalesce("_sum", F.lit(0)), -F.col("signals"), F.col("lo").alias("lo"), F.col("cls").alias("cls")))
+    best = of.groupBy("component").agg(F.min("lo").alias("group"), first.alias("_r")).select("component", "group", F.col("_r.cls").alias("rep_cls"), F.col("_r.lo").alias("representative"))
+    return save(of.select("cls", "component").join(best, "component").select("cls", "group", "rep_cls", "representative"))
 
 
 def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pattern_id, cluster, representative, family, n, role): components of the gate, core members against the representative."""
-    q = save(profiled(p))
+    q = save(keyed(p).select("pattern_id", "_cls", *READ))
     c = save(profiles(q))
-    links = save(compared(c).withColumnRenamed("passes", "linked"))
-    of = grouped(c, links, save)
-    m = q.select("pattern_id", F.col("_cls").alias("cls")).join(of, "cls", "left")
-    m = save(m.select("pattern_id", "cls", "rep_cls", F.coalesce("group", "pattern_id").alias("cluster"), F.coalesce("representative", "pattern_id").alias("representative")))
-    m = m.join(families(p, m), "cluster").join(m.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    # A profile with a link has one cluster, so its patterns are core members or not by one comparison.
-    seen = m.where("rep_cls is not null").groupBy("cls", "rep_cls").agg(F.first("family").alias("_family"))
-    j = seen.join(c.alias("x"), F.col("rep_cls") == F.col("x.cls")).join(c.alias("y"), seen["cls"] == F.col("y.cls"))
-    j = scored(j, {"cls": F.col("y.cls"), "_fits": family_similarity(F.col("_family"), _c("y", "family"))})
-    near = (F.col("dep") >= 0.2) | (F.col("imports") >= 0.4) | (F.col("responsibility") >= 0.5)
-    j = j.select("cls", ((F.col("_fits") > 0) & (F.col("score") >= CORE_SCORE) & (F.col("align") >= 0.6) & near).alias("_core"))
-    core = (F.col("pattern_id") == F.col("representative")) | F.coalesce("_core", F.lit(False))
-    return m.join(j, "cls", "left").select("pattern_id", "cluster", "representative", "family", "n", F.when(core, "core").otherwise("peripheral").alias("role"))
+    of = grouped(c, save(linked(c, lambda s: s["passes"])), save)
+    # A profile with a link has one cluster, so families, sizes and core members are those of profiles.
+    m = save(of.join(c.select("cls", F.col("n").alias("_n"), F.coalesce("family", F.lit("")).alias("_family")), "cls"))
+    f = m.groupBy("group", "_family").agg(F.sum("_n").alias("_n"))
+    f = f.groupBy("group").agg(F.sum("_n").alias("n"), F.min(F.struct(-F.col("_n"), F.col("_family").alias("family")))["family"].alias("family"))
+    m = save(m.drop("_n", "_family").join(f, "group"))
+    rows = F.struct("cls", *PREPARED)
+    j = m.select("cls", "rep_cls", F.col("family").alias("_of")).join(c.select(F.col("cls").alias("rep_cls"), rows.alias("x")), "rep_cls").join(c.select("cls", rows.alias("y")), "cls")
+    m = save(m.join(j.select("x", "y", "_of").mapInArrow(_core, "cls long, core boolean"), "cls"))
+    m = q.select("pattern_id", F.col("_cls").alias("cls"), F.coalesce("family", F.lit("")).alias("_own")).join(_small(m), "cls", "left")
+    core = F.coalesce("core", F.lit(True)) | (F.col("pattern_id") == F.col("representative"))
+    alone = lambda n, otherwise: F.coalesce(n, otherwise).alias(n)
+    return m.select("pattern_id", F.coalesce("group", "pattern_id").alias("cluster"), alone("representative", F.col("pattern_id")), alone("family", F.col("_own")), alone("n", F.lit(1).cast("long")), F.when(core, "core").otherwise("peripheral").alias("role"))
+
+
+def _core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, family of the cluster) -> (cls of y, core): whether y is a core member of a cluster whose representative is x."""
+    names = [n.split()[0] for n in SCORED.split(", ")]
+    for b in batches:
+        groups: dict[int, list[dict]] = {}
+        for r in b.to_pylist():
+            groups.setdefault(r["x"]["cls"], []).append(r)
+        ids, core = [], []
+        for rows in groups.values():
+            x, y = rows[0]["x"], [r["y"] for r in rows]
+            s = {n: v[0] for n, v in zip(names, _likeness(x["kind"], [x], y, THRESHOLD), strict=True)}
+            # A cluster has one family.
+            fits = np.array([any(g == v or (g in pair and v in pair) for pair in COMPATIBLE) for g, v in ((r["_of"], r["y"]["family"] or "") for r in rows)])
+            near = (s["dep"] >= 0.2) | (s["imports"] >= 0.4) | (s["responsibility"] >= 0.5)
+            ids += [r["cls"] for r in y]
+            core += (fits & (s["score"] >= CORE_SCORE) & (s["align"] >= 0.6) & near).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(core, pa.bool_())], ["cls", "core"])
 
 
 def cohesion(p: DataFrame, membership: DataFrame) -> DataFrame:
@@ -408,11 +501,12 @@ def reasons(p: DataFrame, membership: DataFrame) -> DataFrame:
 def related_clusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame], DataFrame] = lambda df: df, threshold: float = THRESHOLD) -> DataFrame:
     """(cluster, related): clusters of one kind and incompatible families whose representatives are alike, or depend on the same; both ways."""
     r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.coalesce("family", F.lit("")).alias("_family")).distinct().join(p, "pattern_id")
-    q = save(profiled(r, ("_family",)))
-    j = save(compared(profiles(q, ("_family",)), columns=("score", "dep", "responsibility")))
+    q = save(keyed(r, ("_family",)).select("cluster", "pattern_id", "_cls", "_family", *READ))
+    c = save(profiles(q, ("_family",)))
+    j = compared(c, columns=("score", "dep", "responsibility"))
     far = (F.col("score") < max(threshold - 0.08, RELATED_SCORE)) & (F.col("dep") < 0.5)
     loose = (F.col("dep") < 0.18) & (F.col("responsibility") < 0.55)
-    of = _small(save(profiles(q, ("_family",)).select("cls", "_family")))
+    of = _small(c.select("cls", "_family"))
     end = lambda v: of.select(F.col("cls").alias(v), F.col("_family").alias(f"_f{v}"))
     j = j.where(~far & ~loose).join(end("u"), "u").join(end("v"), "v").where(family_similarity(F.col("_fu"), F.col("_fv")) == 0)
     found = expanded(j.select("u", "v"), _small(save(chunked(q, "cluster"))), [])
@@ -445,12 +539,10 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     loose = cohesion(p, big).where(F.col("dependency_overlap") <= SUB_COHESION).select("cluster")
     wanted = save(loose.union(split.where("_parts >= 2").select("cluster")).distinct())
     big = save(big.join(wanted, "cluster"))
-    q = save(profiled(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)))
+    q = save(keyed(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)).select("pattern_id", "_c", "_cls", *READ))
     c = save(profiles(q, ("_c",)))
-    j = compared(c, ("kind", "_c"), ("score", "dep", "dep_tokens", "imports", "responsibility"))
-    linked = (F.col("dep") >= SUB_EDGE) | ((F.col("dep_tokens") >= SUB_EDGE) & (F.col("score") >= THRESHOLD)) | ((F.col("imports") >= 0.5) & (F.col("responsibility") >= 0.5))
-    links = save(j.select("u", "v", "score", linked.alias("linked")))
-    of = grouped(c, links, save)
+    link = lambda s: (s["dep"] >= SUB_EDGE) | ((s["dep_tokens"] >= SUB_EDGE) & (s["score"] >= THRESHOLD)) | ((s["imports"] >= 0.5) & (s["responsibility"] >= 0.5))
+    of = grouped(c, save(linked(c, link, ("kind", "_c"))), save)
     by_graph = q.select("pattern_id", F.col("_c").alias("cluster"), F.col("_cls").alias("cls")).join(of, "cls", "left")
     by_graph = save(by_graph.select("pattern_id", "cluster", F.coalesce("group", "pattern_id").alias("_part"), F.coalesce("representative", "pattern_id").alias("representative")))
     g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)

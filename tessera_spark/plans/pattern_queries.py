@@ -50,7 +50,7 @@ LISTS = {
 
 def rows(spark, d) -> DataFrame:
     """Rows of operators.patterns with k, one per supplier."""
-    df = C.table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS INT) AS k")
+    df = C.table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS INT) AS k").repartition(spark.sparkContext.defaultParallelism)  # a small file is one task
     df = df.selectExpr("k", *[f"{e} AS {n}" for n, e in (SCALARS | LISTS).items()])
     return df.select("k", *SCALARS, *[F.filter(F.split(n, ","), lambda x: x != "").alias(n) for n in LISTS], F.lit("high").alias("confidence"))
 

@@ -112,3 +112,28 @@ def test_copies_are_scored_once(spark, monkeypatch):
     assert [top["p0", i] for i in (1, 2)] == [("p2", 1.0), ("p3", 1.0)] and [top["p2", i] for i in (1, 2)] == [("p0", 1.0), ("p1", 1.0)] and top["z", 1][0] == "p0"
     m = {r["pattern_id"]: (r["cluster"], r["representative"], r["n"], r["role"]) for r in patterns.clusters(p, scratch.save).collect()}
     assert m == {f"p{i}": ("p0", "p0", 8, "core") for i in range(8)} | {"z": ("z", "z", 1, "core")}
+
+
+def test_clusters_across_blocks(spark, monkeypatch):
+    """Components and sums of scores that span blocks are those of all pairs, by either walk; a block writes one matrix, not its pairs."""
+    from tessera_spark.operators import graph
+
+    rows = [row(f"p{i:02}", name=f"{'Icon' if i % 3 else 'Far'}Button{'List' if i % 4 == 0 else ''}", imports=["react"] if i % 2 else ["react", "axios"], deps=("d", f"e{i % 5}"), role=["component", "hook", None][i % 3], indexed=[True, None, False][i % 3]) for i in range(14)]
+    p = table(spark, *rows, row("p99"), row("z1", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[], family=None))
+    pairs = [(r["a"], r["b"], r["score"], r["passes"]) for r in patterns.scored_pairs(p, shared_signal=False).collect()]
+    ids = [r["pattern_id"] for r in p.collect()]
+    part = {i: i for i in ids}
+    for _ in ids:
+        for a, b, _, passes in pairs:
+            if passes:
+                part[a] = part[b] = min(part[a], part[b])
+    total = {i: sum(round(1000 * s) for a, b, s, _ in pairs if i in (a, b) and part[a] == part[b]) for i in ids}
+    size = {i: len(r["structural"]) for i, r in zip(ids, p.collect(), strict=True)}
+    want = {i: (part[i], min((j for j in ids if part[j] == part[i]), key=lambda j: (-total[j], -size[j], j))) for i in ids}
+    monkeypatch.setattr(patterns, "BLOCK", 3)
+    c = scratch.save(patterns.profiles(patterns.keyed(p)))
+    assert c.count() > 9 and patterns.linked(c, lambda s: s["passes"]).count() <= 21
+    for small in (graph.SMALL_EDGES, 0):
+        monkeypatch.setattr(graph, "SMALL_EDGES", small)
+        got = {r["pattern_id"]: (r["cluster"], r["representative"]) for r in patterns.clusters(p, scratch.save).collect()}
+        assert got == want
