@@ -338,6 +338,24 @@ def test_one_of_each_with_repeated_ids(spark):
     assert kept == [(3, a, "s"), (5, b, "s"), (7, c + " more", "s"), (9, None, "s")]
 
 
+def test_jaccard_tables_go_early(spark, monkeypatch):
+    """Beyond the broadcast bound only texts that are asked for are shuffled; tables of rounds are deleted when nothing reads them any more."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 60)) for _ in range(40)) for _ in range(12)]
+    rows = [(i, f"{texts[i % 12]} {'x' if i % 5 == 0 else ''}", "s") for i in range(60)] + [(100 + i, f"alone {i} " * 4, "s") for i in range(40)]
+    want = brute_components(rows, 3, 90)
+    wide, few = spark.createDataFrame([(i,) for i in range(-3000, 3000)], "row long"), spark.createDataFrame([(-5,), (7,), (1 << 40,)], "row long")
+    assert sorted(r["row"] for r in jaccard.marked(wide, few).collect()) == [-5, 0, 7]  # 1 << 40 shares a bit with 0
+    monkeypatch.setattr(jaccard, "LEAF", 2)
+    monkeypatch.setattr(jaccard, "WIDE", 2)
+    for most in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        before = set(common._live)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(make(spark, rows), shingle=3, percent=90).collect()}
+        assert got == want
+        assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(common._live) - before} <= {"slim", "labels", "named", "components"}
+
+
 def test_jaccard_odd(odd, empty):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd).collect()]
     assert len(got) == 8
