@@ -10,6 +10,7 @@ out. Scores of pairs of profiles are three-decimal numbers, so sums of them are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ THRESHOLD = 0.7
 CORE_SCORE, RELATED_SCORE = 0.62, 0.58
 SUB_MEMBERS, SUB_PARENT, SUB_COHESION, SUB_EDGE = 4, 40, 0.78, 0.28
 #: Ids of a profile that one row of pairs holds at most, and rows that are broadcast at most; beyond, both sides of a join are dealt out.
+#: Patterns of a block whose pairs are written out, and pairs that are sent on at a time.
+PATTERNS, SENT = 1024, 1 << 16
 CHUNK = 512
 SMALL = 200_000
 #: Profiles of a block; a task holds the scores of two blocks.
@@ -183,10 +186,20 @@ def profiled(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return prepared(keyed(p, by))
 
 
+#: Columns of a profile that blocks are made of: what prepared() makes with hashes for columns is made of these where blocks are packed.
+RULED = ("kind", "export_shape", "role", "family", *SETS, "_tokens", "_signals", "_shown", "_anchor")
+
+
+def _ruled(p: DataFrame, *keep: Column | str) -> DataFrame:
+    """(keep, RULED) of patterns."""
+    more = {"_tokens": F.when(F.col("kind").isin(*NAMED), text.name_tokens(F.col("name"))), "_signals": F.greatest(F.coalesce(F.size("structural"), F.lit(0)), F.lit(0)), "_shown": representativeness("x"), "_anchor": alignment("x")}
+    return p.alias("x").select(*keep, *[more[n].alias(n) if n in more else n for n in RULED])
+
+
 def profiles(q: DataFrame, by: tuple[str, ...] = (), ident: str = "pattern_id") -> DataFrame:
-    """(cls, n, lo, PREPARED, by): the profiles of rows of keyed(), their sizes and least ids. A row is prepared once a profile."""
+    """(cls, n, lo, by, RULED): the profiles of rows of keyed(), their sizes and least ids."""
     c = q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), *[F.first(n).alias(n) for n in (*READ, *by)])
-    return prepared(c).select("cls", "n", "lo", *PREPARED, *by)
+    return _ruled(c, "cls", "n", "lo", *by)
 
 
 def chunked(q: DataFrame, ident: str = "pattern_id") -> DataFrame:
@@ -199,19 +212,34 @@ def chunked(q: DataFrame, ident: str = "pattern_id") -> DataFrame:
 SCORED = "score double, passes boolean, dep double, imports double, responsibility double, dep_tokens double, fits double, align double, shares boolean"
 
 
-def _likeness(kind: str, x: list[dict], y: list[dict], threshold: float) -> list[np.ndarray]:
-    """The columns SCORED of all pairs of two lists of prepared() rows of one kind, as matrices: scored() with the same operations in the same order."""
+#: Columns of RULED by their different values: what a value is read as.
+VALUES = {n: (lambda v: frozenset(v or ())) for n in SETS} | {n: (lambda v: "unknown" if v is None else v) for n in ("export_shape", "role")} | {"family": lambda v: v or "", "_tokens": lambda v: tuple(v or ())}
+
 
-    def table(n: str, f: Callable, made: Callable) -> np.ndarray:
-        """f of each pair's values of n, evaluated once for each pair of different values."""
-        one, two = ([made(r[n]) for r in rows] for rows in (x, y))
-        us, vs = ({v: i for i, v in enumerate(dict.fromkeys(z))} for z in (one, two))
-        t = np.array([[f(u, v) for v in vs] for u in us])
-        return t[np.array([us[v] for v in one])[:, None], np.array([vs[v] for v in two])[None, :]]
+def _packed(rows: list[dict]) -> dict[str, tuple | np.ndarray]:
+    """What _likeness() reads of rows with RULED: of each column of VALUES its different values and the rows' places among them, and the numbers."""
+    out: dict[str, tuple | np.ndarray] = {n: np.array([r[n] for r in rows]) for n in ("_signals", "_shown", "_anchor")}
+    for n, made in VALUES.items():
+        all_ = [made(r[n]) for r in rows]
+        at = {v: i for i, v in enumerate(dict.fromkeys(all_))}
+        out[n] = list(at), np.array([at[v] for v in all_], np.intp)
+    return out
 
-    size = lambda n: (np.array([len(r[n] or ()) for r in x])[:, None], np.array([len(r[n] or ()) for r in y])[None, :])
-    shared = lambda n: table(n, lambda u, v: len(u & v), lambda v: frozenset(v or ()))
-    number = lambda n: (np.array([r[n] for r in x])[:, None], np.array([r[n] for r in y])[None, :])
+
+def _ahead(u: tuple, v: tuple) -> int:
+    """How many leading elements two tuples share."""
+    return next((i for i, (a, b) in enumerate(zip(u, v, strict=False)) if a != b), min(len(u), len(v)))
+
+
+def _likeness(kind: str, x: dict, y: dict, threshold: float) -> list[np.ndarray]:
+    """The columns SCORED of all pairs of two blocks of _packed() rows of one kind, as matrices: scored() with the same operations in the same order.
+
+    What follows from one column is made once for each pair of its different values.
+    """
+    table = lambda n, f: np.array([[f(u, v) for v in y[n][0]] for u in x[n][0]])
+    wide = lambda n, t: t[x[n][1]].take(y[n][1], 1)
+    sizes = lambda n: [np.array([len(v) for v in side[n][0]]) for side in (x, y)]
+    total = lambda n: np.add.outer(*sizes(n))
 
     def alike(groups: tuple, same: float, unknown: str | None) -> Callable:
         return lambda u, v: 1.0 if u == v else same if any(u in g and v in g for g in groups) else 0.25 if unknown in (u, v) else 0.0
@@ -221,43 +249,58 @@ def _likeness(kind: str, x: list[dict], y: list[dict], threshold: float) -> list
 
     r3 = lambda v: np.floor(v * 1000.0 + 0.5) / 1000.0
     clip = lambda v: np.minimum(np.maximum(v, 0.0), 1.0)
-    inter, total = {n: shared(f"_h_{n}") for n in SETS}, {n: sum(size(f"_h_{n}")) for n in SETS}
-    part = {n: ratio(inter[n], total[n]) for n in SETS}
-    known = lambda v: "unknown" if v is None else v
-    export = table("export_shape", alike((("default", "named", "mixed"), ("none", "internal")), 0.5, "unknown"), known)
-    role, fits = table("role", alike(ROLE_GROUPS, 0.45, "unknown"), known), table("family", alike(COMPATIBLE, 0.85, None), lambda v: "" if v is None else v)
-    align, fewest = np.minimum(*number("_anchor")), np.minimum(*number("_signals"))
+    inter, every = {n: table(n, lambda u, v: len(u & v)) for n in SETS}, {n: total(n) for n in SETS}
+    few_part = {n: ratio(inter[n], every[n]) for n in SETS}
+    part = {n: wide(n, v) for n, v in few_part.items()}
+    export = wide("export_shape", table("export_shape", alike((("default", "named", "mixed"), ("none", "internal")), 0.5, "unknown")))
+    role, fits = wide("role", table("role", alike(ROLE_GROUPS, 0.45, "unknown"))), wide("family", table("family", alike(COMPATIBLE, 0.85, None)))
+    align, fewest = np.minimum.outer(x["_anchor"], y["_anchor"]), np.minimum.outer(x["_signals"], y["_signals"])
     name, named, broad = np.zeros(align.shape), kind in NAMED, kind in BROAD
     if named:
-        longest = np.maximum(np.maximum(*size("_starts")), 1).astype(float)
-        words = ratio(shared("_words"), sum(size("_words"))) + shared("_starts") / longest * 0.15 + shared("_ends") / longest * 0.15
-        name = np.where(np.minimum(*size("_words")) > 0, clip(r3(words)), 0.0)
-    structural, imported, same = (np.where(total[n] == 0, 1.0, part[n]) for n in ("structural", "imports", "responsibility"))
+        lengths, words = sizes("_tokens"), [[frozenset(v) for v in side["_tokens"][0]] for side in (x, y)]
+        longest = np.maximum(np.maximum.outer(*lengths), 1).astype(float)
+        both = np.add.outer(*[np.array([len(v) for v in side]) for side in words])
+        t = ratio(np.array([[len(u & v) for v in words[1]] for u in words[0]]), both) + table("_tokens", _ahead) / longest * 0.15 + table("_tokens", lambda u, v: _ahead(u[::-1], v[::-1])) / longest * 0.15
+        name = wide("_tokens", np.where(np.minimum.outer(*lengths) > 0, clip(r3(t)), 0.0))
+    structural, imported, same = (wide(n, np.where(every[n] == 0, 1.0, few_part[n])) for n in ("structural", "imports", "responsibility"))
     dep = np.maximum(np.maximum(part["deps"], 0.8 * part["dep_tokens"]), 0.45 * part["imports"])
-    some = lambda n, w: np.where(total[n] > 0, w, 0.0)
+    some = lambda n, w: wide(n, np.where(every[n] > 0, w, 0.0))
     parts = [(1.0, 0.2), (structural, 0.3), (imported, 0.2), (export, 0.1), (role, 0.1), (fits, 0.12)]
     parts += [(part[n], some(n, w)) for n, w in (("ui", 0.05), ("async_", 0.05), ("responsibility", 0.1), ("deps", 0.12), ("dep_tokens", 0.12))]
     s, weight = 0.0, 0.0
     for v, w in parts:
         s, weight = s + v * w, weight + w
-    few = fewest <= 1
-    s = s / weight * np.where(inter["structural"] == 0, 0.25, np.where(few, 0.85, 1.0)) * np.where(fits == 0, 0.72, 1.0)
+    few, shares = fewest <= 1, wide("structural", inter["structural"] > 0)
+    s = s / weight * np.where(~shares, 0.25, np.where(few, 0.85, 1.0)) * np.where(fits == 0, 0.72, 1.0)
     if broad:
         s = np.where(structural < 0.5, np.minimum(s, 0.6), s)
-    s = s * sum(number("_shown")) / 2.0 * np.where(few, 0.9, 1.0)
+    s = s * np.add.outer(x["_shown"], y["_shown"]) / 2.0 * np.where(few, 0.9, 1.0)
     s = (0.85 * s + 0.15 * name if named else s) * np.where(name > 0.6, 1.05, 1.0)
-    both = np.minimum(*size("_h_responsibility")) > 0
+    both = wide("responsibility", np.minimum.outer(*sizes("responsibility")) > 0)
     score = r3(clip(s * np.where(same > 0, 1.0 + np.minimum(0.08, 0.08 * same), np.where(both, 0.88, 1.0))))
     imports, resp = part["imports"], part["responsibility"]
     passes = (score >= threshold) & (fits > 0) & (structural > 0) & ~(broad & (structural < 0.5)) & ~((align <= 0.2) & (dep < 0.18))
     passes &= ~((dep < 0.18) & (imports < 0.45) & (resp < 0.55) & (part["ui"] == 0) & (part["async_"] == 0)) & ~((fits < 1) & (dep < 0.34) & (resp < 0.55)) & ~(broad & (dep < 0.18) & (imports < 0.45) & (name < 0.2))
-    return [score, passes, dep, imports, resp, part["dep_tokens"], fits, align, inter["structural"] > 0]
+    return [score, passes, dep, imports, resp, part["dep_tokens"], fits, align, shares]
+
 
+def _blocks(c: DataFrame, on: tuple[str, ...], save: Callable[[DataFrame], DataFrame], size: int | None = None, order: tuple[str, ...] = ("cls",)) -> DataFrame:
+    """(kind, _x, _y, _pair, xs, ys): all pairs of blocks of `size` rows (cls, RULED, order) that agree in `on`, a block with itself included.
 
-def _blocks(c: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    """(kind, _x, _y, _pair, xs, ys): all pairs of blocks of profiles that agree in `on`, a block with itself included."""
-    at = F.row_number().over(Window.partitionBy(*on).orderBy("cls"))
-    blocks = c.withColumn("_block", F.floor((at - 1) / BLOCK)).groupBy(*on, "_block").agg(F.collect_list(F.struct("cls", *[n for n in PREPARED if n != "kind"])).alias("rows"))
+    A block is packed once: the different cls of its rows with what _likeness() reads of them, the rows' places among these, and the last column of `order`.
+    """
+    at = F.row_number().over(Window.partitionBy(*on).orderBy(*order))
+    rows = c.select(*dict.fromkeys(("cls", *RULED, *on, *order))).withColumn("_block", F.floor((at - 1) / (size or BLOCK)))
+
+    def pack(t: pa.Table) -> pa.Table:
+        cls, ids = (np.array(t.column(n).to_pylist(), object if n == "pattern_id" else np.int64) for n in ("cls", order[-1]))
+        ends, first, place = np.unique(cls, return_index=True, return_inverse=True)
+        rest = t.select(RULED).take(pa.array(first)).to_pylist()
+        return t.select([*on, "_block"]).slice(0, 1).append_column("rows", pa.array([pickle.dumps((ends, _packed(rest), place, ids))], pa.binary()))
+
+    kinds = dict(c.dtypes)
+    # Sorting by the order within blocks is cheap and makes them the same in every run.
+    blocks = save(rows.groupBy(*on, "_block").applyInArrow(pack, ", ".join(f"`{n}` {kinds[n]}" for n in on) + ", _block long, rows binary"))
     x, y = blocks.alias("x"), blocks.alias("y")
     same = F.lit(True)
     for k in on:
@@ -288,7 +331,7 @@ def _stars(link: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     return tuple(np.concatenate(e) if e else np.zeros(0, np.int64) for e in ends)
 
 
-def linked(c: DataFrame, link: Callable[[dict[str, np.ndarray]], np.ndarray], on: tuple[str, ...] = ("kind",)) -> DataFrame:
+def linked(c: DataFrame, link: Callable[[dict[str, np.ndarray]], np.ndarray], on: tuple[str, ...] = ("kind",), save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(same, x, y, milli, u, v) of each pair of blocks of compared(): the profiles of both, their scores in thousandths as a matrix of 16-bit numbers, and edges (u, v) that connect what link(SCORED) does."""
     names = [n.split()[0] for n in SCORED.split(", ")]
     kind_of = pa.schema([("same", pa.bool_()), ("bx", pa.int64()), ("x", pa.list_(pa.int64())), ("by", pa.int64()), ("y", pa.list_(pa.int64())), ("milli", pa.binary()), ("u", pa.list_(pa.int64())), ("v", pa.list_(pa.int64()))])
@@ -296,13 +339,13 @@ def linked(c: DataFrame, link: Callable[[dict[str, np.ndarray]], np.ndarray], on
     def run(t: pa.Table) -> pa.Table:
         out = []
         for kind, bx, by, xs, ys in zip(*(t.column(n).to_pylist() for n in ("kind", "_x", "_y", "xs", "ys")), strict=True):
-            x, y = (np.array([r["cls"] for r in rows], np.int64) for rows in (xs, ys))
-            got = dict(zip(names, _likeness(kind, xs, ys, THRESHOLD), strict=True))
+            (x, one, *_), (y, two, *_) = pickle.loads(xs), pickle.loads(ys)
+            got = dict(zip(names, _likeness(kind, one, two, THRESHOLD), strict=True))
             u, v = _stars(link(got), x, y)
             out.append({"same": bx == by, "bx": bx, "x": x, "by": by, "y": y, "milli": np.round(got["score"] * 1000).astype("<i2").tobytes(), "u": u, "v": v})
         return pa.Table.from_pylist(out, schema=kind_of)
 
-    return _blocks(c, on).repartition(_width(c), "_pair").groupBy("_pair").applyInArrow(run, "same boolean, bx long, x array<long>, by long, y array<long>, milli binary, u array<long>, v array<long>")
+    return _blocks(c, on, save).repartition(_width(c), "_pair").groupBy("_pair").applyInArrow(run, "same boolean, bx long, x array<long>, by long, y array<long>, milli binary, u array<long>, v array<long>")
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,21 +364,21 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], ["cls", "s"])
 
 
-def compared(c: DataFrame, on: tuple[str, ...] = ("kind",), columns: tuple[str, ...] = ("score", "passes"), threshold: float = THRESHOLD) -> DataFrame:
+def compared(c: DataFrame, on: tuple[str, ...] = ("kind",), columns: tuple[str, ...] = ("score", "passes"), threshold: float = THRESHOLD, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(u, v, columns of SCORED): all pairs u <= v of the profiles `cls` of c that agree in `on`, a profile with itself included.
 
     Profiles are put into blocks, and a task scores two blocks at a time: no task has all of a large kind, and a rule on sets is evaluated once for each pair of different sets.
     """
-    pairs = _blocks(c, on)
+    pairs = _blocks(c, on, save)
     names = [n.split()[0] for n in SCORED.split(", ")]
 
     def run(t: pa.Table) -> pa.Table:
         out = []
         for kind, xs, ys in zip(*(t.column(n).to_pylist() for n in ("kind", "xs", "ys")), strict=True):
-            u, v = (np.array([r["cls"] for r in rows], np.int64) for rows in (xs, ys))
+            (u, one, *_), (v, two, *_) = pickle.loads(xs), pickle.loads(ys)
             once = u[:, None] <= v[None, :] if np.array_equal(u, v) else np.ones((len(u), len(v)), bool)
             ends = [np.broadcast_to(u[:, None], once.shape)[once], np.broadcast_to(v[None, :], once.shape)[once]]
-            got = dict(zip(names, _likeness(kind, xs, ys, threshold), strict=True))
+            got = dict(zip(names, _likeness(kind, one, two, threshold), strict=True))
             out.append(pa.table([*ends, *[got[n][once] for n in columns]], names=["u", "v", *columns]))
         return pa.concat_tables(out)
 
@@ -352,12 +395,36 @@ def expanded(pairs: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     return j.select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), *columns)
 
 
-def scored_pairs(p: DataFrame, *, shared_signal: bool, save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """(a, b, score, passes, dep): pairs of one kind, a < b. With shared_signal, only pairs with a structural signal in common, which clusters need anyway."""
-    q = save(keyed(p).select("pattern_id", "_cls", *READ))
-    j = compared(profiles(q), columns=("score", "passes", "dep", "shares"))
-    ids = save(chunked(q))
-    return expanded(j.where("shares") if shared_signal else j, _small(ids), ["score", "passes", "dep"])
+def scored_pairs(p: DataFrame, *, shared_signal: bool, save: Callable[[DataFrame], DataFrame] = lambda df: df, columns: tuple[str, ...] = ("score", "passes", "dep")) -> DataFrame:
+    """(a, b, columns of SCORED): pairs of one kind, a < b. With shared_signal, only pairs with a structural signal in common, which clusters need anyway.
+
+    Blocks are of patterns in the order of their profiles: a task scores the profiles of two blocks and writes the pairs of their patterns at once, so no pair is shuffled or joined.
+    """
+    q = keyed(p).where("pattern_id is not null")
+    pairs = _blocks(_ruled(q, F.col("_cls").alias("cls"), "pattern_id"), ("kind",), save, PATTERNS, ("cls", "pattern_id"))
+    names = [n.split()[0] for n in SCORED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            (_, one, i, x), (_, two, j, y) = pickle.loads(r["xs"]), pickle.loads(r["ys"])
+            got = dict(zip(names, _likeness(r["kind"], one, two, THRESHOLD), strict=True))
+            ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            at, ids = at.astype(np.int32), pa.array(ids, pa.string())
+            lo, hi = at[: len(x)], at[len(x) :]
+            self, step = r["_x"] == r["_y"], max(1, SENT // len(y))
+            for k in range(0, len(x), step):
+                u = lo[k : k + step, None]
+                some = u < hi if self else u != hi
+                if shared_signal:
+                    some &= got["shares"][i[k : k + step]].take(j, 1)
+                some = slice(None) if some.all() else some.ravel()
+                ends = [f(u, hi).ravel()[some] for f in (np.minimum, np.maximum)]
+                values = [got[n][i[k : k + step]].take(j, 1).ravel()[some] for n in columns]
+                if len(ends[0]):
+                    yield pa.RecordBatch.from_arrays([*[ids.take(pa.array(e)) for e in ends], *[pa.array(v) for v in values]], ["a", "b", *columns])
+
+    kinds = dict(n.split() for n in SCORED.split(", "))
+    return pairs.repartition(4 * _width(p), "_pair").groupBy("_pair").applyInArrow(run, "a string, b string, " + ", ".join(f"{n} {kinds[n]}" for n in columns))
 
 
 def find_similar(p: DataFrame, pattern_id: str, limit: int = 6) -> DataFrame:
@@ -383,7 +450,7 @@ def most_similar(p: DataFrame, k: int, save: Callable[[DataFrame], DataFrame]) -
     first = tables.top_k_per_group(first, ["_cls"], [F.col("pattern_id")], 2 * k).groupBy("_cls").agg(F.collect_list(F.struct("pattern_id", "_file")).alias("ids"))
     first = _small(save(first.withColumnRenamed("_cls", "cls")))
     way = lambda a, b: F.struct(F.col(a).alias("to"), F.col(b).alias("cls"))
-    j = save(compared(profiles(q), columns=("score",))).where("score > 0")
+    j = save(compared(profiles(q), columns=("score",), save=save)).where("score > 0")
     j = j.select("score", F.explode(F.when(F.col("u") == F.col("v"), F.array(way("u", "v"))).otherwise(F.array(way("u", "v"), way("v", "u")))).alias("w")).select("w.*", "score")
     j = j.join(first, "cls").select(F.col("to").alias("cls"), "score", F.explode("ids").alias("o")).select("cls", "score", F.col("o.pattern_id").alias("other"), F.col("o._file").alias("_of"))
     order = lambda: [F.desc("score"), F.col("other")]
@@ -440,13 +507,13 @@ def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pattern_id, cluster, representative, family, n, role): components of the gate, core members against the representative."""
     q = save(keyed(p).select("pattern_id", "_cls", *READ))
     c = save(profiles(q))
-    of = grouped(c, save(linked(c, lambda s: s["passes"])), save)
+    of = grouped(c, save(linked(c, lambda s: s["passes"], save=save)), save)
     # A profile with a link has one cluster, so families, sizes and core members are those of profiles.
     m = save(of.join(c.select("cls", F.col("n").alias("_n"), F.coalesce("family", F.lit("")).alias("_family")), "cls"))
     f = m.groupBy("group", "_family").agg(F.sum("_n").alias("_n"))
     f = f.groupBy("group").agg(F.sum("_n").alias("n"), F.min(F.struct(-F.col("_n"), F.col("_family").alias("family")))["family"].alias("family"))
     m = save(m.drop("_n", "_family").join(f, "group"))
-    rows = F.struct("cls", *PREPARED)
+    rows = F.struct("cls", *RULED)
     j = m.select("cls", "rep_cls", F.col("family").alias("_of")).join(c.select(F.col("cls").alias("rep_cls"), rows.alias("x")), "rep_cls").join(c.select("cls", rows.alias("y")), "cls")
     m = save(m.join(j.select("x", "y", "_of").mapInArrow(_core, "cls long, core boolean"), "cls"))
     m = q.select("pattern_id", F.col("_cls").alias("cls"), F.coalesce("family", F.lit("")).alias("_own")).join(_small(m), "cls", "left")
@@ -465,7 +532,7 @@ def _core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, core = [], []
         for rows in groups.values():
             x, y = rows[0]["x"], [r["y"] for r in rows]
-            s = {n: v[0] for n, v in zip(names, _likeness(x["kind"], [x], y, THRESHOLD), strict=True)}
+            s = {n: v[0] for n, v in zip(names, _likeness(x["kind"], _packed([x]), _packed(y), THRESHOLD), strict=True)}
             # A cluster has one family.
             fits = np.array([any(g == v or (g in pair and v in pair) for pair in COMPATIBLE) for g, v in ((r["_of"], r["y"]["family"] or "") for r in rows)])
             near = (s["dep"] >= 0.2) | (s["imports"] >= 0.4) | (s["responsibility"] >= 0.5)
@@ -503,7 +570,7 @@ def related_clusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFr
     r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.coalesce("family", F.lit("")).alias("_family")).distinct().join(p, "pattern_id")
     q = save(keyed(r, ("_family",)).select("cluster", "pattern_id", "_cls", "_family", *READ))
     c = save(profiles(q, ("_family",)))
-    j = compared(c, columns=("score", "dep", "responsibility"))
+    j = compared(c, columns=("score", "dep", "responsibility"), save=save)
     far = (F.col("score") < max(threshold - 0.08, RELATED_SCORE)) & (F.col("dep") < 0.5)
     loose = (F.col("dep") < 0.18) & (F.col("responsibility") < 0.55)
     of = _small(c.select("cls", "_family"))
@@ -542,7 +609,7 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     q = save(keyed(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)).select("pattern_id", "_c", "_cls", *READ))
     c = save(profiles(q, ("_c",)))
     link = lambda s: (s["dep"] >= SUB_EDGE) | ((s["dep_tokens"] >= SUB_EDGE) & (s["score"] >= THRESHOLD)) | ((s["imports"] >= 0.5) & (s["responsibility"] >= 0.5))
-    of = grouped(c, save(linked(c, link, ("kind", "_c"))), save)
+    of = grouped(c, save(linked(c, link, ("kind", "_c"), save)), save)
     by_graph = q.select("pattern_id", F.col("_c").alias("cluster"), F.col("_cls").alias("cls")).join(of, "cls", "left")
     by_graph = save(by_graph.select("pattern_id", "cluster", F.coalesce("group", "pattern_id").alias("_part"), F.coalesce("representative", "pattern_id").alias("representative")))
     g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)

@@ -94,7 +94,7 @@ g AS (SELECT *, score >= 0.7 AND fa > 0 AND shared > 0 AND NOT (broad AND s < 0.
 @query(f"WITH {FP} SELECT a, b, score, passes FROM g")
 def pattern_similarity(spark, d):
     """Scores of all pairs of a kind, and whether they pass the gate of clusters."""
-    return patterns.scored_pairs(rows(spark, d), shared_signal=False, save=scratch.save).select("a", "b", "score", "passes")
+    return patterns.scored_pairs(rows(spark, d), shared_signal=False, save=scratch.save, columns=("score", "passes"))
 
 
 _TOP = f"""both_ AS (SELECT a AS pattern_id, b AS other, same_file, score FROM j UNION ALL SELECT b, a, same_file, score FROM j),

@@ -137,3 +137,20 @@ def test_clusters_across_blocks(spark, monkeypatch):
         monkeypatch.setattr(graph, "SMALL_EDGES", small)
         got = {r["pattern_id"]: (r["cluster"], r["representative"]) for r in patterns.clusters(p, scratch.save).collect()}
         assert got == want
+
+
+def test_pairs_are_written_from_blocks(spark, monkeypatch):
+    """Pairs across blocks of patterns are those of all rows, once each; ids that are null or equal make no pair; no pair is joined or exploded to find its ids."""
+    monkeypatch.setattr(patterns, "PATTERNS", 3)
+    monkeypatch.setattr(patterns, "SENT", 4)
+    rows = [row(f"p{i % 11:02}", name=f"{'Icon' if i % 3 else 'Far'}Button", imports=["react"] if i % 2 else [], kind="hook" if i % 5 == 0 else "component", structural=["x"] if i == 7 else ["jsx-return", "uses-hooks"]) for i in range(13)]
+    p = table(spark, *rows, row(None), row("z", kind=None))
+    q = scratch.save(patterns.prepared(p))
+    j = q.alias("x").join(q.alias("y"), (F.col("x.kind") == F.col("y.kind")) & (F.col("x.pattern_id") < F.col("y.pattern_id")))
+    want = sorted(tuple(r) for r in patterns.scored(j, {"a": F.col("x.pattern_id"), "b": F.col("y.pattern_id")}).select("a", "b", "score", "passes", "dep", "shares").collect())
+    got = patterns.scored_pairs(p, shared_signal=False, save=scratch.save, columns=("score", "passes", "dep", "shares"))
+    assert len(want) > 40 and sorted(tuple(r) for r in got.collect()) == want
+    shared = patterns.scored_pairs(p, shared_signal=True, save=scratch.save)
+    assert sorted(tuple(r) for r in shared.collect()) == [r[:5] for r in want if r[5]]
+    plan = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join ") == 1
