@@ -202,10 +202,10 @@ def profiles(q: DataFrame, by: tuple[str, ...] = (), ident: str = "pattern_id")
     return _ruled(c, "cls", "n", "lo", *by)
 
 
-def chunked(q: DataFrame, ident: str = "pattern_id") -> DataFrame:
-    """(cls, chunk, ids): the ids of profiles of rows of profiled(), at most CHUNK a row."""
+def chunked(q: DataFrame, ident: str = "pattern_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(cls, chunk, by, ids): the ids of profiles of rows of keyed(), at most CHUNK a row."""
     at = F.row_number().over(Window.partitionBy("_cls").orderBy(ident))
-    return q.withColumn("chunk", F.floor((at - 1) / CHUNK)).groupBy(F.col("_cls").alias("cls"), "chunk").agg(F.collect_list(ident).alias("ids"))
+    return q.withColumn("chunk", F.floor((at - 1) / CHUNK)).groupBy(F.col("_cls").alias("cls"), "chunk", *by).agg(F.collect_list(ident).alias("ids"))
 
 
 #: Columns of scored() besides those that are kept.
@@ -481,14 +481,82 @@ def families(p: DataFrame, member: DataFrame) -> DataFrame:
     return tables.keep_best(n, ["cluster"], [F.desc("_n"), F.col("family")]).select("cluster", "family")
 
 
-def grouped(c: DataFrame, blocks: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(cls, group, rep_cls, representative) of profiles c that have a link, from blocks, linked() written, of all pairs that can be in one group.
+def _walked(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The component of each of the sorted ids that an edge (u, v) touches, as the place of one of its ids; -1 for others."""
+    up = np.arange(len(ids))
+    x, y = np.searchsorted(ids, u), np.searchsorted(ids, v)
+    while True:
+        low = np.minimum(up[x], up[y])
+        new = up.copy()
+        for end in (up[x], up[y]):
+            np.minimum.at(new, end, low)
+        while not np.array_equal(new, hop := new[new]):
+            new = hop
+        if np.array_equal(new, up):
+            break
+        up = new
+    up[np.setdiff1d(np.arange(len(ids)), np.concatenate([x, y]))] = -1
+    return up
+
+
+def _grouped_once(c: DataFrame, blocks: DataFrame, n_edges: int, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grouped() of SMALL profiles at most, with family and n as well: the most frequent family of a group (then the first by name) and its patterns.
+
+    The driver holds a few numbers a profile and walks the links; the sums of scores are made where the matrices are.
+    """
+    spark = c.sparkSession
+    of = c.select("cls", "n", "lo", "_signals", F.coalesce("family", F.lit("")).alias("family")).toArrow().sort_by("cls")
+    ids, n, signals = (of.column(k).to_numpy() for k in ("cls", "n", "_signals"))
+    edges = blocks.select(F.inline(F.arrays_zip("u", "v")).alias("u", "v"))
+    if n_edges > graph.SMALL_EDGES:
+        edges = graph.forest_components(edges, "u", "v", save).toDF("u", "v")
+    edges = edges.toArrow()
+    part = _walked(ids, *(edges.column(k).to_numpy() for k in "uv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(ids), np.int64)
+        for r in (r for b in batches for r in b.to_pylist()):
+            x, y = (np.searchsorted(ids, r[side]) for side in "xy")
+            s = np.frombuffer(r["milli"], "<i2").reshape(len(x), len(y)).astype(np.int64) * ((part[x][:, None] == part[y][None, :]) & (part[x] >= 0)[:, None])
+            out[x] += s @ n[y] - (np.diag(s) if r["same"] else 0)
+            if not r["same"]:
+                out[y] += n[x] @ s
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], ["at", "s"])
+
+    got = blocks.select("same", "x", "y", "milli").mapInArrow(run, "at long, s long").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    total = np.zeros(len(ids), np.int64)
+    total[got.column("at").to_numpy()] = got.column("s").to_numpy()
+    lo, family = (np.array(of.column(k).to_pylist(), object) for k in ("lo", "family"))
+    some = np.flatnonzero(part >= 0)
+    by_lo = np.unique(lo, return_inverse=True)[1] if len(lo) else np.zeros(0, int)
+    order = some[np.lexsort((ids[some], by_lo[some], -signals[some], -total[some], part[some]))]
+    rep, least, size = {}, {}, {}
+    for i in order.tolist():
+        g = int(part[i])
+        rep.setdefault(g, i)
+        least[g] = min(least.get(g, lo[i]), lo[i])
+        counts = size.setdefault(g, {})
+        counts[family[i]] = counts.get(family[i], 0) + int(n[i])
+    most = {g: min(counts, key=lambda k: (-counts[k], k)) for g, counts in size.items()}
+    at = [int(part[i]) for i in order.tolist()]
+    columns = {"cls": ids[order], "group": [least[g] for g in at], "rep_cls": [ids[rep[g]] for g in at], "representative": [lo[rep[g]] for g in at], "family": [most[g] for g in at], "n": [sum(size[g].values()) for g in at]}
+    kinds = {"cls": pa.int64(), "rep_cls": pa.int64(), "n": pa.int64()}
+    return F.broadcast(spark.createDataFrame(pa.table([pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()], names=list(columns))))
+
+
+def grouped(c: DataFrame, blocks: DataFrame, save: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """(cls, group, rep_cls, representative, family, n) of profiles c that have a link, from blocks, linked() written, of all pairs that can be in one group; and whether there are few, SMALL at most.
 
     group is the least id of a component. Its representative has the largest sum of scores within it, then the most structural
-    signals, then the least id. Patterns of other profiles are groups of their own.
+    signals, then the least id; family and n are the group's most frequent family, then the first by name, and its patterns.
+    Patterns of other profiles are groups of their own. Up to SMALL profiles are grouped at once, more by joins.
     """
+    of = blocks.agg(F.sum(F.size("u")).alias("edges"), F.sum(F.when(F.col("same"), F.size("x"))).alias("profiles")).first()
+    if (of["profiles"] or 0) <= SMALL:
+        return _grouped_once(c, blocks, of["edges"] or 0, save), True
     lab = graph.forest_components(blocks.select(F.inline(F.arrays_zip("u", "v"))), "u", "v", save)
-    of = save(c.select("cls", "n", "lo", F.col("_signals").alias("signals")).join(lab.withColumnRenamed("node", "cls"), "cls", "left"))
+    of = save(c.select("cls", "n", "lo", F.col("_signals").alias("signals"), F.coalesce("family", F.lit("")).alias("_family")).join(lab.withColumnRenamed("node", "cls"), "cls", "left"))
     # The places of a block's profiles are those of its matrices' rows and columns.
     places = blocks.where("same").select("bx", F.posexplode("x").alias("at", "cls")).join(of, "cls")
     # A profile with no link is in no component: `known` is false.
@@ -497,26 +565,26 @@ def grouped(c: DataFrame, blocks: DataFrame, save: Callable[[DataFrame], DataFra
     side = lambda b, v: places.select(F.col("bx").alias(b), F.col("m").alias(v))
     sums = blocks.select("same", "bx", "by", "milli").join(side("bx", "x"), "bx").join(side("by", "y"), "by").select("same", "milli", "x", "y")
     sums = sums.mapInArrow(_sums, "cls long, s long").groupBy("cls").agg(F.sum("s").alias("_sum"))
-    of = of.where("component is not null").join(sums, "cls", "left")
+    of = of.where("component is not null")
     first = F.min(F.struct(-F.coalesce("_sum", F.lit(0)), -F.col("signals"), F.col("lo").alias("lo"), F.col("cls").alias("cls")))
-    best = of.groupBy("component").agg(F.min("lo").alias("group"), first.alias("_r")).select("component", "group", F.col("_r.cls").alias("rep_cls"), F.col("_r.lo").alias("representative"))
-    return save(of.select("cls", "component").join(best, "component").select("cls", "group", "rep_cls", "representative"))
+    best = of.join(sums, "cls", "left").groupBy("component").agg(F.min("lo").alias("group"), first.alias("_r")).select("component", "group", F.col("_r.cls").alias("rep_cls"), F.col("_r.lo").alias("representative"))
+    f = of.groupBy("component", "_family").agg(F.sum("n").alias("_n"))
+    f = f.groupBy("component").agg(F.sum("_n").alias("n"), F.min(F.struct(-F.col("_n"), F.col("_family").alias("family")))["family"].alias("family"))
+    return save(of.select("cls", "component").join(best, "component").join(f, "component").select("cls", "group", "rep_cls", "representative", "family", "n")), False
 
 
 def clusters(p: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(pattern_id, cluster, representative, family, n, role): components of the gate, core members against the representative."""
     q = save(keyed(p).select("pattern_id", "_cls", *READ))
     c = save(profiles(q))
-    of = grouped(c, save(linked(c, lambda s: s["passes"], save=save)), save)
     # A profile with a link has one cluster, so families, sizes and core members are those of profiles.
-    m = save(of.join(c.select("cls", F.col("n").alias("_n"), F.coalesce("family", F.lit("")).alias("_family")), "cls"))
-    f = m.groupBy("group", "_family").agg(F.sum("_n").alias("_n"))
-    f = f.groupBy("group").agg(F.sum("_n").alias("n"), F.min(F.struct(-F.col("_n"), F.col("_family").alias("family")))["family"].alias("family"))
-    m = save(m.drop("_n", "_family").join(f, "group"))
+    m, few = grouped(c, save(linked(c, lambda s: s["passes"], save=save)), save)
+    near = F.broadcast if few else lambda df: df
     rows = F.struct("cls", *RULED)
-    j = m.select("cls", "rep_cls", F.col("family").alias("_of")).join(c.select(F.col("cls").alias("rep_cls"), rows.alias("x")), "rep_cls").join(c.select("cls", rows.alias("y")), "cls")
-    m = save(m.join(j.select("x", "y", "_of").mapInArrow(_core, "cls long, core boolean"), "cls"))
-    m = q.select("pattern_id", F.col("_cls").alias("cls"), F.coalesce("family", F.lit("")).alias("_own")).join(_small(m), "cls", "left")
+    x = c.join(m.select(F.col("rep_cls").alias("cls")).distinct(), "cls").select(F.col("cls").alias("rep_cls"), rows.alias("x"))
+    j = c.select("cls", rows.alias("y")).join(m.select("cls", "rep_cls", F.col("family").alias("_of")), "cls").join(near(x), "rep_cls")
+    core = j.select("x", "y", "_of").mapInArrow(_core, "cls long, core boolean")
+    m = q.select("pattern_id", F.col("_cls").alias("cls"), F.coalesce("family", F.lit("")).alias("_own")).join(near(m), "cls", "left").join(near(core), "cls", "left")
     core = F.coalesce("core", F.lit(True)) | (F.col("pattern_id") == F.col("representative"))
     alone = lambda n, otherwise: F.coalesce(n, otherwise).alias(n)
     return m.select("pattern_id", F.coalesce("group", "pattern_id").alias("cluster"), alone("representative", F.col("pattern_id")), alone("family", F.col("_own")), alone("n", F.lit(1).cast("long")), F.when(core, "core").otherwise("peripheral").alias("role"))
@@ -568,15 +636,16 @@ def reasons(p: DataFrame, membership: DataFrame) -> DataFrame:
 def related_clusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame], DataFrame] = lambda df: df, threshold: float = THRESHOLD) -> DataFrame:
     """(cluster, related): clusters of one kind and incompatible families whose representatives are alike, or depend on the same; both ways."""
     r = membership.select("cluster", F.col("representative").alias("pattern_id"), F.coalesce("family", F.lit("")).alias("_family")).distinct().join(p, "pattern_id")
-    q = save(keyed(r, ("_family",)).select("cluster", "pattern_id", "_cls", "_family", *READ))
-    c = save(profiles(q, ("_family",)))
-    j = compared(c, columns=("score", "dep", "responsibility"), save=save)
+    # READ has the representative's own family, which scores read, _family is its cluster's.
+    q = save(keyed(r, ("_family",)).select("cluster", "_cls", "_family", *READ))
+    j = compared(profiles(q, ("_family",), "cluster"), columns=("score", "dep", "responsibility"), save=save)
     far = (F.col("score") < max(threshold - 0.08, RELATED_SCORE)) & (F.col("dep") < 0.5)
     loose = (F.col("dep") < 0.18) & (F.col("responsibility") < 0.55)
-    of = _small(c.select("cls", "_family"))
+    ids = _small(save(chunked(q, "cluster", ("_family",))))
+    of = ids.where("chunk = 0")
     end = lambda v: of.select(F.col("cls").alias(v), F.col("_family").alias(f"_f{v}"))
     j = j.where(~far & ~loose).join(end("u"), "u").join(end("v"), "v").where(family_similarity(F.col("_fu"), F.col("_fv")) == 0)
-    found = expanded(j.select("u", "v"), _small(save(chunked(q, "cluster"))), [])
+    found = expanded(j.select("u", "v"), ids, [])
     return found.select(F.explode(F.array(F.struct(F.col("a").alias("cluster"), F.col("b").alias("related")), F.struct(F.col("b").alias("cluster"), F.col("a").alias("related")))).alias("r")).select("r.*")
 
 
@@ -609,7 +678,7 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     q = save(keyed(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)).select("pattern_id", "_c", "_cls", *READ))
     c = save(profiles(q, ("_c",)))
     link = lambda s: (s["dep"] >= SUB_EDGE) | ((s["dep_tokens"] >= SUB_EDGE) & (s["score"] >= THRESHOLD)) | ((s["imports"] >= 0.5) & (s["responsibility"] >= 0.5))
-    of = grouped(c, save(linked(c, link, ("kind", "_c"), save)), save)
+    of, _ = grouped(c, save(linked(c, link, ("kind", "_c"), save)), save)
     by_graph = q.select("pattern_id", F.col("_c").alias("cluster"), F.col("_cls").alias("cls")).join(of, "cls", "left")
     by_graph = save(by_graph.select("pattern_id", "cluster", F.coalesce("group", "pattern_id").alias("_part"), F.coalesce("representative", "pattern_id").alias("representative")))
     g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)

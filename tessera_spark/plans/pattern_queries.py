@@ -52,7 +52,7 @@ def rows(spark, d) -> DataFrame:
     """Rows of operators.patterns with k, one per supplier."""
     df = C.table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS INT) AS k").repartition(spark.sparkContext.defaultParallelism)  # a small file is one task
     df = df.selectExpr("k", *[f"{e} AS {n}" for n, e in (SCALARS | LISTS).items()])
-    return df.select("k", *SCALARS, *[F.filter(F.split(n, ","), lambda x: x != "").alias(n) for n in LISTS], F.lit("high").alias("confidence"))
+    return df.select("k", *SCALARS, *[F.array_remove(F.split(n, ","), "").alias(n) for n in LISTS], F.lit("high").alias("confidence"))
 
 
 _N = lambda x: f"CAST({x} AS DOUBLE)"
@@ -177,7 +177,7 @@ SELECT c1 AS cluster, c2 AS related FROM f"""
 def related_clusters(spark, d):
     """Clusters of one kind and different families that are alike."""
     p = rows(spark, d)
-    return patterns.related_clusters(p, scratch.save(patterns.clusters(p, scratch.save)), scratch.save)
+    return patterns.related_clusters(p, patterns.clusters(p, scratch.save), scratch.save)  # read once
 
 
 _GENERIC = ", ".join(f"'{t}'" for t in patterns.GENERIC_TOKENS)
@@ -202,4 +202,4 @@ UNION ALL SELECT pattern_id, cluster, sub, way FROM gm JOIN gr USING (cluster, p
 def subclusters(spark, d):
     """The parts of large clusters of components."""
     p = rows(spark, d)
-    return patterns.subclusters(p, scratch.save(patterns.clusters(p, scratch.save)), scratch.save)
+    return patterns.subclusters(p, scratch.save(patterns.clusters(p, scratch.save).drop("role")), scratch.save)

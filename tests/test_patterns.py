@@ -154,3 +154,21 @@ def test_pairs_are_written_from_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in shared.collect()) == [r[:5] for r in want if r[5]]
     plan = shared._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join ") == 1
+
+
+def test_few_profiles_are_grouped_at_once(spark, monkeypatch):
+    """Few profiles are grouped without tables between, as many are by joins: the same clusters, related clusters and parts."""
+    rows = [row(f"p{i:02}", name=f"{'Icon' if i % 3 else 'Far'}Button", imports=["react"] if i % 2 else ["react", "axios"], deps=("d", f"e{i % 5}"), dep_tokens=["ui", f"t{i % 2}"], family=["ui_component", "ui_component", "page"][i % 3]) for i in range(16)]
+    p = table(spark, *rows, row("q", kind="hook", family="hook_or_context"), row("s", family="state_or_store"), row("z", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[], family=None))
+    saved, got = [], []
+    save = lambda df: saved.append(1) or scratch.save(df)
+    monkeypatch.setattr(patterns, "BLOCK", 5)
+    for few in (patterns.SMALL, 0):
+        monkeypatch.setattr(patterns, "SMALL", few)
+        saved.clear()
+        m = patterns.clusters(p, save)
+        many = len(saved)
+        m = scratch.save(m)
+        got.append([sorted(map(tuple, df.collect()), key=str) for df in (m, patterns.related_clusters(p, m, scratch.save), patterns.subclusters(p, m, scratch.save, parent=4))])
+        assert many == 4 if few else many > 4
+    assert got[0] == got[1] and all(got[0])
