@@ -198,8 +198,8 @@ def _ruled(p: DataFrame, *keep: Column | str) -> DataFrame:
 
 def profiles(q: DataFrame, by: tuple[str, ...] = (), ident: str = "pattern_id") -> DataFrame:
     """(cls, n, lo, by, RULED): the profiles of rows of keyed(), their sizes and least ids."""
-    c = q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), *[F.first(n).alias(n) for n in (*READ, *by)])
-    return _ruled(c, "cls", "n", "lo", *by)
+    c = q.groupBy(F.col("_cls").alias("cls")).agg(F.count("*").alias("n"), F.min(ident).alias("lo"), F.first(F.struct(*READ, *by)).alias("_r"))
+    return _ruled(c.select("cls", "n", "lo", "_r.*"), "cls", "n", "lo", *by)
 
 
 def chunked(q: DataFrame, ident: str = "pattern_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -300,7 +300,8 @@ def _blocks(c: DataFrame, on: tuple[str, ...], save: Callable[[DataFrame], DataF
 
     kinds = dict(c.dtypes)
     # Sorting by the order within blocks is cheap and makes them the same in every run.
-    blocks = save(rows.groupBy(*on, "_block").applyInArrow(pack, ", ".join(f"`{n}` {kinds[n]}" for n in on) + ", _block long, rows binary"))
+    # Dealt out again: the window leaves all blocks of a kind in one task.
+    blocks = save(rows.repartition(_width(c), *on, "_block").groupBy(*on, "_block").applyInArrow(pack, ", ".join(f"`{n}` {kinds[n]}" for n in on) + ", _block long, rows binary"))
     x, y = blocks.alias("x"), blocks.alias("y")
     same = F.lit(True)
     for k in on:
@@ -649,17 +650,43 @@ def related_clusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFr
     return found.select(F.explode(F.array(F.struct(F.col("a").alias("cluster"), F.col("b").alias("related")), F.struct(F.col("b").alias("cluster"), F.col("a").alias("related")))).alias("r")).select("r.*")
 
 
-def neighborhoods(p: DataFrame, membership: DataFrame) -> DataFrame:
-    """(pattern_id, cluster, n, token): the rarest dependency token of each member that names a neighbourhood, within its cluster.
+def neighborhoods(b: DataFrame, near: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(cls, cluster, n, token): the rarest dependency token of each profile of b (cls, n, cluster, size, dep_tokens) that names a neighbourhood, within its cluster.
 
-    Tokens of a quarter of the cluster or more (four at least) count only where a pattern has no other; generic tokens only where it has none.
+    Tokens of a quarter of the cluster or more (four at least) count only where a profile has no other; generic tokens only where it has none.
     """
-    t = membership.select("pattern_id", "cluster", "n").join(p.select("pattern_id", F.posexplode("dep_tokens").alias("_at", "token")), "pattern_id").withColumn("_generic", F.col("token").isin(*GENERIC_TOKENS))
-    k = t.where("not _generic").groupBy("cluster", "token").agg(F.count("*").alias("_k"))
-    t = t.join(k, ["cluster", "token"], "left")
-    wide = F.coalesce("_k", F.lit(0)) >= F.greatest(F.lit(SUB_MEMBERS), F.floor(F.col("n") * 0.25))
-    order = [F.col("_generic"), wide, F.when(F.col("_generic"), F.col("_at")), F.col("_k"), F.col("token")]
-    return tables.keep_best(t, ["pattern_id"], order).select("pattern_id", "cluster", "n", "token")
+    t = b.select("cls", "cluster", "size", "n", F.posexplode("dep_tokens").alias("_at", "token")).withColumn("_generic", F.col("token").isin(*GENERIC_TOKENS))
+    k = t.where("not _generic").groupBy("cluster", "token").agg(F.sum("n").alias("_k"))
+    t = t.join(near(k), ["cluster", "token"], "left")
+    wide = F.coalesce("_k", F.lit(0)) >= F.greatest(F.lit(SUB_MEMBERS), F.floor(F.col("size") * 0.25))
+    first = F.min(F.struct("_generic", wide.alias("_wide"), F.when(F.col("_generic"), F.col("_at")).alias("_at"), "_k", "token"))
+    return t.groupBy("cls", "cluster", "n").agg(first["token"].alias("token"))
+
+
+def _parts(b: DataFrame, save: Callable[[DataFrame], DataFrame], few: bool) -> DataFrame:
+    """(cls, cluster, sub, way): subclusters() of profiles b (cls, n, lo, cluster, size, rep, RULED) of large clusters; size counts a cluster's patterns, rep tells the profile of its representative."""
+    near = F.broadcast if few else lambda df: df
+    by_token = save(neighborhoods(b, near))
+    sized = by_token.groupBy("cluster", "token").agg(F.sum("n").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
+    split = sized.groupBy("cluster").agg(F.count("*").alias("_parts"), F.max("_k").alias("_largest")).where("_parts >= 2")
+    # The representative itself is not compared, others of its profile are.
+    j = b.alias("y").join(near(b.where("rep")).alias("x"), F.col("x.cluster") == F.col("y.cluster"))
+    j = j.select("y.cluster", (_c("y", "n") - _c("y", "rep").cast("long")).alias("_w"), dependency_overlap().alias("_dep")).where("_w > 0")
+    mean = F.sum(F.col("_dep") * F.col("_w")) / F.sum("_w")
+    apart = j.groupBy("cluster").agg(text.round3(mean).alias("_mean")).where(F.col("_mean") <= SUB_COHESION)
+    wanted = save(apart.select("cluster").union(split.select("cluster")).distinct())
+    c = b.join(near(wanted), "cluster")
+    c = c if few else save(c)
+    link = lambda s: (s["dep"] >= SUB_EDGE) | ((s["dep_tokens"] >= SUB_EDGE) & (s["score"] >= THRESHOLD)) | ((s["imports"] >= 0.5) & (s["responsibility"] >= 0.5))
+    of, _ = grouped(c, save(linked(c, link, ("kind", "cluster"), save)), save)
+    by_graph = of.where(F.col("n") >= SUB_MEMBERS).select("cls", "group", "representative", F.col("n").alias("_k")).join(c.select("cls", "cluster"), "cls")
+    graph_parts = by_graph.select("cluster", "group", "_k").distinct().groupBy("cluster").agg(F.count("*").alias("_gp"), F.max("_k").alias("_gl")).where("_gp >= 2")
+    choice = wanted.join(graph_parts, "cluster", "left").join(split, "cluster", "left")
+    token = F.col("_gp").isNull() | (F.col("_parts").isNotNull() & ((F.col("_largest") <= F.floor(F.col("_gl") * 0.85)) | (F.col("_parts") > F.col("_gp"))))
+    choice = save(choice.where("_gp is not null or _parts is not null").select("cluster", F.when(token, "token").otherwise("graph").alias("way")))
+    one = by_token.join(near(sized.select("cluster", "token")), ["cluster", "token"]).join(near(choice.where("way = 'token'")), "cluster").select("cls", "cluster", F.col("token").alias("sub"), "way")
+    two = by_graph.join(near(choice.where("way = 'graph'")), "cluster").select("cls", "cluster", F.col("representative").alias("sub"), "way")
+    return one.unionByName(two)
 
 
 def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame], DataFrame], parent: int = SUB_PARENT) -> DataFrame:
@@ -668,28 +695,24 @@ def subclusters(p: DataFrame, membership: DataFrame, save: Callable[[DataFrame],
     A part has SUB_MEMBERS members, and a cluster two parts. Tokens are taken where the largest part of links is at least as
     lopsided, or where they give more parts. sub is the representative's id, or the token.
     """
-    big = membership.where((F.col("family") == "ui_component") & (F.col("n") >= parent))
-    by_token = save(neighborhoods(p, big))
-    sized = by_token.groupBy("cluster", "token").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
-    split = sized.groupBy("cluster").agg(F.count("*").alias("_parts"), F.max("_k").alias("_largest"))
-    loose = cohesion(p, big).where(F.col("dependency_overlap") <= SUB_COHESION).select("cluster")
-    wanted = save(loose.union(split.where("_parts >= 2").select("cluster")).distinct())
-    big = save(big.join(wanted, "cluster"))
-    q = save(keyed(p.join(big.select("pattern_id", F.col("cluster").alias("_c")), "pattern_id"), ("_c",)).select("pattern_id", "_c", "_cls", *READ))
-    c = save(profiles(q, ("_c",)))
-    link = lambda s: (s["dep"] >= SUB_EDGE) | ((s["dep_tokens"] >= SUB_EDGE) & (s["score"] >= THRESHOLD)) | ((s["imports"] >= 0.5) & (s["responsibility"] >= 0.5))
-    of, _ = grouped(c, save(linked(c, link, ("kind", "_c"), save)), save)
-    by_graph = q.select("pattern_id", F.col("_c").alias("cluster"), F.col("_cls").alias("cls")).join(of, "cls", "left")
-    by_graph = save(by_graph.select("pattern_id", "cluster", F.coalesce("group", "pattern_id").alias("_part"), F.coalesce("representative", "pattern_id").alias("representative")))
-    g = by_graph.groupBy("cluster", "_part").agg(F.count("*").alias("_k")).where(F.col("_k") >= SUB_MEMBERS)
-    graph_parts = g.groupBy("cluster").agg(F.count("*").alias("_gp"), F.max("_k").alias("_gl")).where("_gp >= 2")
-    token_parts = split.where("_parts >= 2")
-    choice = wanted.join(graph_parts, "cluster", "left").join(token_parts, "cluster", "left")
-    token = F.col("_gp").isNull() | (F.col("_parts").isNotNull() & ((F.col("_largest") <= F.floor(F.col("_gl") * 0.85)) | (F.col("_parts") > F.col("_gp"))))
-    choice = save(choice.where("_gp is not null or _parts is not null").select("cluster", F.when(token, "token").otherwise("graph").alias("way")))
-    one = by_token.join(sized.select("cluster", "token"), ["cluster", "token"]).join(choice.where("way = 'token'"), "cluster").select("pattern_id", "cluster", F.col("token").alias("sub"), "way")
-    two = by_graph.join(g.select("cluster", "_part"), ["cluster", "_part"]).join(choice.where("way = 'graph'"), "cluster").select("pattern_id", "cluster", F.col("representative").alias("sub"), "way")
-    return one.unionByName(two)
+    big = membership.where((F.col("family") == "ui_component") & (F.col("n") >= parent)).select("pattern_id", "cluster", "representative", F.col("n").alias("size"))
+    q = save(keyed(p.join(big, "pattern_id"), ("cluster",)).select("pattern_id", "cluster", "size", "representative", "_cls", *READ))
+    rep = q.where("pattern_id = representative").select(F.col("_cls").alias("cls"), F.lit(True).alias("rep"))
+    b = save(profiles(q, ("cluster", "size")).join(rep, "cls", "left").withColumn("rep", F.coalesce("rep", F.lit(False))))
+    return q.select("pattern_id", F.col("_cls").alias("cls")).join(_parts(b, save, b.count() <= SMALL), "cls").select("pattern_id", "cluster", "sub", "way")
+
+
+def cluster_parts(p: DataFrame, save: Callable[[DataFrame], DataFrame], parent: int = SUB_PARENT) -> DataFrame:
+    """subclusters() of clusters(), among profiles: patterns are read to make these, and again to name the members of parts. A part has more than one pattern, so those that are clusters of their own do not count."""
+    q = keyed(p).where("pattern_id is not null")
+    c = save(profiles(q))
+    m, few = grouped(c, save(linked(c, lambda s: s["passes"], save=save)), save)
+    near = F.broadcast if few else lambda df: df
+    big = m.where((F.col("family") == "ui_component") & (F.col("n") >= parent))
+    big = big.select("cls", F.col("group").alias("cluster"), F.col("n").alias("size"), (F.col("cls") == F.col("rep_cls")).alias("rep"))
+    b = c.join(near(big), "cls")
+    b = b if few else save(b)
+    return q.select("pattern_id", F.col("_cls").alias("cls")).join(near(_parts(b, save, few)), "cls").select("pattern_id", "cluster", "sub", "way")
 
 
 def dominant_signals(p: DataFrame, membership: DataFrame, column: str = "structural", k: int = 5) -> DataFrame:

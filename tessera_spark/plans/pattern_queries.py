@@ -201,5 +201,4 @@ UNION ALL SELECT pattern_id, cluster, sub, way FROM gm JOIN gr USING (cluster, p
 )
 def subclusters(spark, d):
     """The parts of large clusters of components."""
-    p = rows(spark, d)
-    return patterns.subclusters(p, scratch.save(patterns.clusters(p, scratch.save).drop("role")), scratch.save)
+    return patterns.cluster_parts(rows(spark, d), scratch.save)

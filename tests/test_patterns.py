@@ -172,3 +172,22 @@ def test_few_profiles_are_grouped_at_once(spark, monkeypatch):
         got.append([sorted(map(tuple, df.collect()), key=str) for df in (m, patterns.related_clusters(p, m, scratch.save), patterns.subclusters(p, m, scratch.save, parent=4))])
         assert many == 4 if few else many > 4
     assert got[0] == got[1] and all(got[0])
+
+
+def test_parts_are_found_among_profiles(spark, monkeypatch):
+    """Parts of clusters found among profiles are those found among patterns, copies counted, null ids left out, with fewer tables between; few profiles and many."""
+    rows = [row(f"p{i:02}", name=f"{'Icon' if i % 3 else 'Far'}Button", imports=["react"] if i % 2 else ["react", "axios"], deps=("d", f"e{i % 5}"), dep_tokens=["ui", f"t{i % 2}"], family=["ui_component", "ui_component", "page"][i % 3]) for i in range(16)]
+    rows += [row(f"q{i}", kind="hook", structural=["h", "i", "j"], imports=[f"m{i % 2}"], deps=(f"f{i % 2}", "g"), dep_tokens=["ui"], responsibility=["load"]) for i in range(9)]
+    p = table(spark, *rows, *rows[:1], row(None), row("z", name="Far", structural=["other"], imports=["q"], ui=[], deps=[], dep_tokens=[], family=None))
+    p = p.dropDuplicates(["pattern_id"]).unionByName(p.where("pattern_id = 'p01'").withColumn("pattern_id", F.lit("p99")))
+    m = scratch.save(patterns.clusters(p.where("pattern_id is not null"), scratch.save))
+    saved, got = [], []
+    save = lambda df: saved.append(1) or scratch.save(df)
+    monkeypatch.setattr(patterns, "BLOCK", 5)
+    for few in (patterns.SMALL, 0):
+        monkeypatch.setattr(patterns, "SMALL", few)
+        saved.clear()
+        parts = patterns.cluster_parts(p, save, parent=4)
+        assert len(saved) <= 8 or not few
+        got += [sorted(map(tuple, df.collect())) for df in (parts, patterns.subclusters(p, m, scratch.save, parent=4))]
+    assert got[0] and all(g == got[0] for g in got)
