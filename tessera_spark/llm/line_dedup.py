@@ -9,7 +9,7 @@ the rest is split in the same way, which loses no pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,30 +60,60 @@ def with_edit_distance(df: DataFrame, a: str, b: str, tau: int, out: str) -> Dat
     return df.withColumn(out, distance).drop("_ed_a", "_ed_b", "_ed_s")
 
 
-def _cells(rows: DataFrame, tau: int, first: bool) -> DataFrame:
-    """(h, x, key, role, delta, at, len) of each lookup of each of rows (h, x, salt, role, delta).
-
-    At first every line indexes itself and probes all lengths; later a row keeps its role and its difference in length. The
-    lookups (difference in length, segment, shift) are a constant array that each row explodes.
-    """
+def _spots(tau: int, first: bool) -> list[tuple[int, int, int]]:
+    """The lookups (difference in length, segment, shift) of a line."""
     k1 = tau + 1
     spots = [(d, i, o) for d in range(k1) for i in range(k1) for o in range(max(-i, d - (tau - i)), min(i, d + tau - i) + 1)]
-    if first:  # of two lines of one length, the other one finds a shift to the left as a shift to the right
-        spots = [(d, i, o) for d, i, o in spots if d or o >= 0]
-    # As an outer generator: an inner one would infer a filter on its input.
-    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in spots])
-    r = rows.select("h", "salt", "x", "role", "delta", F.length("x").alias("n")).select("h", "salt", "x", "role", "delta", "n", F.explode_outer(table).alias("s"))
-    r = r.select("h", "salt", "x", "role", "delta", "n", "s.d", "s.i", "s.o", (F.col("n") - F.col("s.d")).alias("m"))
+    # Of two lines of one length, the other one finds a shift to the left as a shift to the right.
+    return [(d, i, o) for d, i, o in spots if d or o >= 0] if first else spots
+
+
+def _table(spots: list[tuple[int, int, int]]) -> Column:
+    return F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o"), F.lit(s).alias("s")) for s, (d, i, o) in enumerate(spots)])
+
+
+def _placed(r: DataFrame, tau: int) -> DataFrame:
+    """r (n, d, i, o) with the place of a lookup: m, the length that it looks for, at and len."""
+    k1 = tau + 1
+    r = r.withColumn("m", F.col("n") - F.col("d"))
     base, over = F.floor(F.col("m") / k1).cast("int"), k1 - F.col("m") % k1
-    r = r.withColumn("len", base + F.when(F.col("i") >= over, 1).otherwise(0)).withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - over) + F.col("o"))
-    own = (F.col("d") == 0) & (F.col("o") == 0)
-    if first:
-        role = F.when(own, BOTH).otherwise(PROBE)
-    else:
-        indexes, probes = own & (F.col("role").bitwiseAND(INDEX) != 0), (F.col("d") == F.col("delta")) & (F.col("role").bitwiseAND(PROBE) != 0)
-        role = F.when(indexes, INDEX).otherwise(0) + F.when(probes, PROBE).otherwise(0)
-    key = F.xxhash64("salt", "i", "m", F.substring("x", F.col("at") + 1, F.col("len")))
-    return r.where("m >= 0 and at >= 0 and at + len <= n").select("h", "x", key.alias("key"), role.alias("role"), F.col("d").alias("delta"), "at", "len").where("role <> 0")
+    return r.withColumn("len", base + F.when(F.col("i") >= over, 1).otherwise(0)).withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - over) + F.col("o"))
+
+
+def _lookups(rows: DataFrame, tau: int, first: bool, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, n, d, i, o, s, m, at, len, key) of each lookup of each of rows (x, salt, keep). The lookups are a constant array that each row explodes."""
+    # As an outer generator: an inner one would infer a filter on its input.
+    r = rows.select(*keep, "x", "salt", F.length("x").alias("n")).select(*keep, "x", "salt", "n", F.explode_outer(_table(_spots(tau, first))).alias("s"))
+    r = _placed(r.select(*keep, "x", "salt", "n", "s.d", "s.i", "s.o", "s.s"), tau)
+    return r.withColumn("key", F.xxhash64("salt", "i", "m", F.substring("x", F.col("at") + 1, F.col("len")))).where("m >= 0 and at >= 0 and at + len <= n")
+
+
+def _own() -> Column:
+    return (F.col("d") == 0) & (F.col("o") == 0)
+
+
+def _first_cells(lines: DataFrame, tau: int) -> DataFrame:
+    """(h, key, role, delta, at, len, m) of the lookups of all lines under keys where an indexed line meets another line, and how many rows a key has: every line indexes itself and probes all lengths.
+
+    A lookup is shuffled once, as its key, its line's hash and one number; what it says is read from that number again.
+    """
+    r = _lookups(lines.select("h", "x", F.lit(0).cast("long").alias("salt")), tau, True, ("h",))
+    r = r.select("key", "h", (F.col("n").cast("long") * 256 + F.col("s")).alias("spot"))
+    own = [s for s, (d, _, o) in enumerate(_spots(tau, True)) if not d and not o]
+    w = Window.partitionBy("key")
+    indexed = F.max((F.col("spot") % 256).isin(*own)).over(w)
+    r = r.select("key", "h", "spot", F.min("h").over(w).alias("_lo"), F.max("h").over(w).alias("_hi"), indexed.alias("_in"), F.count("*").over(w).alias("_m")).where("_lo <> _hi and _in").distinct()
+    r = r.select("h", "key", "_m", F.floor(F.col("spot") / 256).cast("int").alias("n"), F.get(_table(_spots(tau, True)), (F.col("spot") % 256).cast("int")).alias("s"))
+    r = _placed(r.select("h", "key", "_m", "n", "s.d", "s.i", "s.o"), tau)
+    return r.select("h", "key", F.when(_own(), BOTH).otherwise(PROBE).alias("role"), F.col("d").alias("delta"), "at", "len", F.col("_m").alias("m"))
+
+
+def _cells(rows: DataFrame, tau: int) -> DataFrame:
+    """(h, x, key, role, delta, at, len) of each lookup of each of rows (h, x, salt, role, delta), which keep their roles and differences in length."""
+    r = _lookups(rows, tau, False, ("h", "role", "delta"))
+    indexes, probes = _own() & (F.col("role").bitwiseAND(INDEX) != 0), (F.col("d") == F.col("delta")) & (F.col("role").bitwiseAND(PROBE) != 0)
+    role = F.when(indexes, INDEX).otherwise(0) + F.when(probes, PROBE).otherwise(0)
+    return r.select("h", "x", "key", role.alias("role"), F.col("d").alias("delta"), "at", "len").where("role <> 0")
 
 
 def _shared(cells: DataFrame) -> DataFrame:
@@ -117,18 +147,17 @@ def plausible(a: str, b: str, tau: int) -> Column:
 
 def near_pairs(lines: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b: hashes of different lines within tau edits, from lines (h, x); equal rows may repeat."""
-    rows = lines.select("h", "x", F.lit(0).cast("long").alias("salt"), F.lit(BOTH).alias("role"), F.lit(0).alias("delta"))
-    pairs = texts = None
+    rows = pairs = texts = None
     for depth in range(DEPTH + 1):
-        cells = _cells(rows, tau, depth == 0)
-        shared = common.materialize(_shared(cells), "shared")
         if texts is None:  # all lines: they come to the join without their text, which is read again for those that meet
-            met = common.materialize(cells.drop("x").join(_small(shared), "key").distinct(), "met")
+            met = common.materialize(_first_cells(lines, tau), "met")
             some = common.materialize(met.select("h").distinct(), "lines")
             texts = lines.join(_small(some), "h").groupBy("h").agg(F.first("x").alias("x"))
             texts = common.materialize(texts.select("h", "x", profile("x").alias("bits")), "texts")
             met = met.join(_small(texts), "h")
         else:
+            cells = _cells(rows, tau)
+            shared = common.materialize(_shared(cells), "shared")
             met = cells.join(_small(shared), "key").distinct().join(_small(texts).select("h", "bits"), "h")
         met = common.materialize(met, "cells")
         small = met if depth == DEPTH else met.where(F.col("m") <= LEAF)
@@ -175,10 +204,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of_doc = dropped.groupBy("rk").agg(F.collect_list("pos").alias("_gone"), F.count_if("equal").alias("_eq"), F.count_if(~F.col("equal")).alias("_nr"))
     of_doc = common.materialize(of_doc, "of-doc")
     out = docs.withColumn("_rk", rk).join(_small(of_doc), F.col("_rk") == F.col("rk"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_ls"), i)), "\n"))
-    out = out.withColumn("_ls", F.when(F.col("_gone").isNotNull(), lines))
+    # Bound to a variable: a column beside it would be moved into the lambda, and the text split again for each of its lines.
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone"))
+    cleaned = F.transform(F.array(F.split(F.col(text_col), "\n")), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n"))[0]
+    cleaned = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cleaned)
     keep = [(cleaned if f"c{i}" == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)]
     n_lines = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return out.select(*keep, n_lines.alias("n_lines"), F.coalesce("_eq", F.lit(0)).cast("long").alias("n_equal"), F.coalesce("_nr", F.lit(0)).cast("long").alias("n_near"))

@@ -269,6 +269,27 @@ def test_line_dedup_odd(odd, empty):
     assert line_dedup.drop_lines(odd).columns == odd.columns
 
 
+def test_line_dedup_splits_a_text_once(spark):
+    """Not again for each of its lines, which would grow with their square."""
+    plan = line_dedup.dedup_lines(make(spark, [(1, "a\nb\na", "s"), (2, "b\nc", "s")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_first_cells_are_those_that_lines_share(spark):
+    """Each lookup under a key where an indexed line meets another, once; copies of a line meet nobody but count as rows."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 14))) for _ in range(12)]
+    lines = spark.createDataFrame([(x,) for b in base for x in (b, b, edited(rng, b, 2))], "x string").select(F.xxhash64("x").alias("h"), "x")
+    for tau in (1, 2):
+        r = line_dedup._lookups(lines.withColumn("salt", F.lit(0).cast("long")), tau, True, ("h",)).collect()
+        keys = {}
+        for c in r:
+            keys.setdefault(c["key"], []).append(c)
+        want = {(c["h"], c["key"], 3 if not c["d"] and not c["o"] else 2, c["d"], c["at"], c["len"], len(cs)) for cs in keys.values() if len({c["h"] for c in cs}) > 1 and any(not c["d"] and not c["o"] for c in cs) for c in cs}
+        got = [tuple(c) for c in line_dedup._first_cells(lines, tau).select("h", "key", "role", "delta", "at", "len", "m").collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 # -- Jaccard join ------------------------------------------------------------------------------------------------------
 
 
